@@ -1,6 +1,6 @@
 """Registered queries: the operators bound to the shared test tables, each with its SQL oracle."""
 
 from vitrina.plans.registry import ORACLES, QUERIES
-from vitrina.plans import text_queries  # noqa: E402,F401
+from vitrina.plans import match_queries, similarity_queries, text_queries, url_queries  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ whole tables, so its size follows theirs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vitrina.plans.registry import Tables
 
@@ -130,7 +131,7 @@ HITS = f"hits AS (SELECT {_sql(_select(_HIT_OUT))} FROM lineitem JOIN part ON p_
 
 
 def hits(t: Tables) -> DataFrame:
-    joined = t.lineitem.join(t.part, t.part["p_partkey"] == t.lineitem["l_suppkey"])
+    joined = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_suppkey"))
     return _view(joined, _HIT_OUT)
 
 
@@ -181,3 +182,34 @@ def grouped_variants(t: Tables) -> DataFrame:
         "lpad(cast(p_partkey as string), 13, '0') AS barcode", "p_partkey AS ord",
         "cast(p_size as double) AS weight", "CASE WHEN p_size > 25 THEN 'kg' ELSE '' END AS weight_unit",
     )
+
+
+# raw: plain names, one language; promotional entries share few distinct names
+RAW_COLUMNS = {
+    "product_id": "p_partkey",
+    "title": "p_brand || ' ' || p_name || ' ' || lower(p_type) || ' ' || cast(p_size as string) || 'KG'",
+    "vendor": "p_brand",
+}
+_RAW_CATALOG_OUT = {
+    "handle": "replace(p_name || ' ' || lower(p_type), ' ', '-')",
+    "ord": "ord",
+    "name": f"CASE WHEN p_type = 'PROMO' THEN 'assorted ' || {NOUN} ELSE p_name || ' ' || lower(p_type) END",
+    "brand": "CASE WHEN p_type = 'SMALL' THEN '' WHEN p_type = 'LARGE' THEN 'first' WHEN p_type = 'PROMO' THEN 'teens' ELSE 'rest' END",
+}
+RAW = (
+    f"rawp AS (SELECT {_sql(_select(RAW_COLUMNS))} FROM part), "
+    f"rawc AS (SELECT {_sql(_select(_RAW_CATALOG_OUT))} FROM (SELECT p_name, p_type, min(p_partkey) AS ord FROM part "
+    "GROUP BY p_name, p_type) g)"
+)
+
+
+def raw_products(t: Tables) -> DataFrame:
+    return _view(t.part, RAW_COLUMNS)
+
+
+def raw_catalog(t: Tables) -> DataFrame:
+    g = t.part.groupBy("p_name", "p_type").agg({"p_partkey": "min"}).withColumnRenamed("min(p_partkey)", "ord")
+    return _view(g, _RAW_CATALOG_OUT)
+
+
+SPANISH = f"{_case(ADJECTIVE, ADJ_ES)} || ' ' || {_case('p_type', TYPE_ES)} || ' ' || {_case(NOUN, NOUN_ES)}"
