@@ -148,13 +148,13 @@ def dedupe_images(images: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     slot`` (earliest position of the group), ``kept_idx`` (most bytes, then largest
     area, then earliest) and ``members``.  Undecodable pictures (null hash) are left out.
     """
-    pictures = _distinct_pictures(images)
+    pictures = cut_lineage(_distinct_pictures(images))
     sizes = pictures.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_hashes"))
     large = sizes.where(F.col("n_hashes") > fold_limit).select("product_id")
     leaders = _fold_leaders(pictures.join(large, "product_id", "left_anti"))
     big = pictures.join(large, "product_id", "left_semi")
     if not big.isEmpty():
-        leaders = leaders.unionByName(_leaders_in_rounds(cut_lineage(big)))
+        leaders = leaders.unionByName(_leaders_in_rounds(big))
     return (
         pictures.join(leaders, ["product_id", "hash"])
         .groupBy("product_id", "leader_idx")

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from vitrina.functions import similarity as M
 from vitrina.functions import text as T
 from vitrina.functions import urls as U
 from vitrina.operators import simjoin
+from vitrina.session import cut_lineage
 
 def _no_guard() -> Column:
     return F.lit(0)
@@ -51,16 +53,23 @@ class Resolution:
         )
         self.pref = pref
 
+    @cached_property
     def queries(self) -> DataFrame:
-        return (
+        """Distinct (set, guards) of the products, written once: titles are tokenised one
+        time for the index and one time for copying results back."""
+        return cut_lineage(
             self.products.where(F.size("tokens") > 0)
             .groupBy("set_key", "guards")
             .agg(F.min("product_id").alias("qid"), F.any_value("tokens").alias("tokens"))
         )
 
+    @cached_property
     def distinct_entries(self) -> DataFrame:
-        return self.entries.groupBy("set_key", "guards").agg(
-            F.max("pref").alias("pref"), F.any_value("tokens").alias("tokens")
+        """Distinct (set, guards) of the catalogue, each with its preferred entry."""
+        return cut_lineage(
+            self.entries.groupBy("set_key", "guards").agg(
+                F.max("pref").alias("pref"), F.any_value("tokens").alias("tokens")
+            )
         )
 
     def to_members(self, hits: DataFrame, first: int | None = None) -> DataFrame:
@@ -69,7 +78,7 @@ class Resolution:
         if first is not None:
             nth = F.row_number().over(Window.partitionBy("set_key", "guards").orderBy(F.desc("pref")))
             members = members.withColumn("nth", nth).where(F.col("nth") <= first)
-        sets = self.distinct_entries().select("set_key", "guards", F.col("pref").alias("set_pref"))
+        sets = self.distinct_entries.select("set_key", "guards", F.col("pref").alias("set_pref"))
         members = members.join(sets, ["set_key", "guards"])
         return hits.withColumnRenamed("pref", "set_pref").join(members.select("set_pref", "pref"), "set_pref").drop(
             "set_pref"
@@ -88,24 +97,24 @@ class Resolution:
 
     def best(self) -> DataFrame:
         """``product_id, handle, score`` for products with an accepted match."""
-        q = self.queries()
-        hits = simjoin.best_matches(q, self.distinct_entries(), self.profile.accept, self.guard, self.factor)
+        q = self.queries
+        hits = simjoin.best_matches(q, self.distinct_entries, self.profile.accept, self.guard, self.factor)
         return self.back_to_products(q, self.with_entry(hits, "handle"))
 
     def top(self, k: int, accept: float | None = None) -> DataFrame:
         """``product_id, handle, score, rank`` of the ``k`` best entries."""
-        q = self.queries()
+        q = self.queries
         floor = self.profile.accept if accept is None else accept
-        sets = simjoin.top_matches(q, self.distinct_entries(), floor, k, self.guard, self.factor).drop("rank")
+        sets = simjoin.top_matches(q, self.distinct_entries, floor, k, self.guard, self.factor).drop("rank")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("pref")))
         hits = self.to_members(sets, first=k).withColumn("rank", rank).where(F.col("rank") <= k)
         return self.back_to_products(q, self.with_entry(hits, "handle"))
 
     def near_best(self, margin: float, *columns: str, accept: float | None = None) -> DataFrame:
         """``product_id, handle, ord, score, best`` of the entries within ``margin``."""
-        q = self.queries()
+        q = self.queries
         floor = self.profile.accept if accept is None else accept
-        sets = simjoin.near_best_matches(q, self.distinct_entries(), floor, margin, self.guard, self.factor)
+        sets = simjoin.near_best_matches(q, self.distinct_entries, floor, margin, self.guard, self.factor)
         return self.back_to_products(q, self.with_entry(self.to_members(sets), "handle", "ord", *columns))
 
 
@@ -441,6 +450,8 @@ def similar_products(products: DataFrame, threshold: float = 0.80) -> DataFrame:
 
 
 def similar_pairs_of_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows of :func:`similar_products` for a table of :func:`simjoin.distinct_sets`."""
+    sets = cut_lineage(sets)
     m = sets.select("set_id", "members")
     across = (
         simjoin.similar_sets(sets, threshold)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions.similarity import jaccard_from_counts
+from vitrina.session import cut_lineage
 
 #: Tokens kept out of the index.  Bounds the hot groups at ``2**HOT_TOKENS`` masks
 #: per set size and guard value, whatever the size of the tables.
@@ -207,7 +208,9 @@ def near_best_matches(queries: DataFrame, entries: DataFrame, accept: float, mar
 
     Only queries whose best reaches ``accept``; entries down to ``accept - margin``.
     """
-    best = best_matches(queries, entries, accept, guard, factor).select("qid", F.col("score").alias("best"))
+    best = cut_lineage(
+        best_matches(queries, entries, accept, guard, factor).select("qid", F.col("score").alias("best"))
+    )
     ix = _Index(queries, entries, max(accept - margin, EPS * 10), guard, factor)
     floor = F.col("best") - F.lit(margin) - EPS
     indexed = ix.indexed_pairs().join(best, "qid").where(F.col("score") >= floor)
@@ -248,7 +251,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     token among the rarest ``n - ceil(t*n) + 1`` of each (prefix filter); lengths and
     the position of the first common token bound what else they can share.
     """
-    ranked = (
+    ranked = cut_lineage(
         sets.select("set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
         .join(token_frequency(sets), "token")
         .groupBy("set_id", "n")

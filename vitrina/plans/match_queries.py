@@ -176,8 +176,8 @@ _DE = S.sep_toks(S.preprocess("handle || ' ' || name", lx.TR_VETLIFE, True), lx.
     e AS MATERIALIZED (SELECT handle, ord, species, {_DE} AS b, contains(lower(name), 'treat') OR contains(lower(handle), 'treat') AS et,
       contains(lower(name), 'húmedo') OR contains(handle, '300g') OR contains(handle, '85g') AS ew FROM dcat),
     cls AS (SELECT DISTINCT sp, tr, wt FROM q),
-    l1 AS (SELECT sp, tr, wt, tr AND bool_or(et) FILTER (WHERE sp = '' OR species = sp) AS ht FROM cls, e GROUP BY ALL),
-    l2 AS (SELECT sp, tr, wt, ht, coalesce(bool_or(ew = wt) FILTER (WHERE (sp = '' OR species = sp) AND (NOT ht OR et)), false) AS hf FROM l1, e GROUP BY ALL),
+    l1 AS (SELECT sp, tr, wt, coalesce(bool_or(tr AND et) FILTER (WHERE sp = '' OR species = sp), false) AS ht FROM cls, e GROUP BY sp, tr, wt),
+    l2 AS (SELECT sp, tr, wt, ht, coalesce(bool_or(ew = wt) FILTER (WHERE (sp = '' OR species = sp) AND (NOT ht OR et)), false) AS hf FROM l1, e GROUP BY sp, tr, wt, ht),
     p AS (SELECT q.product_id, e.handle, e.ord, {S.jac('a', 'b')} AS score FROM q JOIN l2 USING (sp, tr, wt), e
       WHERE (sp = '' OR species = sp) AND (NOT ht OR et) AND (NOT hf OR ew = wt))
     {best('SELECT * FROM p', 0.10)}""",

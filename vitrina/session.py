@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job of this package relies on.  Nothing here is sized for a
 #: particular data volume: partition counts are left to AQE, which coalesces or
-#: splits from the cluster's own ``spark.sql.shuffle.partitions``.
+#: splits from the cluster's own ``spark.sql.shuffle.partitions``.  Index joins turn
+#: small inputs into many pairs, so AQE may keep partitions far below its default
+#: minimum while cores are free.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -25,26 +30,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's ``spark.checkpoint.dir`` when it
+    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir`` when it
     names one, else (tests on one machine) a fresh temporary folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if named:
-        if current is None:
-            sc.setCheckpointDir(named)
-        return named
-    if current is None:
-        current = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(current)
-    return current
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and continue from there.
+    """Write ``df`` once as a Parquet table in the checkpoint folder and continue from it.
 
-    Used by the loops (link closure, leader rounds): an executor loss then costs
-    one round, not the whole history, and each round's plan stays constant size.
+    For tables that several branches of a plan read (distinct token sets, distinct
+    pictures) and for the state of loops: an executor loss then costs the current step,
+    not the whole history, later reads are columnar and pruned, and the planner knows
+    the table's size.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
