@@ -257,7 +257,7 @@ def audit_images(products: DataFrame, images: DataFrame) -> DataFrame:
     per_product = per_image.withColumn("issue", F.when(F.size("found") > 0, described)).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("n_images"),
         F.count("issue").alias("n_issues"),
-        F.expr("listagg(issue, '|') within group (order by position, src)").alias("issues"),
+        F.expr("listagg(issue, '|') within group (order by coalesce(position, 999), src)").alias("issues"),
     )
     return products.select("product_id").join(per_product, "product_id", "left").select(
         "product_id",

@@ -1,6 +1,9 @@
 """Registered queries: the operators bound to the shared test tables, each with its SQL oracle."""
 
 from vitrina.plans.registry import ORACLES, QUERIES
-from vitrina.plans import cascade_queries, match_queries, similarity_queries, text_queries, url_queries  # noqa: E402,F401
+from vitrina.plans import (  # noqa: E402,F401
+    cascade_queries, image_queries, match_queries, provenance_queries, report_queries, similarity_queries, text_queries,
+    unify_queries, url_queries,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
