@@ -155,11 +155,13 @@ IMG_ATTRIBUTES = ("data-src", "data-lazy-src", "data-large_image", "data-zoom-im
 
 def img_tag_images(html: Column) -> Column:
     """Candidate URLs of all ``<img>`` tags outside navigation, header and footer."""
-    body = F.regexp_replace(html, r"(?is)<(nav|header|footer)\b.*?</(nav|header|footer)>", "")
+    body = html
+    for part in ("nav", "header", "footer"):
+        body = F.regexp_replace(body, rf"(?is)<{part}\b.*?</{part}>", "")
 
     def one(tag: Column) -> Column:
         srcset = tag_attribute(tag, "srcset")
-        last = F.substring_index(F.trim(F.regexp_extract(srcset, r"([^,]*\S[^,]*),?\s*$", 1)), " ", 1)
+        last = F.substring_index(F.trim(F.regexp_extract(srcset, r"([^,\s][^,]*)[,\s]*$", 1)), " ", 1)
         return F.array(last, *[tag_attribute(tag, a) for a in IMG_ATTRIBUTES])
 
     return F.filter(F.flatten(F.transform(_all(body, r"(?is)<img\b[^>]*>", 0), one)), lambda u: u != "")

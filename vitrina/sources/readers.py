@@ -79,10 +79,11 @@ class StaleCatalog(ValueError):
 
 
 def read_catalog_list(spark: SparkSession, path: str, schema: str = schemas.CATALOG_LIST_FEED,
-                      required: Iterable[str] = ("image_urls",)) -> DataFrame:
-    """JSON array catalogue; raises :class:`StaleCatalog` when a required field is absent
-    from every entry."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+                      required: Iterable[str] = ("image_urls",), multi_line: bool = True) -> DataFrame:
+    """JSON array catalogue (one array per file, or one entry per line with
+    ``multi_line=False``, which Spark can split); raises :class:`StaleCatalog` when a
+    required field is absent from every entry."""
+    df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     for name in required:
         if df.where(F.col(name).isNotNull()).isEmpty():
             raise StaleCatalog(f"{path}: no entry has {name!r}")
