@@ -42,6 +42,34 @@ def on_domain(url: Column, domain: Column | str, strict: bool = False) -> Column
     return host.contains(want)
 
 
+# Which site a URL belongs to, first matching rule wins.
+SITE_RULES: dict[str, tuple[tuple[str, str], ...]] = {
+    "applaws": (("url:applaws.com", "uk"), ("", "es")),
+    "churu": (("host:inabafoods-europe.com", "es"), ("host:inabafoods.com", "us"), ("", "es")),
+    "virbac": (("host:vet-es.virbac.com", "vet"), ("", "store")),
+    "calibra": (("domain:mycalibra.es", "es"), ("domain:mycalibra.eu", "eu"), ("domain:calibra.cat", "cat"), ("", "")),
+}
+
+
+def route_site(url: Column, rules: str | tuple[tuple[str, str], ...]) -> Column:
+    """Site (profile variant) of a URL by the rules of a brand.
+
+    A rule is ``("host:part", site)`` (host contains), ``("domain:name", site)`` (domain
+    equals), ``("url:part", site)`` (URL contains) or ``("", default)``.
+    """
+    out = None
+    for test, site in SITE_RULES[rules] if isinstance(rules, str) else rules:
+        kind, _, value = test.partition(":")
+        if not kind:
+            return F.lit(site) if out is None else out.otherwise(site)
+        hit = {
+            "host": lambda: host_of(url).contains(value), "domain": lambda: domain_of(url) == value,
+            "url": lambda: F.lower(url).contains(value),
+        }[kind]()
+        out = F.when(hit, site) if out is None else out.when(hit, site)
+    return out
+
+
 def last_segment(url: Column) -> Column:
     return F.substring_index(F.regexp_replace(without_query(url), r"/+$", ""), "/", -1)
 

@@ -90,30 +90,40 @@ def _plain(profile: lx.MatcherProfile) -> lx.MatcherProfile:
     return replace(profile, stem=False)
 
 
-def select_hits(hits: DataFrame, domain: Column | str, max_urls: int, enough: int = 2, strict: bool = False) -> DataFrame:
+def select_hits(hits: DataFrame, domain: Column | str, max_urls: int, enough: tuple[int, ...] = (2,),
+                strict: bool = False) -> DataFrame:
     """Candidate URLs of a product: on the domain, distinct, in order, at most ``max_urls``.
 
-    ``hits``: ``product_id, query_rank, rank, url``.  Hits of the second query count
-    only when the first left fewer than ``enough`` URLs.  Returns ``product_id,
-    position, url``.
+    ``hits``: ``product_id, query_rank (1, 2, 3), rank, url``.  The first query always
+    counts; query ``i`` counts only when the queries used before it found fewer than
+    ``enough[i - 2]`` URLs.  Returns ``product_id, position, url``.
     """
     clean = F.substring_index("url", "#", 1)
     ok = hits.withColumn("url", clean).where((F.col("url") != "") & U.on_domain(F.col("url"), domain, strict))
-    first_seen = (
-        ok.groupBy("product_id", "url")
-        .agg(F.min(F.struct("query_rank", "rank")).alias("at"))
+    queries = range(1, len(enough) + 2)
+    seen = ok.groupBy("product_id", "url").agg(
+        *[F.min(F.when(F.col("query_rank") == q, F.col("rank"))).alias(f"r{q}") for q in queries]
     )
-    # Each query keeps its leading URLs first, so what follows sees few rows per product.
-    lead = F.row_number().over(Window.partitionBy("product_id", "at.query_rank").orderBy("at"))
-    first_seen = first_seen.withColumn("lead", lead).where(F.col("lead") <= max(max_urls, enough))
-    per = Window.partitionBy("product_id")
-    n_first = F.count(F.when(F.col("at.query_rank") == 1, 1)).over(per)
-    usable = first_seen.withColumn("n_first", n_first).where(
-        (F.col("at.query_rank") == 1) | (F.col("n_first") < enough)
+    if len(queries) > 3:
+        raise ValueError("at most three queries per product")
+
+    def has(q: int) -> Column:
+        return F.col(f"r{q}").isNotNull()
+
+    per_product = seen.groupBy("product_id").agg(
+        F.count_if(has(1)).alias("n1"), F.count_if(has(1) | has(2)).alias("n12")
     )
-    position = F.row_number().over(per.orderBy("at"))
-    return usable.withColumn("position", position).where(F.col("position") <= max_urls).select(
-        "product_id", "position", "url"
+    use2 = F.least("n1", F.lit(max_urls)) < enough[0]
+    used = {1: F.lit(True), 2: use2}
+    if len(queries) == 3:
+        used[3] = F.least(F.when(use2, F.col("n12")).otherwise(F.col("n1")), F.lit(max_urls)) < enough[1]
+    at = F.coalesce(*[F.when(used[q] & has(q), F.struct(F.lit(q).alias("query"), F.col(f"r{q}").alias("rank"))) for q in queries])
+    position = F.row_number().over(Window.partitionBy("product_id").orderBy("at"))
+    return (
+        seen.join(per_product, "product_id")
+        .withColumn("at", at).where("at is not null")
+        .withColumn("position", position).where(F.col("position") <= max_urls)
+        .select("product_id", "position", "url")
     )
 
 

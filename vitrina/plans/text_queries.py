@@ -398,3 +398,40 @@ _HW = f"nullif(array_to_string(list_filter(string_split({_HS}, '-'), lambda w: w
 )
 def _(t):
     return B.products(t).select("product_id", F.array_join(T.slug_candidates(F.expr(_HT)), "|").alias("slugs"))
+
+
+# --- every profile's tokens --------------------------------------------------
+
+def profile_tokens(profile: lx.MatcherProfile, x: str, catalog_side: bool = False) -> str:
+    """Oracle form of ``title_tokens``."""
+    if profile.text == "preprocess":
+        diet = profile.name.startswith("vetlife")
+        return S.sep_toks(S.preprocess(x, dict(profile.translate), diet), profile.stop, not diet)
+    n = {"": S.norm, "after": S.norm_units, "before": S.norm_glued}[profile.units](x)
+    k = S.toks(n, profile.stop)
+    if profile.translate and not catalog_side:
+        k = S.translate(k, dict(profile.translate))
+    if profile.drop_numbers and not catalog_side:
+        k = S.drop_numeric(k)
+    if profile.syn:
+        k = S.expand(k, dict(profile.syn))
+    return S.stem(k) if profile.stem else k
+
+
+@query(
+    "t31_profile_tokens",
+    f"{WITH} " + " UNION ALL ".join(
+        f"SELECT product_id, '{p.name}' AS profile, {S.joined(profile_tokens(p, 'title'))} AS title_tokens, "
+        f"{S.joined(profile_tokens(p, 'handle', True))} AS entry_tokens FROM products"
+        for p in lx.PROFILES.values()
+    ),
+)
+def _(t):
+    rows = F.array(*[
+        F.struct(
+            F.lit(p.name).alias("profile"), _tokens(T.title_tokens(_title(), p)).alias("title_tokens"),
+            _tokens(T.title_tokens(F.col("handle"), p, catalog_side=True)).alias("entry_tokens"),
+        )
+        for p in lx.PROFILES.values()
+    ])
+    return B.products(t).select("product_id", F.inline(rows))

@@ -51,15 +51,20 @@ def _(t):
     return t.pages.select("page_id", U.domain_of(F.col("url")).alias("domain"))
 
 
+_SITES = (("host:m.", "mobile"), ("domain:spam-farm.example.org", "junk"), ("url:utm_", "tracked"), ("", "other"))
+_SHOPS = "replace(replace(replace(url, 'example.com', 'inabafoods.com'), 'example.net', 'inabafoods-europe.com'), 'example.org', 'vet-es.virbac.com')"
+
+
 @query(
     "l03_site_routing",
-    rf"WITH h AS (SELECT page_id, {host('url')} AS h FROM pages) SELECT page_id, CASE WHEN ends_with(h, '.com') THEN 'store' "
-    "WHEN contains(h, 'example.net') THEN 'vet' ELSE 'generic' END AS site FROM h",
+    rf"WITH h AS (SELECT page_id, url, {_SHOPS} AS shop, {host('url')} AS h FROM pages), s AS (SELECT *, {host('shop')} AS sh FROM h) SELECT page_id, CASE WHEN contains(h, 'm.') THEN 'mobile' WHEN regexp_replace(h, '^www\.', '') = 'spam-farm.example.org' THEN 'junk' "
+    "WHEN contains(lower(url), 'utm_') THEN 'tracked' ELSE 'other' END AS site, CASE WHEN contains(sh, 'inabafoods-europe.com') THEN 'es' WHEN contains(sh, 'inabafoods.com') THEN 'us' ELSE 'es' END AS churu, "
+    "CASE WHEN contains(sh, 'vet-es.virbac.com') THEN 'vet' ELSE 'store' END AS virbac FROM s",
 )
 def _(t):
-    h = U.host_of(F.col("url"))
-    site = F.when(h.endswith(".com"), "store").when(h.contains("example.net"), "vet").otherwise("generic")
-    return t.pages.select("page_id", site.alias("site"))
+    shop = F.expr(_SHOPS)
+    return t.pages.select("page_id", U.route_site(F.col("url"), _SITES).alias("site"), U.route_site(shop, "churu").alias("churu"),
+                          U.route_site(shop, "virbac").alias("virbac"))
 
 
 @query("l04_size_suffix", f"{PHOTOS} SELECT product_id, regexp_replace({NOQ}, '-\\d+x\\d+(\\.[a-zA-Z]{{3,4}})$', '\\1') AS clean FROM photos")
