@@ -18,10 +18,21 @@ from vitrina import lexicon as lx
 
 # --- literals ---------------------------------------------------------------
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array_sql(words: Iterable[str]) -> str:
+    items = ", ".join(_quoted(w) for w in words)
+    return f"array({items})" if items else "cast(array() as array<string>)"
+
+
+# Word lists are written as one SQL literal: building them element by element costs a
+# call into the JVM per word and dominates planning.
+
 def str_array(words: Iterable[str]) -> Column:
     """Literal ``array<string>`` (typed even when empty)."""
-    items = [F.lit(w) for w in words]
-    return F.array(*items) if items else F.array().cast("array<string>")
+    return F.expr(_array_sql(words))
 
 
 def _strip(char: str, text: Column) -> Column:
@@ -30,11 +41,12 @@ def _strip(char: str, text: Column) -> Column:
 
 
 def str_map(pairs: Mapping[str, str]) -> Column:
-    return F.map_from_arrays(str_array(pairs.keys()), str_array(pairs.values()))
+    return F.expr(f"map_from_arrays({_array_sql(pairs.keys())}, {_array_sql(pairs.values())})")
 
 
 def list_map(groups: Mapping[str, Iterable[str]]) -> Column:
-    return F.map_from_arrays(str_array(groups.keys()), F.array(*[str_array(v) for v in groups.values()]))
+    values = ", ".join(_array_sql(v) for v in groups.values())
+    return F.expr(f"map_from_arrays({_array_sql(groups.keys())}, array({values}))")
 
 
 def _accent_table() -> tuple[str, str]:

@@ -300,13 +300,18 @@ def assign_variant_images(variants: DataFrame, images: DataFrame) -> DataFrame:
     overlap leaves the variant unassigned.  Pairs arise from shared tokens only.
     """
     v = variants.select("product_id", "variant_id", T.variant_tokens(F.col("title")).alias("t"))
-    i = images.select("product_id", "image_id", F.coalesce("position", F.lit(999)).alias("position"),
-                      T.variant_tokens(F.col("raw_text")).alias("t"))
+    # One row per picture and word set: repeated rows must not count a word twice.
+    i = (
+        images.select("product_id", "image_id", F.coalesce("position", F.lit(999)).alias("position"),
+                      F.array_sort(T.variant_tokens(F.col("raw_text"))).alias("t"))
+        .distinct()
+        .withColumn("words", F.array_join("t", " "))
+    )
     vt = v.select("product_id", "variant_id", F.size("t").alias("nv"), F.explode("t").alias("token"))
-    it = i.select("product_id", "image_id", "position", F.size("t").alias("ni"), F.explode("t").alias("token"))
+    it = i.select("product_id", "image_id", "position", "words", F.size("t").alias("ni"), F.explode("t").alias("token"))
     best = (
         vt.join(it, ["product_id", "token"])
-        .groupBy("product_id", "variant_id", "image_id", "position", "nv", "ni")
+        .groupBy("product_id", "variant_id", "image_id", "position", "words", "nv", "ni")
         .agg(F.count(F.lit(1)).alias("shared"))
         .withColumn("score", M.jaccard_from_counts(F.col("shared"), F.col("nv"), F.col("ni")))
         .groupBy("variant_id")

@@ -51,3 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out a table that is stored in fewer pieces than there are cores.
+
+    A table of one small file would otherwise be worked on by one task, broadcast joins
+    included.  Tables with enough splits are returned untouched, so nothing is shuffled
+    at scale; AQE merges what turns out too small to be worth a task.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(key)
