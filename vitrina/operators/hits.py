@@ -55,26 +55,35 @@ def best_with_early_stop(hits: DataFrame, accept: float, stop_at: float = 0.85)
     )
 
 
-def score_by_handle(hits: DataFrame, profile: lx.MatcherProfile) -> DataFrame:
+def score_by_handle(products: DataFrame, hits: DataFrame, profile: lx.MatcherProfile) -> DataFrame:
     """Score hits by the handle in their URL: ``product_id, url, score``.
 
-    ``hits``: ``product_id, title, url``.  Duplicate-suffix handles are scored
-    without the suffix and lose ties to canonical ones; then the greatest URL wins.
+    ``products``: ``product_id, title``; ``hits``: ``product_id, url``.  Duplicate-suffix
+    handles are scored without the suffix and lose ties to canonical ones; then the
+    greatest URL wins.  Titles and handles are tokenised once each, before they meet.
     """
-    title = T.title_tokens(F.col("title"), _plain(profile))
+    titles = products.select("product_id", T.title_tokens(F.col("title"), _plain(profile)).alias("tt")).select(
+        "product_id", T.stem_tokens(F.col("tt")).alias("ts"), T.animal_of_tokens(F.col("tt")).alias("animal"),
+        T.stage_of_tokens(F.col("tt")).alias("stage"),
+    )
     handle = U.handle_of(F.col("url"))
-    cand = T.tokenize(U.canonical_handle(handle), profile.stop, profile.units)
+    links = (
+        hits.select("url").distinct().withColumn("handle", handle).where(F.col("handle") != "")
+        .withColumn("ct", T.tokenize(U.canonical_handle(F.col("handle")), profile.stop, profile.units))
+        .select(
+            "url", (~U.has_numeric_suffix(F.col("handle"))).alias("canonical"), T.stem_tokens(F.col("ct")).alias("cs"),
+            T.animal_of_tokens(F.col("ct")).alias("c_animal"), T.stage_of_tokens(F.col("ct")).alias("c_stage"),
+            F.array_contains("ct", "kitten").alias("kitten"),
+        )
+    )
     scored = (
-        hits.withColumn("handle", handle).where(F.col("handle") != "")
-        .withColumn("tt", title).withColumn("ct", cand)
-        .where(M.species_asymmetric(T.animal_of_tokens(F.col("tt")), T.animal_of_tokens(F.col("ct"))))
+        hits.select("product_id", "url").join(titles, "product_id").join(links, "url")
+        .where(M.species_asymmetric(F.col("animal"), F.col("c_animal")))
         .withColumn(
             "score",
-            M.jaccard(T.stem_tokens(F.col("tt")), T.stem_tokens(F.col("ct")))
-            * M.stage_factor(T.stage_of_tokens(F.col("tt")), T.stage_of_tokens(F.col("ct")),
-                             F.array_contains("ct", "kitten"), profile.stage_factor),
+            M.jaccard(F.col("ts"), F.col("cs"))
+            * M.stage_factor(F.col("stage"), F.col("c_stage"), F.col("kitten"), profile.stage_factor),
         )
-        .withColumn("canonical", ~U.has_numeric_suffix(F.col("handle")))
     )
     return (
         scored.groupBy("product_id")
@@ -144,19 +153,20 @@ def page_with_code(hits: DataFrame, docs: DataFrame, max_pages: int = 5) -> Data
     )
 
 
-def marketplace_images(hits: DataFrame, accept: float = 0.35) -> DataFrame:
+def marketplace_images(products: DataFrame, hits: DataFrame, accept: float = 0.35) -> DataFrame:
     """Marketplace pictures of a product: ``product_id, ord, image_id, url``.
 
-    ``hits``: ``product_id, title, query_rank, rank, image, hit_title``.  Only CDN
-    product images; titled hits must resemble the product; one row per image id;
-    the first query that leaves anything is the only one used.
+    ``products``: ``product_id, title``; ``hits``: ``product_id, query_rank, rank, image,
+    hit_title``.  Only CDN product images; titled hits must resemble the product; one row
+    per image id; the first query that leaves anything is the only one used.
     """
     p = lx.PROFILES["marketplace"]
-    tokens = lambda c: T.tokenize(F.col(c), p.stop, p.units)
-    fits = (F.coalesce("hit_title", F.lit("")) == "") | (M.jaccard(tokens("title"), tokens("hit_title")) >= accept - EPS)
+    titles = products.select("product_id", T.title_tokens(F.col("title"), p).alias("tt"))
+    usable = hits.where(P.is_marketplace_image(F.col("image")) & ~P.is_marketplace_sprite(F.col("image")))
+    fits = (F.coalesce("hit_title", F.lit("")) == "") | (M.jaccard(F.col("tt"), F.col("ht")) >= accept - EPS)
     ok = (
-        hits.where(P.is_marketplace_image(F.col("image")) & ~P.is_marketplace_sprite(F.col("image")))
-        .where(fits)
+        usable.withColumn("ht", T.title_tokens(F.col("hit_title"), p))
+        .join(titles, "product_id").where(fits)
         .withColumn("url", U.strip_size_token(F.col("image")))
         .withColumn("image_id", U.marketplace_image_id(F.col("url")))
     )

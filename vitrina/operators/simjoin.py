@@ -165,7 +165,10 @@ class _Index:
 def best_matches(queries: DataFrame, entries: DataFrame, accept: float,
                  guard: PairRule | None = None, factor: PairRule | None = None) -> DataFrame:
     """Best entry of each query: ``qid, pref, score`` with ``score >= accept``."""
-    ix = _Index(queries, entries, accept, guard, factor)
+    return _best(_Index(queries, entries, accept, guard, factor))
+
+
+def _best(ix: _Index) -> DataFrame:
     groups = ix.entry_groups().groupBy("me", "ne", "eg").agg(F.max("pref").alias("pref"))
     best_of_group = (
         ix.group_pairs(groups)
@@ -208,10 +211,8 @@ def near_best_matches(queries: DataFrame, entries: DataFrame, accept: float, mar
 
     Only queries whose best reaches ``accept``; entries down to ``accept - margin``.
     """
-    best = cut_lineage(
-        best_matches(queries, entries, accept, guard, factor).select("qid", F.col("score").alias("best"))
-    )
     ix = _Index(queries, entries, max(accept - margin, EPS * 10), guard, factor)
+    best = cut_lineage(_best(ix).where(F.col("score") >= accept - EPS).select("qid", F.col("score").alias("best")))
     floor = F.col("best") - F.lit(margin) - EPS
     indexed = ix.indexed_pairs().join(best, "qid").where(F.col("score") >= floor)
     # Groups qualify against the lowest floor of their queries, members join afterwards.

@@ -135,6 +135,18 @@ def hits(t: Tables) -> DataFrame:
     return _view(joined, _HIT_OUT)
 
 
+def hits_of_pages(t: Tables, pages: DataFrame, *columns: str) -> DataFrame:
+    """Hits with columns computed once per page: ``pages`` is keyed ``cand_id``.
+
+    Tokens and the like belong to the page, not to each hit of it.
+    """
+    pages = pages.withColumnRenamed("cand_id", "l_suppkey")
+    plain = {n: e for n, e in _HIT_OUT.items() if n in ("product_id", "rank", "query_rank", "line")}
+    keep = [c for c in pages.columns if c != "l_suppkey"]
+    return t.lineitem.join(pages, "l_suppkey").selectExpr(
+        *[f"{e} AS {n}" for n, e in plain.items()], "l_suppkey AS cand_id", *keep, *columns)
+
+
 # features: embedding vectors as photos (label = catalogue/product bucket)
 def vector_feature(column: str = "embedding") -> str:
     return f"named_struct('b', 'clip', 'vec', {column}, 'hash', cast(null as array<bigint>))"

@@ -104,9 +104,11 @@ CONFIRM = f"""WITH {B.PRODUCTS}, {B.HITS}, pq AS (SELECT product_id, {_GQ} AS a,
 def confirmable(t):
     p = B.products(t).select("product_id", T.title_tokens(F.col("title"), PR["generic_search"]).alias("a"),
                              T.species_of(F.col("title")).alias("title_species"))
-    h = B.hits(t).select(
-        "product_id", "rank", "url", "cand_id", T.title_tokens(F.col("name"), PR["generic_search"]).alias("b"),
-        T.species_of(F.concat_ws(" ", "name", "url")).alias("cand_species"))
+    # Tokens once per page; the species also reads the URL, which differs between hits.
+    pages = t.part.select(F.col("p_partkey").alias("cand_id"), "p_name", "p_type",
+                          T.title_tokens(F.expr(B.CATALOG_NAME), PR["generic_search"]).alias("b"))
+    h = B.hits_of_pages(t, pages, f"{B._HIT_OUT['url']} AS url", f"{B.CATALOG_NAME} AS name").select(
+        "product_id", "rank", "url", "cand_id", "b", T.species_of(F.concat_ws(" ", "name", "url")).alias("cand_species"))
     return h.join(p, "product_id").withColumn("score", M.jaccard(F.col("a"), F.col("b"))).drop("a", "b")
 
 
@@ -147,7 +149,9 @@ _BH = S.stem(S.toks(S.norm("spanish"), lx.STOP_BEAPHAR))
 )
 def _(t):
     p = t.part.select(F.col("p_partkey").alias("product_id"), T.title_tokens(F.expr(B.SPANISH), PR["beaphar"]).alias("a"))
-    h = B.hits(t).select("product_id", "rank", "url", T.title_tokens(F.col("spanish"), PR["beaphar"]).alias("b")).join(p, "product_id")
+    pages = t.part.select(F.col("p_partkey").alias("cand_id"), "p_name", "p_type",
+                          T.title_tokens(F.expr(B.SPANISH), PR["beaphar"]).alias("b"))
+    h = B.hits_of_pages(t, pages, f"{B._HIT_OUT['url']} AS url").join(p, "product_id")
     h = h.withColumn("score", M.jaccard(F.col("a"), F.col("b")))
     return H.best_with_early_stop(h, PR["beaphar"].accept).withColumn("score", F.round("score", 6))
 
@@ -166,8 +170,7 @@ _HANDLE = "split_part(split_part(string_split(regexp_replace(url, '/+$', ''), '/
     SELECT product_id, url, round(score, 6)::DOUBLE AS score FROM b WHERE rn = 1 AND score >= 0.22 - 1e-9""",
 )
 def _(t):
-    h = B.hits(t).select("product_id", "url").join(B.products(t).select("product_id", "title"), "product_id")
-    return H.score_by_handle(h, PR["applaws_uk"]).withColumn("score", F.round("score", 6))
+    return H.score_by_handle(B.products(t), B.hits(t), PR["applaws_uk"]).withColumn("score", F.round("score", 6))
 
 
 _HOSTED = "replace(url, 'www.maker.example.com', host)"
@@ -437,8 +440,8 @@ _MH = S.toks(S.norm_glued("hit_title"), lx.STOP_MARKETPLACE)
 def _(t):
     titles = t.part.selectExpr("p_partkey AS product_id", f"{B.SPANISH} || ' 12' AS title")
     h = B.hits(t).select("product_id", "query_rank", "rank", F.expr(_MKT).alias("image"),
-                         F.expr("CASE WHEN line = 3 THEN '' ELSE spanish END").alias("hit_title")).join(titles, "product_id")
-    return H.marketplace_images(h)
+                         F.expr("CASE WHEN line = 3 THEN '' ELSE spanish END").alias("hit_title"))
+    return H.marketplace_images(titles, h)
 
 
 _CDN = "'https://m.media-amazon.com/images/I/'"

@@ -21,10 +21,12 @@ WITH = f"WITH {B.PRODUCTS}"
 PAIRS = f"WITH {B.PRODUCTS}, {B.HITS}, pr AS (SELECT h.product_id, h.rank, p.title, h.name, h.spanish FROM hits h JOIN products p USING (product_id))"
 
 
-def pairs(t):
-    return B.hits(t).select("product_id", "rank", "name", "spanish").join(
-        B.products(t).select("product_id", "title"), "product_id"
-    )
+def pairs(t, title_tokens, name_tokens, column="name"):
+    """Hits with both token sets; tokens are made once per product and once per page."""
+    text = F.expr(B.CATALOG_NAME if column == "name" else B.SPANISH)
+    pages = t.part.select(F.col("p_partkey").alias("cand_id"), name_tokens(text).alias("b"))
+    titles = B.products(t).select("product_id", title_tokens(F.col("title")).alias("a"))
+    return B.hits_of_pages(t, pages).select("product_id", "rank", "b").join(titles, "product_id")
 
 
 def _measure(name, sql_title, sql_name, title_tokens, name_tokens, column="name"):
@@ -34,7 +36,7 @@ def _measure(name, sql_title, sql_name, title_tokens, name_tokens, column="name"
         f"SELECT product_id, rank, round({S.jac('a', 'b')}, 6)::DOUBLE AS score FROM k",
     )
     def _(t):
-        k = pairs(t).select("product_id", "rank", title_tokens(F.col("title")).alias("a"), name_tokens(F.col(column)).alias("b"))
+        k = pairs(t, title_tokens, name_tokens, column)
         return k.select("product_id", "rank", F.round(M.jaccard(F.col("a"), F.col("b")), 6).alias("score"))
 
 
@@ -61,8 +63,7 @@ _measure("m04_expanded_stemmed", S.stem(S.expand(_sq(lx.STOP_FARMINA, "title"),
     "SELECT product_id, rank, len(a) > 0 AND len(list_intersect(a, b)) >= CASE WHEN len(a) >= 3 THEN 2 ELSE 1 END AS confirmed FROM k",
 )
 def _(t):
-    tok = _p("artero")
-    k = pairs(t).select("product_id", "rank", tok(F.col("title")).alias("a"), tok(F.col("spanish")).alias("b"))
+    k = pairs(t, _p("artero"), _p("artero"), "spanish")
     return k.select("product_id", "rank", M.enough_overlap(F.col("a"), F.col("b")).alias("confirmed"))
 
 
@@ -203,9 +204,10 @@ def _(t):
         "{1}", f"CASE WHEN {S.overlap_any('b', ['kitten', 'puppy'])} THEN 'junior' WHEN list_contains(b, 'senior') THEN 'senior' WHEN list_contains(b, 'adult') THEN 'adult' ELSE '' END"),
 )
 def _(t):
-    a = T.translate_tokens(T.tokenize(F.col("title"), lx.STOP_APPLAWS, "after"), lx.TR_APPLAWS)
-    b = T.tokenize(F.col("name"), lx.STOP_APPLAWS, "after")
-    k = pairs(t).select("product_id", "rank", a.alias("a"), b.alias("b"))
+    k = pairs(
+        t, lambda c: T.translate_tokens(T.tokenize(c, lx.STOP_APPLAWS, "after"), lx.TR_APPLAWS),
+        lambda c: T.tokenize(c, lx.STOP_APPLAWS, "after"),
+    )
     return k.select("product_id", "rank", M.stage_factor(
         T.stage_of_tokens(F.col("a")), T.stage_of_tokens(F.col("b")), F.array_contains("b", "kitten")).alias("factor"))
 
