@@ -10,7 +10,7 @@ from vitrina.functions import text as T
 from vitrina.operators import cascade as C
 from vitrina.operators import hits as H
 from vitrina.operators import images as I
-from vitrina.operators import matching, provenance, signatures
+from vitrina.operators import matching, provenance, runs, signatures
 from vitrina.plans import bindings as B
 from vitrina.plans import sqltext as S
 from vitrina.plans.match_queries import (
@@ -265,16 +265,10 @@ CASCADE = f"""WITH {B.PRODUCTS}, {B.CATALOG}, {CACHE}, {_CODES_SQL}, {B.WRITES},
 
 def resolve(t):
     """Source URL, cache, barcode, text: ``product_id, handle, url, score, method``."""
-    p = B.products(t)
     meta = provenance.current_urls(B.writes(t)).where("url_key = 'url_fabricante'")
-    override = p.select("product_id").join(meta, "product_id").select("product_id", "url", F.lit(1.0).alias("score"))
-    cached = C.match_title_key(p, cache(t), T.title_key(F.col("title")))
-    barcode = C.match_barcode(p, coded_catalog(t))
-    text = matching.match_best(C.unresolved(p, override, cached, barcode), B.catalog(t), PR["calibra"])
-    out = C.cascade(p, [("override", override), ("cache", cached), ("barcode", barcode), ("text", text)], lx.RESOLUTION_FLOOR)
-    urls = B.catalog(t).select("handle", F.col("url").alias("entry_url"))
-    return out.join(urls, "handle", "left").select(
-        "product_id", "handle", F.coalesce("url", "entry_url", F.lit("")).alias("url"), "score", "method")
+    codes = coded_catalog(t).select("handle", "barcodes", "skus")
+    return runs.resolve_products(
+        B.products(t), B.catalog(t).join(codes, "handle"), PR["calibra"], T.title_key(F.col("title")), cache(t), meta)
 
 
 @query("j20_resolution_cascade", f"{CASCADE} SELECT product_id, handle, url, round(score, 6)::DOUBLE AS score, method FROM res")
@@ -419,6 +413,22 @@ def _(t):
     return C.combine_image_sources(B._view(t.lineitem, _COMBINE))
 
 
+_CACHED = "cm AS (SELECT l_partkey AS product_id, l_orderkey AS ord, 'https://cdn.example.com/cached/' || l_suppkey AS url FROM lineitem WHERE l_quantity > 48)"
+
+
+@query(
+    "j28_cached_or_searched",
+    f"""WITH {_CACHED}, se AS (SELECT l_partkey AS product_id, l_orderkey AS ord, 'https://cdn.example.com/found/' || l_suppkey AS url FROM lineitem WHERE l_linenumber = 1)
+    SELECT * FROM cm UNION ALL SELECT * FROM se WHERE product_id NOT IN (SELECT product_id FROM cm)""",
+)
+def _(t):
+    def rows(where, kind):
+        return t.lineitem.where(where).selectExpr(
+            "l_partkey AS product_id", "l_orderkey AS ord", f"'https://cdn.example.com/{kind}/' || cast(l_suppkey as string) AS url")
+
+    return C.cached_or_searched(rows("l_quantity > 48", "cached"), rows("l_linenumber = 1", "found"))
+
+
 _MKT = (
     "CASE WHEN line = 5 THEN 'https://elsewhere.example.com/i/' || cast(cand_id as string) || '.jpg' WHEN line = 2 AND cand_id > 80 THEN "
     "'https://m.media-amazon.com/images/I/play-icon-overlay.png' ELSE 'https://m.media-amazon.com/images/I/' || cast(cand_id as string) || '._AC_SL' || cast(line as string) || '500_.jpg' END"

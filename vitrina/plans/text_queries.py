@@ -385,6 +385,40 @@ def _(t):
     ).select("product_id", "profile", (F.col("pos") + 1).alias("query_rank"), "query")
 
 
+_MT = "'Menforsan  ' || title"
+_MC = S.noise(_MT, True)
+_MB = f"trim(regexp_replace({_MC}, '^MENFORSAN\\s+', '', 'i'))"
+_PT = "CASE WHEN p_size > 20 THEN 'APPLAWS ' || title ELSE title END"
+_PC = S.noise(_PT, True)
+_PB = f"trim(regexp_replace({_PC}, '^APPLAWS\\s+', '', 'i'))"
+_RT = "'VIRBAC ' || title"
+_RB = f"trim({S.rx('trim(' + S.rxi(_RT, r'\b(virbac)\b', '') + ')', r'\s+', ' ')})"
+_RS = rf"array_to_string(list_filter(string_split_regex(trim({_RB}), '\s+'), lambda w: length(w) > 3)[1:3], ' ')"
+_SC = f"trim({S.rx(S.rxi('title', S.NOISE_FULL, ' '), r'\s+', ' ')})"
+
+
+@query(
+    "t29_more_search_queries",
+    f"""{WITH}, q AS (
+      SELECT product_id, 'menforsan' AS profile, ['site:menforsan.com/es/ ' || {_MC}, CASE WHEN {_MB} <> {_MC} THEN 'site:menforsan.com/es/ ' || {_MB} END,
+        CASE WHEN barcode <> '' THEN 'site:menforsan.com/es/ ' || barcode END] AS qs FROM products
+      UNION ALL SELECT product_id, 'applaws_es', ['site:applaws.pet/producto/ ' || {_PC}, CASE WHEN {_PB} <> {_PC} THEN 'site:applaws.pet/producto/ ' || {_PB} END,
+        CASE WHEN barcode <> '' THEN 'site:applaws.pet/producto/ ' || barcode END] FROM products
+      UNION ALL SELECT product_id, 'virbac_vet', ['site:vet-es.virbac.com ' || {_RB}, CASE WHEN {_RS} <> '' AND {_RS} <> {_RB} THEN 'site:vet-es.virbac.com ' || {_RS} END] FROM products
+      UNION ALL SELECT product_id, 'generic', [{_SC} || ' site:' || lower(replace(vendor, '#', '')) || '.example.com', {_SC}] FROM products),
+    f AS (SELECT product_id, profile, list_filter(qs, lambda x: x IS NOT NULL) AS qs FROM q)
+    SELECT product_id, profile, unnest(range(1, len(qs) + 1))::INTEGER AS query_rank, unnest(qs) AS query FROM f""",
+)
+def _(t):
+    titled = {"menforsan": F.expr(_MT), "applaws_es": F.expr(_PT), "virbac_vet": F.expr(_RT)}
+    rows = [F.struct(F.lit(n).alias("profile"), T.search_queries(c, F.col("barcode"), n).alias("qs")) for n, c in titled.items()]
+    domain = F.expr("lower(replace(vendor, '#', '')) || '.example.com'")
+    rows.append(F.struct(F.lit("generic").alias("profile"), T.site_queries(_title(), domain).alias("qs")))
+    return B.products(t).select("product_id", F.inline(F.array(*rows))).select(
+        "product_id", "profile", F.posexplode("qs").alias("pos", "query")
+    ).select("product_id", "profile", (F.col("pos") + 1).alias("query_rank"), "query")
+
+
 _HT = "CASE WHEN p_type = 'PROMO' THEN 'ARTERO HIGIENE PERFUME VIOLET 90 ML' WHEN p_type = 'SMALL' THEN replace(title, 'MINI', 'HIGIENE') ELSE title END"
 _HS = _unit_slug(_HT)
 _HW = f"nullif(array_to_string(list_filter(string_split({_HS}, '-'), lambda w: w <> 'higiene'), '-'), '')"
