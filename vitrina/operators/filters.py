@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.session import cut_lineage
+
 
 def by_vendor(products: DataFrame, vendor: str) -> DataFrame:
     return products.where(F.col("vendor") == vendor)
@@ -70,15 +72,35 @@ def leading(rows: DataFrame, keys: Iterable[str], order: Iterable[Column | str],
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def rank_within(rows: DataFrame, keys: Iterable[str], order: Iterable[str], name: str = "rank") -> DataFrame:
+    """1-based rank of every row inside its key, without sorting a whole key in one task.
+
+    Rows are range-partitioned by ``(keys, order)`` and written, so a busy key spans many
+    files; the rank is the number of rows in the key's earlier files plus the place inside
+    the file.  ``order`` must be unique inside a key for the rank to be.
+    """
+    keys, order = list(keys), list(order)
+    placed = cut_lineage(rows.repartitionByRange(*keys, *order)).select("*", F.col("_metadata.file_path").alias("_chunk"))
+    chunks = placed.groupBy(*keys, "_chunk").agg(F.min(F.struct(*order)).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    return (
+        placed.withColumn("_inside", inside).join(before, [*keys, "_chunk"])
+        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("int"))
+        .drop("_chunk", "_inside", "_before")
+    )
+
+
 def image_at(requests: DataFrame, images: DataFrame) -> DataFrame:
     """Image at a requested position: exact position, else the n-th by sorted position.
 
     ``requests``: ``product_id, position``; ``images``: ``product_id, image_id,
     position``.  Returns ``product_id, position, image_id, how``.
     """
-    order = Window.partitionBy("product_id").orderBy(F.coalesce("position", F.lit(999)), "image_id")
     exact = images.groupBy("product_id", "position").agg(F.min("image_id").alias("exact_id"))
-    nth = images.select("product_id", F.row_number().over(order).alias("position"), F.col("image_id").alias("nth_id"))
+    ordered = images.select("product_id", F.coalesce("position", F.lit(999)).alias("at"), F.col("image_id").alias("nth_id"))
+    nth = rank_within(ordered, ["product_id"], ["at", "nth_id"], "position").drop("at")
     return (
         requests.join(exact, ["product_id", "position"], "left")
         .join(nth, ["product_id", "position"], "left")

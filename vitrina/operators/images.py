@@ -6,13 +6,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions import image_math as IM
 from vitrina.functions import predicates as P
 from vitrina.functions import similarity as M
 from vitrina.functions import text as T
+from vitrina.operators import filters
 from vitrina.session import cut_lineage
 
 #: Distinct hashes a product may have for its groups to be folded in one row.
@@ -365,5 +366,5 @@ def filter_by_keys(images: DataFrame) -> DataFrame:
 
 def gallery_positions(images: DataFrame) -> DataFrame:
     """Dense position of each picture in its gallery (1-based, missing order last)."""
-    order = Window.partitionBy("product_id").orderBy(F.coalesce("ord", F.lit(999)), "url")
-    return images.withColumn("position", F.row_number().over(order))
+    ordered = images.withColumn("_at", F.coalesce(F.col("ord").cast("bigint"), F.lit((1 << 63) - 1)))
+    return filters.rank_within(ordered, ["product_id"], ["_at", "url"], "position").drop("_at")
