@@ -1,8 +1,9 @@
 """Headline queries, timed.  Prints one JSON line.
 
 ``BENCH_SF_DIR`` (default ``/root/testdata/sf0.1``) names the tables, ``BENCH_CPUS``
-(default 8) the local cores.  Every result is computed in full and discarded; each query
-runs once after a small warm-up.
+(default 8) the local cores.  Every result is computed in full and discarded.  Each query
+runs twice; the second run is reported, so that code generation and JIT warm-up of a fresh
+JVM do not drown what the query itself costs.
 """
 
 from __future__ import annotations
@@ -64,11 +65,11 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    run("t06_vendor_slug")
     seconds = {}
     for name in names:
+        cold = run(name)
         seconds[name] = round(run(name), 3)
-        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+        print(f"\n{name} cold {cold:.3f} warm {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,

@@ -42,8 +42,9 @@ def match_title_key(products: DataFrame, cache: DataFrame, key: Column, require_
     unless ``require_url`` is off.
     """
     usable = cache.where(~_missing(F.col("url"))) if require_url else cache
+    # A key that cannot be null spares the join a null test that would compute it twice.
     return (
-        products.select("product_id", key.alias("title_key"))
+        products.select("product_id", F.coalesce(key, F.lit("")).alias("title_key"))
         .join(usable.select("title_key", "url"), "title_key")
         .withColumn("score", F.lit(1.0))
     )

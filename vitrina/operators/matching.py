@@ -48,7 +48,6 @@ class Resolution:
                 pref.alias("pref"), T.title_tokens(text, profile, catalog_side=True).alias("tokens"),
                 (entry_guards if entry_guards is not None else _no_guard()).alias("guards"),
             )
-            .where(F.size("tokens") > 0)
             .withColumn("set_key", simjoin.set_key(F.col("tokens")))
         )
         self.pref = pref
@@ -58,18 +57,18 @@ class Resolution:
         """Distinct (set, guards) of the products, written once: titles are tokenised one
         time for the index and one time for copying results back."""
         return cut_lineage(
-            self.products.where(F.size("tokens") > 0)
-            .groupBy("set_key", "guards")
+            self.products.groupBy("set_key", "guards")
             .agg(F.min("product_id").alias("qid"), F.any_value("tokens").alias("tokens"))
+            .where(F.size("tokens") > 0)
         )
 
     @cached_property
     def distinct_entries(self) -> DataFrame:
         """Distinct (set, guards) of the catalogue, each with its preferred entry."""
         return cut_lineage(
-            self.entries.groupBy("set_key", "guards").agg(
-                F.max("pref").alias("pref"), F.any_value("tokens").alias("tokens")
-            )
+            self.entries.groupBy("set_key", "guards")
+            .agg(F.max("pref").alias("pref"), F.any_value("tokens").alias("tokens"))
+            .where(F.size("tokens") > 0)
         )
 
     def to_members(self, hits: DataFrame, first: int | None = None) -> DataFrame:

@@ -29,6 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.functions import text as T
 from vitrina.functions.similarity import jaccard_from_counts
 from vitrina.session import cut_lineage
 
@@ -44,8 +45,11 @@ _LONG0 = "bigint"
 
 
 def set_key(tokens: Column) -> Column:
-    """Canonical key of a token set: digest of its sorted members."""
-    return F.sha2(F.array_join(F.array_sort(tokens), "\u0001"), 256)
+    """Canonical key of a token set: digest of its sorted members.
+
+    Never null, so that joins on it do not add a null test that would compute it twice.
+    """
+    return F.coalesce(F.sha2(F.array_join(F.array_sort(tokens), "\u0001"), 256), F.lit(""))
 
 
 def token_frequency(sets: DataFrame) -> DataFrame:
@@ -53,8 +57,8 @@ def token_frequency(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def hot_tokens(queries: DataFrame, entries: DataFrame, limit: int = HOT_TOKENS) -> DataFrame:
-    """One row, ``hot array<string>``: the tokens producing most pairs (at most ``limit``)."""
+def hot_tokens(queries: DataFrame, entries: DataFrame, limit: int = HOT_TOKENS) -> list[str]:
+    """The tokens producing most pairs, at most ``limit``; they become a literal of the plan."""
     top = (
         token_frequency(queries).withColumnRenamed("df", "dq")
         .join(token_frequency(entries).withColumnRenamed("df", "de"), "token")
@@ -62,27 +66,23 @@ def hot_tokens(queries: DataFrame, entries: DataFrame, limit: int = HOT_TOKENS)
         .orderBy(F.desc("pairs"), "token")
         .limit(limit)
     )
-    return top.agg(F.array_sort(F.collect_list("token")).alias("hot"))
+    return sorted(r["token"] for r in top.collect())
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast(_LONG0), i)
 
 
-def _masked(sets: DataFrame, hot: DataFrame) -> DataFrame:
-    """Replace ``tokens`` by ``n``, ``mask`` (bit i = i-th hot token) and ``rare``.
-
-    ``hot`` is one row of at most :data:`HOT_TOKENS` strings, read as a scalar
-    subquery.
-    """
-    zero = F.lit(0).cast(_LONG0)
-    bits = F.transform("hot", lambda h, i: F.when(F.array_contains("tokens", h), _bit(i)).otherwise(zero))
+def _masked(sets: DataFrame, hot: list[str]) -> DataFrame:
+    """Replace ``tokens`` by ``n``, ``mask`` (bit i = i-th hot token) and ``rare``."""
+    mask = F.lit(0).cast(_LONG0)
+    for i, token in enumerate(hot):
+        mask = mask + F.when(F.array_contains("tokens", token), F.lit(1 << i)).otherwise(F.lit(0)).cast(_LONG0)
     return (
-        sets.withColumn("hot", hot.scalar())
-        .withColumn("n", F.size("tokens"))
-        .withColumn("mask", F.aggregate(bits, zero, lambda a, b: a.bitwiseOR(b)))
-        .withColumn("rare", F.array_except("tokens", "hot"))
-        .drop("hot", "tokens")
+        sets.withColumn("n", F.size("tokens"))
+        .withColumn("mask", mask)
+        .withColumn("rare", F.array_except("tokens", T.str_array(hot)))
+        .drop("tokens")
     )
 
 
@@ -237,11 +237,12 @@ def distinct_sets(rows: DataFrame, id_column: str) -> DataFrame:
 
     Empty sets are missing values and match nothing; they are left out.
     """
+    # Emptiness is tested on the groups: on the rows it would compute every set twice.
     return (
-        rows.where(F.size("tokens") > 0)
-        .select(F.col(id_column).alias("_id"), set_key(F.col("tokens")).alias("set_key"), "tokens")
+        rows.select(F.col(id_column).alias("_id"), set_key(F.col("tokens")).alias("set_key"), "tokens")
         .groupBy("set_key")
         .agg(F.min("_id").alias("set_id"), F.count(F.lit(1)).alias("members"), F.any_value("tokens").alias("tokens"))
+        .where(F.size("tokens") > 0)
     )
 
 
