@@ -30,7 +30,10 @@ _CAND = {
     "nbytes": "cast(l_extendedprice as bigint)", "white_ratio": "l_quantity / 50", "bbox_w": "600 + cast(l_quantity * 20 as int)",
     "bbox_h": "500 + cast(l_quantity * 30 as int)",
 }
-RUN = f"""WITH RECURSIVE c AS (SELECT DISTINCT {B._sql(B._select(_CAND))} FROM lineitem), f AS (SELECT product_id, bool_or(source = 'override') AS o, bool_or(source <> 'generic') AS s FROM c GROUP BY product_id),
+_KEYS = ("product_id", "source", "ord", "url")
+_FACTS = ("width", "height", "hash", "nbytes", "white_ratio", "bbox_w", "bbox_h")
+RUN = f"""WITH RECURSIVE c0 AS (SELECT {B._sql(B._select(_CAND))} FROM lineitem),
+  c AS (SELECT {', '.join(_KEYS)}, {', '.join(f'max({x}) AS {x}' for x in _FACTS)} FROM c0 GROUP BY {', '.join(_KEYS)}), f AS (SELECT product_id, bool_or(source = 'override') AS o, bool_or(source <> 'generic') AS s FROM c GROUP BY product_id),
   u AS (SELECT c.* FROM c JOIN f USING (product_id) WHERE CASE source WHEN 'match' THEN NOT o WHEN 'generic' THEN NOT s ELSE true END),
   lg AS MATERIALIZED (SELECT *, CASE source WHEN 'override' THEN 0 WHEN 'match' THEN 1 WHEN 'marketplace' THEN 2 ELSE 3 END::BIGINT * 1152921504606846976 + ord AS idx FROM u WHERE width >= 800 AND height >= 800),
   pics AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY idx) AS pos FROM lg),
@@ -48,7 +51,9 @@ def image_run(t):
     p = t.orders.selectExpr("o_orderkey AS product_id", "'order ' || cast(o_orderkey as string) AS title", "'order-' || cast(o_orderkey as string) AS slug")
     matched = t.orders.where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS product_id")
     existing = B._view(t.lineitem, {"product_id": "l_partkey", **{k: B.IMAGE_COLUMNS[k] for k in ("image_id", "position", "alt")}})
-    return runs.image_run(p, matched, B._view(t.lineitem, _CAND).distinct(), existing)
+    # One row per candidate: a line that occurs twice is one picture.
+    cands = B._view(t.lineitem, _CAND).groupBy(*_KEYS).agg(*[F.max(x).alias(x) for x in _FACTS])
+    return runs.image_run(p, matched, cands, existing)
 
 
 @query("r02_image_run", f"{RUN} SELECT product_id, position, url, source, members FROM k")
