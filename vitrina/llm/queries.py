@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrina.llm import line_quality, mixing
+from vitrina.llm import line_quality, mixing, packing, token_files, toxicity
 from vitrina.llm.common import read
+from vitrina.llm.encoding import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +20,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.write_token_files(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_files.read_documents(files)
+
+
 @_query
 def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_quality.clean_documents(read(spark, folder, "documents"), with_text=False)
@@ -25,6 +33,13 @@ def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op5_pack(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @_query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -61,3 +76,11 @@ with d as (
 )
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, extra - before)))::bigint as taken from x
 """
+
+
+@_query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    scored = toxicity.score_documents(
+        read(spark, folder, "documents"), read(spark, folder, "labels"), train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
