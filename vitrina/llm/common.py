@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrina.session import checkpoint_dir, cut_lineage
 
-__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "long_key", "read", "slices", "text_bytes", "word_count"]
+__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "read", "slices", "text_bytes", "word_count"]
 
 #: A word: a longest run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,8 +30,12 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def long_key(*columns: str) -> Column:
-    return F.xxhash64(*columns)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:

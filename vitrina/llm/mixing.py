@@ -16,7 +16,7 @@ the empty name is another.  Sources without words have target 0, and so has ever
 nothing has words.  Repeated rows are documents of their own; rows with the same id are
 ordered by size, and equal rows are alike, so whichever is cut gives the same rows.  A null
 id is hashed as the empty string.  An empty table gives an empty result.  Columns of any
-other name pass through ``mixed_texts``; the operator's own columns start with ``mix_``.
+other name pass through ``mixed_texts``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import WORD, cut_lineage, word_count
+from vitrina.llm.common import WORD, cut_lineage, fresh, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -128,17 +128,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
 def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them; a last repetition may end after ``extra`` words.
 
+    Documents without words are not taken.
     Needs unique ids that are not null; ``docs`` keeps its columns.
     """
+    key, epochs, cut, words = (fresh(docs, f"mix_{c}") for c in ("id", "epochs", "cut", "words"))
     plan = mixed.select(
-        F.col("doc_id").alias("mix_id"), F.col("epochs").alias("mix_epochs"),
-        F.when(F.col("extra") == F.col("size"), F.lit(-1)).otherwise(F.col("extra")).alias("mix_cut"))
+        F.col("doc_id").alias(key), F.col("epochs").cast("int").alias(epochs),
+        F.when(F.col("extra") == F.col("size"), F.lit(-1)).otherwise(F.col("extra")).cast("long").alias(cut))
     copies = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col("mix_epochs").cast("int")),
-        F.when(F.col("mix_cut") != 0, F.array(F.col("mix_cut"))).otherwise(F.array().cast("array<bigint>")))
-    start = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"({WORD}[\x20\x09-\x0D]*)")), 1, F.col("mix_words").cast("int")), "")
-    columns = [F.when((F.col("mix_words") >= 0), start).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+        F.array_repeat(F.lit(-1).cast("long"), F.col(epochs)),
+        F.when(F.col(cut) != 0, F.array(F.col(cut))).otherwise(F.array().cast("array<bigint>")))
+    start = F.array_join(F.slice(
+        F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)")), F.lit(1), F.col(words).cast("int")), "")
+    text = F.when(F.col(words) >= 0, start).otherwise(F.col("text")).alias("text")
     return (
-        docs.join(plan, docs["doc_id"] == plan["mix_id"])
-        .withColumn("mix_words", F.explode(copies)).select(*columns)
+        docs.join(plan, docs["doc_id"] == plan[key]).withColumn(words, F.explode(copies))
+        .select(*(text if c == "text" else F.col(c) for c in docs.columns))
     )

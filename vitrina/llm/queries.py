@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import line_quality, mixing, packing, token_files, toxicity
+from vitrina.llm import line_quality, mixing, packing, pseudonyms, token_files, topk, toxicity, url_filter
 from vitrina.llm.common import read
 from vitrina.llm.encoding import vocabulary
 
@@ -84,3 +84,39 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score_documents(
         read(spark, folder, "documents"), read(spark, folder, "labels"), train=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(read(spark, folder, "embeddings"))
+
+
+ORACLES["op7_top_k"] = """
+with v as (
+  select vec_id, [floor(1024 * x::double) for x in embedding] as e
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x::double)]) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+#: Rules of the URL filter: whether each blocks.
+URL_RULES = {"net/": True, "example.net/en/": False, "example.com/de/": True, "org/fr/": False}
+
+
+@_query
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="corpus-key", count="n_found")
