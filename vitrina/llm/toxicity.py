@@ -8,9 +8,9 @@ and those likewise as an average token, which scores just below zero; the k-th t
 word stands in a text it counts for 1/k.  One scan per text finds every maximal scoring
 segment (the segments of Ruzzo and Tompa) in linear time.  The best score of a text of ``n`` tokens without toxic passages
 follows an extreme-value distribution whose location grows with ``ln n``; it is fitted on
-the labelled rows of either class and gives the document's probability.  A passage is
+labelled rows of either class and gives the document's probability.  A passage is
 significant if its expected number of chance occurrences in a text of that length is at
-most ``max_expected``.
+most ``max_expected``.  A fit uses at most ``fit_rows`` labelled rows; every text is scored.
 
 Edge cases: null and empty texts have no segment and get the probability of score 0.
 Without labelled rows of both classes every score is the share of toxic labels (0 if
@@ -57,6 +57,7 @@ class ToxicitySettings:
     strength: float = 1.0           #: pseudo-documents of the prior
     shift: float = 0.1              #: subtracted from every score
     max_score: float = 6.0          #: largest score of a token
+    fit_rows: int = 20_000          #: labelled rows used to fit, the first by a hash of the id
     max_expected: float = 0.05      #: chance occurrences up to which a passage is significant
 
 
@@ -141,7 +142,7 @@ def class_counts(labelled: DataFrame, settings: ToxicitySettings) -> DataFrame:
 
 
 def fit_tokens(labelled: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
-    """Token scores from all labelled rows; at most ``settings.vocabulary`` of them reach the driver."""
+    """Token scores from the labelled rows; at most ``settings.vocabulary`` of them reach the driver."""
     n = labelled.agg(
         F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("clean"),
     ).first()
@@ -195,7 +196,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column | None = N
 
     ``passages``: the significant segments as (first token, end, score).
     """
-    known = _label_of(labels.filter(train) if train is not None else labels)
+    chosen = _label_of(labels.filter(train) if train is not None else labels)
+    # Bounded by fit_rows (some hundred kB), so it is broadcast and no text is shuffled.
+    known = F.broadcast(cut_lineage(chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(settings.fit_rows)))
     labelled = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(known, "label_id"))
     model = fit_tokens(labelled, settings)
     found = cut_lineage(segments(docs, model))
