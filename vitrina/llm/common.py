@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import vitrina
 from vitrina.session import checkpoint_dir, cut_lineage
 
-__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "read", "slices", "text_bytes", "word_count"]
+__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "read", "ship", "slices", "text_bytes", "word_count"]
 
 #: A word: a longest run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(vitrina.__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="spark-package-")) / "vitrina_package.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, str(Path("vitrina") / file.relative_to(root)))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

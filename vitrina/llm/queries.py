@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import line_quality, mixing, packing, pseudonyms, token_files, topk, toxicity, url_filter
-from vitrina.llm.common import read
+from vitrina.llm import jaccard_join, line_quality, mixing, packing, pseudonyms, token_files, topk, toxicity, url_filter
+from vitrina.llm.common import read, ship
 from vitrina.llm.encoding import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,8 +17,13 @@ ORACLES: dict[str, str] = {}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, folder)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @_query
@@ -120,3 +126,8 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, key="corpus-key", count="n_found")
+
+
+@_query
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, folder, "documents"))
