@@ -1,21 +1,25 @@
 """Encoding whole texts with a public tokenizer, exactly and fast.
 
-Byte-pair encoders work inside pieces that never cross the border between a word and the
-space before it.  A text is therefore cut at single spaces between visible characters;
-each different chunk is encoded once per worker process and remembered as bytes.  Where a
-border isn't of that kind (runs of spaces, control characters), chunks stay joined, so the
-ids are those of the whole text.
+Byte-pair encoders work inside pieces: runs of letters, runs of marks, white space.  A
+space starts the piece after it or is dropped.  A text is therefore cut at single spaces
+between visible characters, and a chunk of the usual form (letters, marks, perhaps a line
+break and the same again) into its runs.  Runs of letters are encoded many at once in one
+string and remembered; other chunks are encoded as they are.  Where a border isn't of that
+kind (runs of spaces, control characters), chunks stay joined, so the ids are those of the
+whole text.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
 
 import numpy as np
 
-#: Chunks that a worker process remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Runs that a worker process remembers; the memory is emptied when it is full.
+REMEMBERED = 500_000
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
+_USUAL = re.compile(f"({_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
 _ENCODERS: dict[tuple[str, bool], "TextEncoder"] = {}
 
 
@@ -34,8 +38,8 @@ class TextEncoder:
     """``encode_many(texts)``: the ids of each text as little-endian unsigned 32-bit integers.
 
     ``spaces_join``: a space belongs to the word after it (byte-level vocabularies);
-    otherwise the vocabulary drops white space.  Strings of special tokens that occur in a
-    text are encoded as ordinary text.
+    otherwise the vocabulary drops white space and marks the ends of pieces.  Strings of
+    special tokens that occur in a text are encoded as ordinary text.
     """
 
     def __init__(self, path: str, spaces_join: bool):
@@ -45,8 +49,14 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces_join = spaces_join
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | None] = {}
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.border = np.zeros(max(pieces.values()) + 1, bool)
+        for piece, i in pieces.items():
+            self.border[i] = piece.startswith("Ġ") if spaces_join else piece.endswith("</w>")
+        self.line = self._encode(["\n"])[0]
+        #: Ids of runs of letters, by what stands before them, and of runs of marks.
+        self.runs: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.marks: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str, spaces_join: bool) -> "TextEncoder":
@@ -55,20 +65,75 @@ class TextEncoder:
             _ENCODERS[path, spaces_join] = cls(path, spaces_join)
         return _ENCODERS[path, spaces_join]
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _encode_runs(self, runs: list[str], before: str) -> list[bytes]:
+        """Ids of each run of letters, with ``before`` in front: one call, cut at the borders."""
+        if not runs:
+            return []
+        if not self.spaces_join:
+            ids = self._ids(" ".join(runs))
+            ends = np.flatnonzero(self.border[ids]) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+        elif before:
+            ids = self._ids(" " + " ".join(runs))
+            starts = np.flatnonzero(self.border[ids])
+            ends = np.append(starts[1:], len(ids))
+        else:
+            ids = self._ids("\n".join(runs) + "\n")
+            ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+            starts = np.concatenate([[0], ends[:-1] + 1])
+        if len(starts) != len(runs):
+            return self._encode([before + r for r in runs])
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
     def _plain(self, chunk: str) -> bool:
         return not self.spaces_join or (chunk != "" and _visible(chunk[0]) and _visible(chunk[-1]))
 
-    def _learn(self, memory: dict, chunks: Iterable[str], before: str) -> None:
-        new = [c for c in chunks if c not in memory]
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = list(chunks)
-        plain = [c for c in new if self._plain(c)]
-        memory.update(zip(plain, self._encode([before + c for c in plain]), strict=True))
-        memory.update((c, None) for c in new if not self._plain(c))
+    def _known_runs(self, runs: set[str], before: str) -> dict[str, bytes]:
+        known = self.runs[before]
+        new = runs - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = runs
+        new = list(new)
+        known.update(zip(new, self._encode_runs(new, before), strict=True))
+        return known
+
+    def _known_marks(self, marks: set[str]) -> dict[str, bytes]:
+        if len(self.marks) + len(marks) > REMEMBERED:
+            self.marks = {"": b""}
+        new = list(marks - self.marks.keys())
+        self.marks.update(zip(new, self._encode(new), strict=True))
+        return self.marks
+
+    def _table(self, chunks: set[str], before: str) -> dict[str, bytes | None]:
+        """Ids of each chunk; None for those that can't stand alone."""
+        words = {c for c in chunks if c.isalpha() and c.isascii()}
+        usual, odd = [], []
+        for c in chunks - words:
+            match = _USUAL.fullmatch(c)
+            if match:
+                usual.append((c, *match.groups("")))
+            else:
+                odd.append(c)
+        # The runs after a line break first: where nothing stands before a chunk, both share a memory.
+        broken = self._known_runs({u[4] for u in usual if u[3]}, "")
+        tails = {c: self.line + broken[d] for c, _, _, line, d, _ in usual if line}
+        mark = self._known_marks({u[k] for u in usual for k in (2, 5)})
+        known = self._known_runs(words.union(u[1] for u in usual), before)
+        table: dict[str, bytes | None] = {w: known[w] for w in words}
+        for c, a, b, line, _, e in usual:
+            table[c] = known[a] + mark[b] + tails[c] + mark[e] if line else known[a] + mark[b]
+        whole = [c for c in odd if self._plain(c)]
+        table.update((c, None) for c in odd)
+        table.update(zip(whole, self._encode([before + c for c in whole]), strict=True))
+        return table
 
     def _joined(self, parts: list[str]) -> list[str]:
         """Chunks again, joined wherever the border is no plain one."""
@@ -83,12 +148,11 @@ class TextEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        before = " " if self.spaces_join else ""
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in split)) if split else set(), before)
+        first = self._table({p[0] for p in split}, "")
+        later = self._table(set().union(*(p[1:] for p in split)), " " if self.spaces_join else "")
         out = []
         for parts in split:
-            ids = [self.first[parts[0]], *map(self.later.__getitem__, parts[1:])]
+            ids = [first[parts[0]], *map(later.__getitem__, parts[1:])]
             try:
                 out.append(b"".join(ids))
             except TypeError:  # a chunk with an edge that isn't plain
