@@ -1,5 +1,73 @@
-"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing."""
-STAGES = []
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, packing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``.  All but the last return the columns
+of ``documents``.  No stage can be expressed in SQL as a whole (a fitted model, an exact
+tokenizer), so there is no SQL for the pipeline; its tests hold each stage against a plain
+Python version.
+
+Edge cases: null texts are no toxic documents, no near duplicates, have no personal data
+and no words, and so leave with the mix, which takes words; empty tables pass as empty
+tables; further columns pass through all stages but the last.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitrina.llm import jaccard_join, mixing, packing, pseudonyms, toxicity
+from vitrina.llm.common import cut_lineage, read, ship, without
+from vitrina.llm.encoding import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is predicted go."""
+    ship(spark)
+    return toxicity.clean_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    ship(spark)
+    groups = jaccard_join.near_duplicates(docs, words=5, percent=80)
+    gone = cut_lineage(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    return without(docs, "doc_id", gone)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes pseudonyms; ``n_chars`` follows the text."""
+    out = pseudonyms.pseudonymise(docs, key="corpus-key")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources ask for; the last repetition may end early."""
+    out = mixing.mixed_texts(docs, cut_lineage(mixing.mix(docs)))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids: pieces with their place and ids."""
+    ship(spark)
+    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("pii", hide_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written before the next one reads it."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import jaccard_join, line_quality, mixing, packing, pseudonyms, token_files, topk, toxicity, url_filter
+from vitrina.llm import (
+    jaccard_join, line_quality, mixing, packing, pseudonyms, repeats, token_files, topk, toxicity, url_filter,
+)
 from vitrina.llm.common import read, ship
 from vitrina.llm.encoding import vocabulary
 
@@ -131,3 +133,9 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, folder, "documents"))
+
+
+@_query
+def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -31,8 +31,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vitrina.llm.common import cut_lineage, slices, text_bytes
+from vitrina.llm.common import cut_lineage, fresh, slices, text_bytes
 
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’‘¡¿…"
 _HELD = 200_000
@@ -165,24 +166,29 @@ def fit_tokens(labelled: DataFrame, settings: ToxicitySettings = ToxicitySetting
     return ToxicityModel(table("w"), table("s"), -settings.shift, settings.stem_length)
 
 
-def segments(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, n_tokens, best, spans``: per document its best segment score and all maximal
+def segments(docs: DataFrame, model: ToxicityModel, names: tuple[str, str, str] = ("n_tokens", "best", "spans")) -> DataFrame:
+    """The rows with three more columns: number of tokens, best segment score and all maximal
     segments as (first token, end, score)."""
+    size, best, spans = names
     span = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("best", pa.float64()), ("spans", pa.list_(span))])
+    own = fresh(docs, "text_to_score")
+    schema = StructType([*docs.schema.fields, *(StructType.fromDDL(
+        f"`{size}` long, `{best}` double, `{spans}` array<struct<begin:int,end:int,score:double>>").fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts, tops, strong = [], [], []
+            for text in batch.column(0).to_pylist():
                 words = tokens(text)
                 found = maximal_segments(score_tokens(words, model))
-                strong = [{"begin": b, "end": e, "score": s} for b, e, s in found if s > 1.0]
-                rows.append({"doc_id": doc_id, "n_tokens": len(words), "best": max((s for *_, s in found), default=0.0), "spans": strong})
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+                counts.append(len(words))
+                tops.append(max((s for *_, s in found), default=0.0))
+                strong.append([{"begin": b, "end": e, "score": s} for b, e, s in found if s > 1.0])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(tops, pa.float64()), pa.array(strong, pa.list_(span))],
+                names=[*batch.schema.names[1:], size, best, spans])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, best double, spans array<struct<begin:int,end:int,score:double>>")
+    return docs.select(text_bytes().alias(own), *docs.columns).mapInArrow(run, schema)
 
 
 def _label_of(labels: DataFrame) -> DataFrame:
@@ -190,56 +196,74 @@ def _label_of(labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("label_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train: Column | None = None,
-                    settings: ToxicitySettings = ToxicitySettings(), threshold: float = 0.3) -> DataFrame:
-    """``doc_id, score, predicted, n_tokens, passages``; ``train`` says which labels may be used.
-
-    ``passages``: the significant segments as (first token, end, score).
-    """
+@dataclass(frozen=True)
+class ToxicityFit:
+    """A fitted model: token scores, and per class the location, its growth with ln n, and the scale."""
+
+    tokens: ToxicityModel
+    prior: float
+    classes: tuple[tuple[float, float, float], ...]
+    max_expected: float
+
+    def score(self, size: Column, best: Column) -> tuple[Column, Column]:
+        """Probability of the toxic class, and the score from which a segment is significant."""
+        if len(self.classes) < 2:
+            return F.lit(self.prior), F.lit(0.0)
+        (a0, b0, s0), (a1, b1, s1) = self.classes
+        gamma, grown = 0.5772156649015329, F.log1p(size)
+        z0 = (best - (F.lit(a0) + b0 * grown)) / s0 + gamma
+        z1 = (best - (F.lit(a1) + b1 * grown)) / s1 + gamma
+        # Log densities of the two distributions; exponents are bounded so that they stay finite.
+        log0 = -z0 - F.exp(F.least(F.lit(50.0), -z0)) - math.log(s0)
+        log1 = -z1 - F.exp(F.least(F.lit(50.0), -z1)) - math.log(s1)
+        odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), log1 - log0 + math.log(self.prior / (1 - self.prior))))
+        return 1 / (1 + F.exp(-odds)), F.lit(a0) + b0 * grown - s0 * (math.log(self.max_expected) + gamma)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
+        settings: ToxicitySettings = ToxicitySettings()) -> ToxicityFit:
+    """Fit on the labelled documents; ``train`` says which labels may be used."""
     chosen = _label_of(labels.filter(train) if train is not None else labels)
     # Bounded by fit_rows (some hundred kB), so it is broadcast and no text is shuffled.
     known = F.broadcast(cut_lineage(chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(settings.fit_rows)))
     labelled = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(known, "label_id"))
     model = fit_tokens(labelled, settings)
-    found = cut_lineage(segments(docs, model))
     size = F.log1p("n_tokens")
-    fits = {
-        r["toxic"]: r for r in found.join(known, found["doc_id"] == known["label_id"]).groupBy("toxic").agg(
+    found = {
+        r["toxic"]: r for r in segments(labelled, model).groupBy("toxic").agg(
             F.count("*").alias("n"), F.avg("best").alias("mean"), F.coalesce(F.stddev("best"), F.lit(0.0)).alias("sd"),
-            F.coalesce(F.regr_slope(F.col("best"), size), F.lit(0.0)).alias("slope"), F.avg(size).alias("size"),
-            F.coalesce(F.corr(F.col("best"), size), F.lit(0.0)).alias("corr"),
+            F.regr_slope(F.col("best"), size).alias("slope"), F.corr(F.col("best"), size).alias("corr"), F.avg(size).alias("size"),
         ).collect()
     }
-    total = sum(r["n"] for r in fits.values())
-    prior = fits[1]["n"] / total if 1 in fits else 0.0
-    if len(fits) < 2:
-        score: Column = F.lit(prior)
-        significant = F.lit(0.0)
-    else:
-        score, significant = _posterior(fits, prior, size, settings.max_expected)
+    total = sum(r["n"] for r in found.values())
+    prior = found[1]["n"] / total if 1 in found else 0.0
+    classes = []
+    for kind in (0, 1) if len(found) == 2 else ():
+        r = found[kind]
+        plain = r["slope"] is None or r["corr"] is None or math.isnan(r["corr"]) or r["slope"] <= 0
+        slope = 0.0 if plain else r["slope"]
+        left = r["sd"] if plain else r["sd"] * math.sqrt(max(0.0, 1 - r["corr"] ** 2))
+        classes.append((r["mean"] - slope * r["size"], slope, max(0.2, left * math.sqrt(6) / math.pi)))
+    if classes:  # the toxic class is never the narrower one, so a higher score is never less likely toxic
+        classes[1] = (*classes[1][:2], max(classes[0][2], classes[1][2]))
+    return ToxicityFit(model, prior, tuple(classes), settings.max_expected)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, train: Column | None = None,
+                    settings: ToxicitySettings = ToxicitySettings(), threshold: float = 0.3) -> DataFrame:
+    """``doc_id, score, predicted, n_tokens, passages``: the significant segments as (first token, end, score)."""
+    fitted = fit(docs, labels, train, settings)
+    score, significant = fitted.score(F.col("n_tokens"), F.col("best"))
+    found = segments(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fitted.tokens)
     passages = F.filter("spans", lambda s: s["score"] >= F.col("significant"))
-    return (
-        found.withColumn("score", score).withColumn("significant", significant)
-        .select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_tokens", passages.alias("passages")))
-
-
-def _posterior(fits: dict, prior: float, size: Column, max_expected: float) -> tuple[Column, Column]:
-    """Probability of the toxic class from both extreme-value distributions, and the score from
-    which a segment of a text is significant."""
-    parts = []
-    for kind in (0, 1):
-        r = fits[kind]
-        slope = max(0.0, r["slope"]) if not math.isnan(r["slope"]) else 0.0
-        left = r["sd"] * math.sqrt(max(0.0, 1 - (0.0 if math.isnan(r["corr"]) else r["corr"]) ** 2)) if slope else r["sd"]
-        parts.append((r["mean"] - slope * r["size"], slope, max(0.2, left * math.sqrt(6) / math.pi)))
-    (a0, b0, s0), (a1, b1, s1) = parts
-    s1 = max(s0, s1)
-    gamma = 0.5772156649015329
-    z0 = (F.col("best") - (F.lit(a0) + b0 * size)) / s0 + gamma
-    z1 = (F.col("best") - (F.lit(a1) + b1 * size)) / s1 + gamma
-    # Log densities of the two distributions; the exponent is bounded so that it stays finite.
-    log0 = -z0 - F.exp(F.least(F.lit(50.0), -z0)) - math.log(s0)
-    log1 = -z1 - F.exp(F.least(F.lit(50.0), -z1)) - math.log(s1)
-    odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), log1 - log0 + math.log(prior / (1 - prior))))
-    significant = F.lit(a0) + b0 * size - s0 * (math.log(max_expected) + gamma)
-    return 1 / (1 + F.exp(-odds)), significant
+    return found.withColumn("score", score).withColumn("significant", significant).select(
+        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_tokens", passages.alias("passages"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings(),
+                    threshold: float = 0.3) -> DataFrame:
+    """The documents that aren't predicted toxic, with their columns; no join, no shuffle of texts."""
+    fitted = fit(docs, labels, None, settings)
+    names = tuple(fresh(docs, f"toxicity_{c}") for c in ("tokens", "best", "spans"))
+    score, _ = fitted.score(F.col(names[0]), F.col(names[1]))
+    return segments(docs, fitted.tokens, names).filter(score < threshold).select(*docs.columns)
