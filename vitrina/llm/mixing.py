@@ -132,7 +132,7 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Needs unique ids that are not null; ``docs`` keeps its columns.
     """
     key, epochs, cut, words = (fresh(docs, f"mix_{c}") for c in ("id", "epochs", "cut", "words"))
-    plan = mixed.select(
+    plan = mixed.filter("size > 0").select(
         F.col("doc_id").alias(key), F.col("epochs").cast("int").alias(epochs),
         F.when(F.col("extra") == F.col("size"), F.lit(-1)).otherwise(F.col("extra")).cast("long").alias(cut))
     copies = F.concat(
