@@ -448,7 +448,7 @@ def search_queries(title: Column, barcode: Column, profile: str) -> Column:
         repaired = (
             F.when((brand != "unknown") & ~F.upper(paren).startswith(lead), F.concat_ws(" ", named, paren))
             .when((brand == "unknown") & paren.rlike(r"(?i)^AD\s"),
-                  F.concat(F.lit("Advance "), F.trim(F.substring(paren, 4, 1000000))))
+                  F.concat(F.lit("Advance "), F.trim(F.regexp_replace(paren, r"^...", ""))))
             .otherwise(paren)
         )
         out = [F.concat(repaired, F.lit(" product image"))]

@@ -75,14 +75,15 @@ def leading(rows: DataFrame, keys: Iterable[str], order: Iterable[Column | str],
 def rank_within(rows: DataFrame, keys: Iterable[str], order: Iterable[str], name: str = "rank") -> DataFrame:
     """1-based rank of every row inside its key, without sorting a whole key in one task.
 
-    Rows are range-partitioned by ``(keys, order)`` and written, so a busy key spans many
-    files; the rank is the number of rows in the key's earlier files plus the place inside
-    the file.  ``order`` must be unique inside a key for the rank to be.
+    Rows are range-partitioned by ``(keys, order)`` and written with the number of their
+    range, so a busy key spans many ranges, in as many files as the writer likes; the rank is the number of rows in
+    the key's earlier ranges plus the place inside the range.  ``order`` must be unique
+    inside a key for the rank to be.
     """
     keys, order = list(keys), list(order)
-    placed = cut_lineage(rows.repartitionByRange(*keys, *order)).select("*", F.col("_metadata.file_path").alias("_chunk"))
-    chunks = placed.groupBy(*keys, "_chunk").agg(F.min(F.struct(*order)).alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
+    chunks = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = chunks.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
     return (

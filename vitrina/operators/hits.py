@@ -17,14 +17,20 @@ from vitrina.functions import urls as U
 from vitrina.operators.simjoin import EPS
 
 
-def first_confirmed(hits: DataFrame, name_min: float, gate: float | None = None) -> DataFrame:
+def first_confirmed(hits: DataFrame, name_min: float, gate: float | None = None,
+                    name_min_with_image: float | None = None) -> DataFrame:
     """First hit by rank that is confirmed: ``product_id, url, score, rank``.
 
-    ``hits`` carries ``title_species, cand_species, score`` and, with a gate, ``img``.
+    ``hits`` carries ``title_species, cand_species, score`` and, with a gate, ``gated`` (the
+    product has a usable photo) and ``img``.  A gated product's hits need ``gate`` by image
+    and only ``name_min_with_image`` by name; the others go by name alone.
     """
-    ok = M.species_compatible(F.col("title_species"), F.col("cand_species")) & (F.col("score") >= name_min - EPS)
+    named = F.col("score") >= name_min - EPS
     if gate is not None:
-        ok = ok & (F.coalesce("img", F.lit(0.0)) >= gate)
+        least = name_min if name_min_with_image is None else name_min_with_image
+        pictured = (F.col("score") >= least - EPS) & (F.coalesce("img", F.lit(0.0)) >= gate)
+        named = F.when(F.col("gated"), pictured).otherwise(named)
+    ok = M.species_compatible(F.col("title_species"), F.col("cand_species")) & named
     return (
         hits.where(ok)
         .groupBy("product_id")

@@ -203,11 +203,18 @@ def _in_form(form: Column, flags: Column) -> Column:
     )
 
 
+def _block_size(any_species: Column, any_form: Column, species: Column, form: Column) -> Column:
+    """Entries left by both filters, each of which is dropped when it would leave nothing."""
+    return (
+        F.when(any_species & any_form, F.count_if(species & form)).when(any_species, F.count_if(species))
+        .when(any_form, F.count_if(form)).otherwise(F.count(F.lit(1))))
+
+
 def block_levels(catalog_flags: DataFrame) -> DataFrame:
     """One row: for each title class, is the species block / the form block non-empty?
 
-    ``levels map<string, struct<species:boolean, form:boolean>>`` keyed
-    ``species|form``.  Twelve classes counted in one pass over the catalogue.
+    ``levels map<string, struct<species:boolean, form:boolean, n:bigint>>`` keyed
+    ``species|form``; ``n`` entries are left in the block.  Twelve classes counted in one pass over the catalogue.
     """
     flags = F.col("flags")
     items = []
@@ -219,17 +226,24 @@ def block_levels(catalog_flags: DataFrame) -> DataFrame:
             within = F.when(any_s, F.bool_or(s & f)).otherwise(F.bool_or(f))
             items += [
                 F.lit(f"{species}|{form}"),
-                F.struct(any_s.alias("species"), F.coalesce(within, F.lit(False)).alias("form")),
+                F.struct(any_s.alias("species"), F.coalesce(within, F.lit(False)).alias("form"),
+                         _block_size(any_s, within, s, f).alias("n")),
             ]
     return catalog_flags.agg(F.create_map(*items).alias("levels"))
 
 
+def _level(catalog: DataFrame) -> Column:
+    """What the catalogue holds for the class of a product's title."""
+    levels = block_levels(catalog.select(_entry_flags(F.col("name"), F.col("handle")).alias("flags")))
+    cls = _title_class(F.col("title"))
+    return levels.scalar()[F.concat_ws("|", cls["species"], cls["form"])]
+
+
 def _block_resolution(products: DataFrame, catalog: DataFrame, profile: lx.MatcherProfile,
                       catalog_text: Sequence[str]) -> Resolution:
     flags = _entry_flags(F.col("name"), F.col("handle"))
-    levels = block_levels(catalog.select(flags.alias("flags")))
-    q = products.withColumn("cls", _title_class(F.col("title"))).withColumn("levels", levels.scalar())
-    level = F.col("levels")[F.concat_ws("|", "cls.species", "cls.form")]
+    q = products.withColumn("cls", _title_class(F.col("title"))).withColumn("level", _level(catalog))
+    level = F.col("level")
     guards = F.struct(
         F.when(level["species"], F.col("cls.species")).otherwise("").alias("species"),
         F.when(level["form"], F.col("cls.form")).otherwise("dry").alias("form"),
@@ -255,13 +269,13 @@ def match_blocked_bonus(products: DataFrame, catalog: DataFrame, profile: lx.Mat
     """:func:`match_blocked` with additive bonuses.
 
     The preferred vendor earns 0.01; among entries within 0.02 of the top an equal
-    unit weight earns 0.005; the score is capped at 1.  The bonuses are at most
-    0.015, so only entries that close to the raw best can win.  (An only candidate
-    also earns the weight bonus; that never changes which entry is chosen.)
+    unit weight earns 0.005, unless the block has a single entry; the score is capped at
+    1.  The bonuses are at most 0.015, so only entries that close to the raw best can win.
     """
     res = _block_resolution(products, catalog, profile, catalog_text)
     res.profile = _with_accept(profile, profile.accept - 0.015)
-    near = res.near_best(0.02 + 0.015, "vendor").join(products.select("product_id", "title"), "product_id")
+    sized = products.select("product_id", "title", _level(catalog)["n"].alias("block_size"))
+    near = res.near_best(0.02 + 0.015, "vendor").join(sized, "product_id")
     by_product = Window.partitionBy("product_id")
     same_weight = F.coalesce(
         T.weight_grams(F.col("title")) == T.weight_grams(F.col("handle")), F.lit(False)
@@ -269,7 +283,7 @@ def match_blocked_bonus(products: DataFrame, catalog: DataFrame, profile: lx.Mat
     scored = (
         near.withColumn("s", F.col("score") + F.when(F.lower("vendor") == preferred_vendor, 0.01).otherwise(0.0))
         .withColumn("top", F.max("s").over(by_product))
-        .withColumn("s2", F.col("s") + F.when((F.abs(F.col("s") - F.col("top")) < 0.02) & same_weight, 0.005)
+        .withColumn("s2", F.col("s") + F.when((F.abs(F.col("s") - F.col("top")) < 0.02) & same_weight & (F.col("block_size") > 1), 0.005)
                     .otherwise(0.0))
     )
     return (

@@ -28,10 +28,10 @@ PR = lx.PROFILES
 # Catalogue entries know the code of their first part and, half of them, of the next one.
 _CODES = {
     "handle": "handle", "ord": "ord", "barcodes": "array(lpad(cast(ord as string), 13, '0'), '')",
-    "skus": "array(CASE WHEN ord < 200 THEN lpad(cast(ord + 1 as string), 13, '0') END, 'SKU' || cast(ord as string))",
+    "skus": "array(CASE WHEN ord % 2 = 1 THEN lpad(cast(ord + 1 as string), 13, '0') END, 'SKU' || cast(ord as string))",
 }
 _CODES_SQL = (
-    "codes AS (SELECT handle, ord, unnest([lpad(cast(ord as varchar), 13, '0'), CASE WHEN ord < 200 THEN lpad(cast(ord + 1 as varchar), 13, '0') END, "
+    "codes AS (SELECT handle, ord, unnest([lpad(cast(ord as varchar), 13, '0'), CASE WHEN ord % 2 = 1 THEN lpad(cast(ord + 1 as varchar), 13, '0') END, "
     "'SKU' || ord]) AS code FROM catalog), firsts AS (SELECT code, arg_min(handle, ord) AS handle FROM codes WHERE code <> '' GROUP BY code)"
 )
 
@@ -124,15 +124,18 @@ def _(t):
 @query(
     "j15_first_confirmed_image",
     f"""{CONFIRM} SELECT product_id, url, round(score, 6)::DOUBLE AS score, rank FROM (SELECT h.*, row_number() OVER (PARTITION BY product_id ORDER BY rank) AS rn FROM h
-    JOIN embeddings f ON f.vec_id = h.product_id JOIN embeddings c ON c.vec_id = h.cand_id
-    WHERE (sq = '' OR se = '' OR sq = se) AND score >= 0.10 - 1e-9 AND round({cosine('f.embedding', 'c.embedding')}, 6) >= 0.2) WHERE rn = 1""",
+    LEFT JOIN embeddings f ON f.vec_id = h.product_id LEFT JOIN embeddings c ON c.vec_id = h.cand_id
+    WHERE (sq = '' OR se = '' OR sq = se) AND CASE WHEN f.vec_id IS NULL THEN score >= 0.22 - 1e-9
+      ELSE score >= 0.10 - 1e-9 AND coalesce(round({cosine('f.embedding', 'c.embedding')}, 6), 0) >= 0.2 END) WHERE rn = 1""",
 )
 def _(t):
     feats = t.embeddings.select("vec_id", signatures.vector_feature(F.col("embedding")).alias("feature"))
-    h = confirmable(t).join(feats.select(F.col("vec_id").alias("product_id"), F.col("feature").alias("qf")), "product_id").join(
-        feats.select(F.col("vec_id").alias("cand_id"), F.col("feature").alias("cf")), "cand_id")
-    h = h.withColumn("img", F.round(M.feature_similarity(F.col("qf"), F.col("cf")), 6))
-    return H.first_confirmed(h, PR["generic_search"].accept_with_image, gate=0.2).withColumn("score", F.round("score", 6))
+    h = confirmable(t).join(feats.select(F.col("vec_id").alias("product_id"), F.col("feature").alias("qf")), "product_id", "left").join(
+        feats.select(F.col("vec_id").alias("cand_id"), F.col("feature").alias("cf")), "cand_id", "left")
+    h = h.withColumn("gated", F.col("qf").isNotNull()).withColumn(
+        "img", F.round(M.feature_similarity(F.col("qf"), F.col("cf")), 6))
+    found = H.first_confirmed(h, PR["generic_search"].accept, 0.2, PR["generic_search"].accept_with_image)
+    return found.withColumn("score", F.round("score", 6))
 
 
 _BQ = S.stem(S.toks(S.norm("s"), lx.STOP_BEAPHAR))

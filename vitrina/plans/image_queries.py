@@ -175,13 +175,15 @@ def _(t):
 
 @query(
     "i14_attach_feature",
-    """WITH u AS (SELECT label, arg_min(vec_id, vec_id) AS pos, arg_min(embedding[1], vec_id) AS first_value FROM embeddings WHERE embedding[1] > 0.1 AND vec_id <= 200 GROUP BY label)
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings),
+    u AS (SELECT label, min(pos)::INTEGER AS pos, arg_min(embedding[1], pos) AS first_value FROM n WHERE embedding[1] > 0.1 AND pos <= 3 GROUP BY label)
     SELECT l.label::VARCHAR AS handle, u.pos, round(u.first_value::DOUBLE, 6)::DOUBLE AS first_value FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN u USING (label)""",
 )
 def _(t):
     feature = F.when(F.col("embedding")[0] > 0.1, signatures.vector_feature(F.col("embedding")))
-    f = t.embeddings.select(F.col("label").cast("string").alias("handle"), F.col("vec_id").alias("pos"), feature.alias("feature"))
-    out = I.attach_feature(t.embeddings.select(F.col("label").cast("string").alias("handle")).distinct(), f, first=200)
+    pictures = t.embeddings.select("vec_id", F.col("label").cast("string").alias("handle"), feature.alias("feature"))
+    f = filters.rank_within(pictures, ["handle"], ["vec_id"], "pos").select("handle", "pos", "feature")
+    out = I.attach_feature(t.embeddings.select(F.col("label").cast("string").alias("handle")).distinct(), f, first=3)
     return out.select("handle", "pos", F.round(F.col("feature.vec")[0].cast("double"), 6).alias("first_value"))
 
 

@@ -200,9 +200,9 @@ _WEIGHED = f"""weighed AS (SELECT {B._sql(B._select(_WEIGHED_OUT))} FROM (SELECT
 @query(
     "j10_bonuses",
     f"""WITH {B.PRODUCTS}, {_WEIGHED}, {blocked('weighed', 'name')},
-    s AS (SELECT *, score + CASE WHEN lower(vendor) = 'brand#1' THEN 0.01 ELSE 0.0 END::DOUBLE AS s FROM p WHERE score > 0),
+    s AS (SELECT *, score + CASE WHEN lower(vendor) = 'brand#1' THEN 0.01 ELSE 0.0 END::DOUBLE AS s FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS n FROM p) WHERE score > 0),
     m AS (SELECT *, max(s) OVER (PARTITION BY product_id) AS top FROM s),
-    w AS (SELECT product_id, handle, ord, round(s, 12) AS s, round(s + CASE WHEN abs(s - top) < 0.02 AND {grams('title')} = {grams('handle')} THEN 0.005 ELSE 0.0 END::DOUBLE, 12) AS s2 FROM m),
+    w AS (SELECT product_id, handle, ord, round(s, 12) AS s, round(s + CASE WHEN abs(s - top) < 0.02 AND {grams('title')} = {grams('handle')} AND n > 1 THEN 0.005 ELSE 0.0 END::DOUBLE, 12) AS s2 FROM m),
     b AS (SELECT product_id, handle, least(1.0, s2) AS score, row_number() OVER (PARTITION BY product_id ORDER BY s2 DESC, s DESC, ord) AS rn FROM w)
     SELECT product_id, handle, round(score, 6)::DOUBLE AS score FROM b WHERE rn = 1 AND score >= 0.10 - 1e-9""",
 )

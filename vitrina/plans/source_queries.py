@@ -184,12 +184,15 @@ def sitemap_docs(t):
 
 @query(
     "s09_sitemap_closure",
-    """WITH RECURSIVE r(page_id, depth) AS (SELECT page_id, 1 FROM pages WHERE page_id = 0 UNION ALL SELECT p.page_id, r.depth + 1 FROM r JOIN pages p ON p.page_id > 0 AND (p.page_id - 1) // 20 = r.page_id WHERE r.depth < 3)
+    """WITH RECURSIVE r(page_id, depth) AS (SELECT page_id, 1 FROM pages WHERE page_id = 0 UNION ALL SELECT p.page_id, r.depth + 1 FROM r JOIN pages p ON p.page_id > 0 AND (p.page_id - 1) // 20 = r.page_id WHERE r.depth < 6)
     SELECT 'https://www.farmina.com/es/eshop/' || page_id || '-page.html' AS url, depth FROM r""",
 )
 def _(t):
-    roots = t.pages.where("page_id = 0").select(F.expr(_MAP_URL.format("page_id")).alias("url"))
-    return X.sitemap_closure(sitemap_docs(t), roots, "farmina", max_depth=3)
+    # The site's robots file names the first sitemap.
+    robots = t.pages.where("page_id = 0").select(
+        F.lit("https://www.farmina.com/robots.txt").alias("url"), F.concat(F.lit("User-agent: *\nSitemap: "), F.expr(_MAP_URL.format("page_id"))).alias("body"))
+    roots = X.robots_sitemaps(robots).select(F.col("sitemap").alias("url"))
+    return X.sitemap_closure(sitemap_docs(t), roots, "farmina", max_depth=6)
 
 
 _ROBOTS = "'User-agent: *' || chr(10) || 'Sitemap: ' || url || chr(13) || chr(10) || 'Disallow: /x' || chr(10) || 'SITEMAP:https://maps.example.com/' || cast(page_id as string) || '.xml'"
@@ -254,20 +257,34 @@ def _(t):
 
 
 _STYLED = (
-    f"html || '<div style=\"background-image:url(''/bg/' || {_N} || '.jpg'')\"></div><script>var p = \"https://cdn.example.com/js-' || {_N} || '.webp?x=1\\\\\", q = ''https://cdn.example.com/' || repeat('a', page_id) || '.png'';</script>'"
+    f"html || '<div style=\"background-image:url(''/bg/' || {_N} || '.jpg'')\"></div><script>var p = \"https://cdn.example.com/js-' || {_N} || '.webp?x=1\\\\\", q = ''https://cdn.example.com/' || repeat('a', cast(page_id % 150 as int)) || '.png'';</script>'"
 )
 
 
 @query(
     "s14_background_images",
     """WITH u AS (SELECT page_id, 0 AS k, '/bg/' || page_id || '.jpg' AS image FROM pages UNION ALL SELECT page_id, 1, 'https://cdn.example.com/js-' || page_id || '.webp?x=1' FROM pages
-      UNION ALL SELECT page_id, 2, 'https://cdn.example.com/' || repeat('a', page_id::INTEGER) || '.png' FROM pages)
+      UNION ALL SELECT page_id, 2, 'https://cdn.example.com/' || repeat('a', (page_id % 150)::INTEGER) || '.png' FROM pages)
     SELECT page_id, k AS pos, image FROM u WHERE length(image) < 100""",
 )
 def _(t):
     return t.pages.select("page_id", F.posexplode(X.background_images(F.expr(_STYLED), 100)).alias("pos", "image"))
 
 
+_ZOOMED = (
+    f"html || '<a HREF=\"/full/' || {_N} || '.jpg\"><img data-big=''/b/' || {_N} || '.webp?v=1'' data-zoom-image=\"/z/' || {_N} || '.png\" data-image=\"no picture\"></a>'"
+)
+
+
+@query(
+    "s14_zoom_images",
+    """SELECT page_id, 0 AS pos, '/z/' || page_id || '.png' AS image FROM pages UNION ALL SELECT page_id, 1, '/b/' || page_id || '.webp?v=1' FROM pages
+    UNION ALL SELECT page_id, 2, '/full/' || page_id || '.jpg' FROM pages""",
+)
+def _(t):
+    return t.pages.select("page_id", F.posexplode(X.zoom_images(F.expr(_ZOOMED))).alias("pos", "image"))
+
+
 _BOX = (
     "'<div class=\"hoverbox\" onclick=\"location.href=''/es/' || cast(product_id as string) || '-' || handle || '.html''\"><div class=\"es-product-line-title\">' || CASE WHEN p_size > 25 THEN title ELSE '' END || "
     "'</div><img class=\"x\" src=\"' || CASE WHEN p_size > 40 THEN 'https://www.maker.example.com/icons/' WHEN p_size > 20 THEN 'https://www.maker.example.com/fotoprodotti/' ELSE '/fotoprodotti/' END || sku || '.png\"></div>"
@@ -363,12 +380,12 @@ def _(t):
 
 @query(
     "s20_write_catalog",
-    f"WITH {B.CATALOG} SELECT handle, name, product_type, CASE WHEN ord < 100 THEN 'https://new.example.com/' || handle ELSE url END AS url FROM catalog",
+    f"WITH {B.CATALOG} SELECT handle, name, product_type, CASE WHEN ord % 3 = 0 THEN 'https://new.example.com/' || handle ELSE url END AS url FROM catalog",
 )
 def _(t):
     path = scratch(t, "catalog")
     c = B.catalog(t)
-    new = c.where("ord < 100").withColumn("url", F.concat(F.lit("https://new.example.com/"), "handle"))
+    new = c.where("ord % 3 = 0").withColumn("url", F.concat(F.lit("https://new.example.com/"), "handle"))
     R.write_catalog(R.merge_catalog(c, new), path, partition_by=["product_type"])
     return t.spark.read.parquet(path).select("handle", "name", "product_type", "url")
 

@@ -60,13 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Size up to which :func:`spread` deals out a table.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Share out a table that is stored in fewer pieces than there are cores.
 
     A table of one small file would otherwise be worked on by one task, broadcast joins
-    included.  Tables with enough splits are returned untouched, so nothing is shuffled
-    at scale; AQE merges what turns out too small to be worth a task.
+    included.  Tables with enough splits, and all tables above ``SPREAD_BYTES``, are returned
+    untouched, so nothing of size is shuffled; AQE merges what turns out too small to be
+    worth a task.
     """
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
     return df.repartition(key)

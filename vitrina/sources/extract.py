@@ -58,7 +58,7 @@ def robots_sitemaps(docs: DataFrame) -> DataFrame:
     return (
         docs.select("url", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "line"))
         .where(F.lower(line).startswith("sitemap:"))
-        .select("url", "pos", F.trim(F.substring(line, 9, 1000000)).alias("sitemap"))
+        .select("url", "pos", F.trim(F.regexp_replace(line, r"(?i)^sitemap:", "")).alias("sitemap"))
     )
 
 
@@ -198,12 +198,26 @@ def page_images(pages: DataFrame, profile: str) -> DataFrame:
     )
 
 
-def background_images(html: Column, max_length: int = 400) -> Column:
-    """Pictures in inline ``url(…)`` styles, then raw image URLs anywhere in the text."""
+#: Attributes that hold the large version of a picture.
+ZOOM_ATTRIBUTES = ("data-zoom-image", "data-zoom", "data-large", "data-image", "data-big", "href")
+
+
+def zoom_images(html: Column) -> Column:
+    """Image URLs in zoom attributes, in the order of the attributes."""
+    found = [_all(html, rf"""(?i)\s{a}\s*=\s*["']([^"']+\.(?:jpg|jpeg|png|webp)[^"']*)["']""") for a in ZOOM_ATTRIBUTES]
+    return F.array_distinct(F.concat(*found))
+
+
+def background_images(html: Column, max_length: int | None = None) -> Column:
+    """Pictures in inline ``url(…)`` styles, then raw image URLs anywhere in the text.
+
+    ``max_length``: longer URLs are left out, as some sites' rules ask; none by default.
+    """
     styled = _all(html, r"""url\(["']?([^"')\s]+)["']?\)""")
     raw = _all(html, r"""(https?://[^\s"'<>()\\]+\.(?:jpg|jpeg|png|webp)[^\s"'<>()\\]*)""")
     raw = F.transform(raw, lambda u: F.regexp_replace(u, r"[\\,;]+$", ""))
-    return F.array_distinct(F.filter(F.concat(styled, raw), lambda u: F.length(u) < max_length))
+    every = F.concat(styled, raw)
+    return F.array_distinct(every if max_length is None else F.filter(every, lambda u: F.length(u) < max_length))
 
 
 def category_listing(docs: DataFrame, base: str, photo_marker: str = "fotoprodotti") -> DataFrame:
