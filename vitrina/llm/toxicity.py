@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     found = {
         r["toxic"]: r for r in segments(labelled, model).groupBy("toxic").agg(
             F.count("*").alias("n"), F.avg("best").alias("mean"), F.coalesce(F.stddev("best"), F.lit(0.0)).alias("sd"),
-            F.regr_slope(F.col("best"), size).alias("slope"), F.corr(F.col("best"), size).alias("corr"), F.avg(size).alias("size"),
+            F.var_pop("best").alias("var"), F.var_pop(size).alias("var_size"), F.covar_pop(F.col("best"), size).alias("cov"), F.avg(size).alias("size"),
         ).collect()
     }
     total = sum(r["n"] for r in found.values())
@@ -240,9 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     classes = []
     for kind in (0, 1) if len(found) == 2 else ():
         r = found[kind]
-        plain = r["slope"] is None or r["corr"] is None or math.isnan(r["corr"]) or r["slope"] <= 0
-        slope = 0.0 if plain else r["slope"]
-        left = r["sd"] if plain else r["sd"] * math.sqrt(max(0.0, 1 - r["corr"] ** 2))
+        grows = r["var_size"] > 0 and r["var"] > 0 and r["cov"] > 0
+        slope = r["cov"] / r["var_size"] if grows else 0.0
+        left = r["sd"] * math.sqrt(max(0.0, 1 - r["cov"] ** 2 / (r["var"] * r["var_size"]))) if grows else r["sd"]
         classes.append((r["mean"] - slope * r["size"], slope, max(0.2, left * math.sqrt(6) / math.pi)))
     if classes:  # the toxic class is never the narrower one, so a higher score is never less likely toxic
         classes[1] = (*classes[1][:2], max(classes[0][2], classes[1][2]))
