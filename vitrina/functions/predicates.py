@@ -56,6 +56,7 @@ PRODUCT_URL_RULES = {
                     r"|junior|senior|news|blog|contact|donde-comprar|where-to-buy|legal|privacy|cookies)$",
     },
 }
+#: Fixed values.
 NON_PRODUCT_UK = (
     r"/blog|/news|/pages|/page/|/cart|/checkout|/account|/category|/product-category|/brand|/where-to-buy"
     r"|/stockist|/contact|/about|/faq|/privacy|/terms|/recipes|/tag/|/collections|/collection/|/policies|/search"

@@ -151,13 +151,9 @@ def sorted_title_key(title: Column, stop: Iterable[str]) -> Column:
     return F.when(key != "", key).otherwise(F.trim(normalize_text(title)))
 
 
-_LINE_PREFIX = r"(?i)^(?:FARMINA\s+)?(?:N(?:&|AND)D\s+|ND\s+|VET\s+LIFE\s+|VETLIFE\s+)"
-_WEIGHT = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:kg|g|gr|lb)\b"
-
-
 def strip_brand_and_weight(title: Column) -> Column:
     """Title without its line prefix and without weights."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(title), _LINE_PREFIX, ""), _WEIGHT, ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(title), lx.LINE_PREFIX, ""), lx.WEIGHT_PATTERN, ""))
 
 
 def size_free_key(title: Column) -> Column:
@@ -167,49 +163,33 @@ def size_free_key(title: Column) -> Column:
 
 # --- T12–T16 clean-up of titles ---------------------------------------------
 
-_NOISE_PAREN = r"(?i)\s*\((?:NDR|PV|NV|ONLINE)\)\s*"
-_NOISE_FULL = r"(?i)\s*(?:\*[^*]*\*|\((?:NDR|PV|NV|ONLINE)\))\s*"
-
 
 def remove_store_noise(title: Column, stars: bool = False) -> Column:
     """Remove internal store marks; ``stars`` also removes ``*…*``."""
-    return F.trim(F.regexp_replace(title, _NOISE_FULL if stars else _NOISE_PAREN, " "))
+    return F.trim(F.regexp_replace(title, lx.NOISE_FULL if stars else lx.NOISE_PAREN, " "))
 
 
 def search_title(title: Column) -> Column:
     """Title as a person would type it into a search box."""
-    return F.trim(F.regexp_replace(F.regexp_replace(title, _NOISE_FULL, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(title, lx.NOISE_FULL, " "), r"\s+", " "))
 
 
 #: Weight, pack and size expressions removed from a title to get its base form.
-SIZE_PATTERN = (
-    r"\b\d+\s*[x×]\s*\d+[\.,]?\d*\s*(?:kg|g|gr|lb|lbs|ml|l)\b"
-    r"|\b\d+\s*[x×]\s*\d+\b"
-    r"|\b\d+[\.,]?\d*\s*(?:kg|g|gr|lb|lbs|ml|l)\b"
-    r"|\b\d+\s*uds?\b"
-    r"|\b(?:individual|l|m|s|xl|xxl)\b"
-)
-VENDOR_PREFIX = r"^(?:alpha\s+spirit\s+|alpha\s+the\s+|alpha\s+)"
 
 
-def base_title(title: Column, vendor_prefix: str = VENDOR_PREFIX) -> Column:
+def base_title(title: Column, vendor_prefix: str = lx.VENDOR_PREFIX) -> Column:
     """Title without vendor prefix, weights, packs and sizes."""
     t = F.regexp_replace(strip_accents(title), vendor_prefix, "")
-    t = F.regexp_replace(F.regexp_replace(t, SIZE_PATTERN, " "), r"[/\-_]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, lx.SIZE_PATTERN, " "), r"[/\-_]+", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def base_title_tokens(title: Column, stop: Iterable[str] = lx.STOP_SELF) -> Column:
     """Tokens of a title with sizes removed (vendor words are stop words)."""
-    t = F.regexp_replace(F.regexp_replace(strip_accents(title), SIZE_PATTERN, " "), r"[/\-_]+", " ")
+    t = F.regexp_replace(F.regexp_replace(strip_accents(title), lx.SIZE_PATTERN, " "), r"[/\-_]+", " ")
     return F.array_except(F.split(F.trim(t), r"\s+"), str_array(("", *stop)))
 
 
-_PACK = r"\d+[x×]\d+\w*"
-_AMOUNT = r"\d+[\.,]?\d*\s*(?:kg|g|gr|l|ml|tab|und)\b"
-_PARENS = r"\(.*?\)"
-
-
 def _translate_words(text: Column, words: Mapping[str, str]) -> Column:
     table = str_map(words)
     return F.array_join(
@@ -222,7 +202,7 @@ def vet_preprocess(text: Column) -> Column:
     ``@tags`` removed, words translated."""
     t = F.regexp_replace(strip_accents(text), r"gastro\s+intestinal", "gastrointestinal")
     t = F.regexp_replace(t, r"\bmed/ma?x?\b", "medium maxi")
-    for pattern in (r"@\w+", _PACK, _AMOUNT, _PARENS):
+    for pattern in (r"@\w+", lx.PACK_PATTERN, lx.AMOUNT_PATTERN, lx.PARENS_PATTERN):
         t = F.regexp_replace(t, pattern, "")
     return _translate_words(t, lx.TR_VETLIFE)
 
@@ -231,7 +211,7 @@ def feed_preprocess(text: Column) -> Column:
     """Feed titles: semi-moist joined, packs, weights, parentheses removed, words
     translated."""
     t = F.regexp_replace(strip_accents(text), r"semi[\s\-]?humedo", "semiwet")
-    for pattern in (_PACK, _AMOUNT, _PARENS):
+    for pattern in (lx.PACK_PATTERN, lx.AMOUNT_PATTERN, lx.PARENS_PATTERN):
         t = F.regexp_replace(t, pattern, "")
     return _translate_words(t, lx.TR_FEED)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrina import lexicon as lx
 from vitrina.functions import text as T
 from vitrina.functions import urls as U
 
@@ -21,7 +22,7 @@ def _filled(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
-def duplicate_groups(products: DataFrame, vendor_prefix: str = T.VENDOR_PREFIX) -> DataFrame:
+def duplicate_groups(products: DataFrame, vendor_prefix: str = lx.VENDOR_PREFIX) -> DataFrame:
     """Products sharing a base title: ``base_title, first_id, n_products`` (two or more)."""
     return (
         products.groupBy(T.base_title(F.col("title"), vendor_prefix).alias("base_title"))
@@ -30,13 +31,13 @@ def duplicate_groups(products: DataFrame, vendor_prefix: str = T.VENDOR_PREFIX)
     )
 
 
-def group_members(products: DataFrame, vendor_prefix: str = T.VENDOR_PREFIX) -> DataFrame:
+def group_members(products: DataFrame, vendor_prefix: str = lx.VENDOR_PREFIX) -> DataFrame:
     """``base_title, product_id`` of every product in a duplicate group."""
     keyed = products.select(T.base_title(F.col("title"), vendor_prefix).alias("base_title"), "product_id")
     return keyed.join(duplicate_groups(products, vendor_prefix).select("base_title"), "base_title", "left_semi")
 
 
-def propose_groups(products: DataFrame, vendor_prefix: str = T.VENDOR_PREFIX, threshold: float = 0.80) -> DataFrame:
+def propose_groups(products: DataFrame, vendor_prefix: str = lx.VENDOR_PREFIX, threshold: float = 0.80) -> DataFrame:
     """Candidate merges from both detectors: ``reason, first_id, other_id, n_pairs``.
 
     Equal base titles give one row per group, near-identical token sets one row per

@@ -12,7 +12,7 @@ from vitrina.plans import sqltext as S
 from vitrina.plans.registry import query
 from vitrina.plans.similarity_queries import cosine
 from vitrina.plans.text_queries import base_title, form, grams, size_free, sub_brand
-from vitrina.functions.text import SIZE_PATTERN
+from vitrina.lexicon import SIZE_PATTERN
 
 PR = lx.PROFILES
 _RULES = (("first", ("BRAND#1 ", "BRAND#10")), ("teens", ("BRAND#1",)), ("rest", ("BRAND#2",)))

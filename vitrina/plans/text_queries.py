@@ -138,8 +138,8 @@ def _(t):
 
 
 def base_title(x: str) -> str:
-    b = f"regexp_replace({S.bare(x)}, {S.quote(T.VENDOR_PREFIX)}, '')"
-    b = S.rx(S.rx(b, T.SIZE_PATTERN, " "), r"[/\-_]+", " ")
+    b = f"regexp_replace({S.bare(x)}, {S.quote(lx.VENDOR_PREFIX)}, '')"
+    b = S.rx(S.rx(b, lx.SIZE_PATTERN, " "), r"[/\-_]+", " ")
     return f"trim({S.rx(b, r'\s+', ' ')})"
 
 

@@ -150,6 +150,7 @@ def jsonld_images(docs: DataFrame, keys: tuple[str, ...] = ("image",), column: s
 
 
 #: Image attributes of an ``<img>`` tag after ``srcset``, in order of preference.
+#: Fixed values.
 IMG_ATTRIBUTES = ("data-src", "data-lazy-src", "data-large_image", "data-zoom-image", "data-full-url", "src")
 
 

@@ -50,27 +50,30 @@ _CHANGES = "product_id bigint, seq bigint, url string"
 
 
 def _changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq")
-    rows = rows[rows["url"].fillna("") != ""]
+    last, seen = state.get if state.exists else (None, None)
+    # Rows that tell nothing go before the batches of a product are put together.
+    rows = pd.concat([b[b["url"].fillna("") != ""] for b in batches]).sort_values("seq")
+    if seen is not None:
+        rows = rows[rows["seq"] > seen]
     if len(rows):
         previous = rows["url"].shift(1)
         previous.iloc[0] = last
         changed = rows[rows["url"] != previous]
-        state.update((rows["url"].iloc[-1],))
+        state.update((rows["url"].iloc[-1], int(rows["seq"].iloc[-1])))
         yield changed[["product_id", "seq", "url"]]
 
 
 def history_stream(stream: DataFrame) -> DataFrame:
     """Rows (``product_id, seq, url``) whose URL differs from the product's previous one.
 
-    State per product is one string.  Rows of one micro-batch are ordered by ``seq``;
-    across batches the source's order counts.
+    State per product is its last URL and ``seq``.  Rows of one micro-batch are ordered by
+    ``seq``; a row that comes in a later micro-batch than one with a greater or equal ``seq`` is late
+    and is left out, so it can't report a change that never was.
     """
     return (
         stream.select(F.col("product_id").cast("bigint"), F.col("seq").cast("bigint"), "url")
         .groupBy("product_id")
-        .applyInPandasWithState(_changes, _CHANGES, "url string", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_changes, _CHANGES, "url string, seq bigint", "append", GroupStateTimeout.NoTimeout)
     )
 
 
