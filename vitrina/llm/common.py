@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 import vitrina
 from vitrina.session import checkpoint_dir, cut_lineage
 
-__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "read", "ship", "slices", "text_bytes", "without", "word_count"]
+__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "read", "ship", "slices", "small_batches", "text_bytes", "without", "word_count"]
 
 #: A word: a longest run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,6 +82,18 @@ def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
         unsure.join(gone, F.col(column) == F.col(key), "left_anti"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows per Arrow batch for what is run inside, where rows are wide; the session's setting returns after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds much more than ``size`` bytes of data (one row at least).
 

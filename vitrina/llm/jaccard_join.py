@@ -12,16 +12,16 @@ and heavy is where the keys of all sets together are fewest.
 
 No pairs of a list are written out.  Every list has a hub, its member with most company.
 Hub and members are compared exactly; members that are similar to the hub belong together
-and need no comparison among themselves.  For the others, the differences to the hub are
-all it takes to compare them with the rest of the star: tiles of bounded size do that as
-matrix products and hand on only links that join something new.  Groups are found by
+and need no comparison among themselves.  The others are compared with those of the star
+that are about as far from the hub: tiles of bounded size do that as matrix products and
+hand on only links that join something new.  Groups are found by
 spreading the smallest id along the links.
 
 Edge cases: null texts and texts without words have no shingles and are linked with
 nothing.  Texts with fewer words than a shingle are one shingle as a whole.  Rows with the
 same id are one node.  A row without id gets a component only from rows with ids.  Empty
-tables give an empty result.  Only ``doc_id`` and ``text`` are read.  Shingles are compared
-by 64-bit hashes.
+tables give an empty result.  Only ``doc_id`` and ``text`` are read.  Shingles are told
+apart by 64-bit hashes, and where sets are compared by 48 bits of them.
 """
 
 from __future__ import annotations
@@ -35,15 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import cut_lineage, slices, text_bytes
+from vitrina.llm.common import cut_lineage, slices, small_batches, text_bytes, without
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _NO_ID = 1 << 62
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 _BAND = 1.35
 _BITS = 1 << 26
 _TILE_ASKING, _TILE_ALL = 256, 1024
 _U = np.uint64
+#: An odd factor per place of a word in a shingle.
+_FACTORS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, _U))
 
 
 class _WordHashes(dict):
@@ -71,10 +73,22 @@ def shingles(text: bytes, words: int) -> np.ndarray:
         return np.zeros(0, _U)
     codes = np.fromiter(map(_WORDS.__getitem__, found), _U, len(found))
     n = len(codes) - words + 1
-    out = np.full(max(1, n), min(len(codes), words), _U)
+    width = max(1, n)
+    out = np.full(width, min(len(codes), words), _U)
     for k in range(min(words, len(codes))):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + codes[k:k + max(1, n)])
-    return np.unique(out)
+        out += codes[k:k + width] * _FACTORS[k]
+    return np.unique(_mix(out))
+
+
+def packed_set(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: what travels to be compared."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -87,6 +101,7 @@ class Scheme:
     def __init__(self, percent: int, boundary: int):
         self.percent, self.boundary = percent, boundary
         self.bands: list[tuple[int, int]] = []
+        self.cuts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
 
     def missing(self, size: int) -> int:
         """Elements of a set that a similar one may lack."""
@@ -108,6 +123,14 @@ class Scheme:
         spare = -(-(differences + 1) // 10) + 2
         return differences + 1 + spare, spare
 
+    def cut(self, band: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Borders of a band's parts in hash space, a number that tells each part apart, spare parts."""
+        if band not in self.cuts:
+            parts, spare = self.parts(band)
+            edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(_U)
+            self.cuts[band] = edges, _mix(np.arange(parts, dtype=_U) + _U(band[0] << 20)), spare
+        return self.cuts[band]
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         size = len(hashes)
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(hashes + _U(1)))])
@@ -115,11 +138,10 @@ class Scheme:
         if 0 < size <= self.boundary:
             out.append(self._subset_keys(np.diff(sums), sums[-1]))
         for band in self.bands_of(size) if size else ():
-            parts, spare = self.parts(band)
-            edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(_U)
+            edges, salt, spare = self.cut(band)
             at = np.concatenate([[0], np.searchsorted(hashes, edges), [size]])
             empty = at[1:] == at[:-1]
-            own = _mix(sums[at[1:]] - sums[at[:-1]] + _mix(np.arange(parts, dtype=_U) + _U(band[0] << 20)))
+            own = _mix(sums[at[1:]] - sums[at[:-1]] + salt)
             out.append(own[~empty] if empty.sum() <= spare else own)
         return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
 
@@ -149,7 +171,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(node.alias("node"), text_bytes().alias("text"))
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``node, n_shingles, key``: size and 128-bit hash of each row's set."""
     out = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
 
@@ -159,26 +181,14 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary())], schema=out)
 
-    return _texts(docs).mapInArrow(run, "node long, n_shingles long, key binary")
-
-
-def _packed_keys(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """``node, keys``: the keys of each row's set, 8 bytes each."""
-    out = pa.schema([("node", pa.int64()), ("keys", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys = [scheme.keys(shingles(t, words)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], schema=out)
+    return texts.mapInArrow(run, "node long, n_shingles long, key binary")
 
-    return _texts(docs).mapInArrow(run, "node long, keys binary")
 
-
-def _lists(packed: DataFrame, slots: int) -> DataFrame:
+def _lists(texts: DataFrame, words: int, scheme: Scheme, slots: int) -> DataFrame:
     """``list, node``: the members of every key that two nodes or more share.
 
     Keys travel in blocks: a task sorts the keys of many sets into slots, and each slot is
-    put together elsewhere.  A slot has about a million keys, whatever the input.
+    put together elsewhere.  A slot has some hundred thousand keys, whatever the input.
     """
     blocks = pa.schema([("slot", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary())])
     out = pa.schema([("list", pa.int64()), ("node", pa.int64())])
@@ -186,7 +196,7 @@ def _lists(packed: DataFrame, slots: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 22):
             nodes = batch.column(0).to_numpy()
-            own = [np.frombuffer(k, "<u8") for k in batch.column(1).to_pylist()]
+            own = [scheme.keys(shingles(t, words)) for t in batch.column(1).to_pylist()]
             keys, at = np.concatenate(own), np.repeat(np.arange(len(own), dtype="<u4"), [len(k) for k in own])
             slot = (keys >> _U(32)) % _U(slots)
             order = np.argsort(slot, kind="stable")
@@ -221,7 +231,7 @@ def _lists(packed: DataFrame, slots: int) -> DataFrame:
             keys, nodes = keys[n[at] > 1], nodes[n[at] > 1]
         return pa.table([keys.view(np.int64), nodes], schema=out)
 
-    return packed.mapInArrow(deal, "slot long, keys binary, at binary, nodes binary").groupBy("slot").applyInArrow(
+    return texts.mapInArrow(deal, "slot long, keys binary, at binary, nodes binary").groupBy("slot").applyInArrow(
         gather, "list long, node long")
 
 
@@ -235,59 +245,64 @@ def _stars(lists: DataFrame) -> DataFrame:
     return ranked.join(hubs, "list").filter("node <> hub").select("hub", "node").distinct()
 
 
-def _candidate_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node, hashes``: the sets of the wanted nodes, and of few others.
-
-    The wanted nodes go to the tasks as a bit map of fixed size (8 MB), so only their sets
-    are written; what it lets through by chance is dropped by the joins that follow.
-    """
+def _bit_map(nodes: DataFrame) -> np.ndarray:
+    """Bit map of fixed size (8 MB) of a table of one column, ``node``."""
     place = F.pmod(F.xxhash64("node"), F.lit(_BITS))
-    maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+    maps = nodes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
     bits = np.zeros(_BITS // 8 + 8192, np.uint8)
     for row in maps:  # at most 2049 rows of 4 kB
         at = (row["bucket"] - 1) * 4096 if row["bucket"] > 0 else _BITS // 8
         bits[at:at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    out = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+    return bits
+
+
+def _candidate_sets(texts: DataFrame, stars: DataFrame, words: int) -> DataFrame:
+    """``node, maybe_hub, hashes``: the sets of the nodes of stars, and of few others.
+
+    The nodes, and the hubs, go to the tasks as bit maps of fixed size, so only their sets
+    are written; what a map lets through by chance is dropped by the joins that follow.
+    """
+    hubs = stars.select(F.col("hub").alias("node"))
+    shared = texts.sparkSession.sparkContext.broadcast((_bit_map(stars.select("node").unionByName(hubs)), _bit_map(hubs)))
+    out = pa.schema([("node", pa.int64()), ("maybe_hub", pa.bool_()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, hub = shared.value
         for batch in slices(batches):
             bucket, bit = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            at = np.where(bucket > 0, (bucket - 1) * 4096, _BITS // 8) + bit // 8
-            chosen = batch.filter(pa.array((shared.value[at] >> (bit % 8).astype(np.uint8)) & 1 == 1))
+            at, mask = np.where(bucket > 0, (bucket - 1) * 4096, _BITS // 8) + bit // 8, np.uint8(1) << (bit % 8).astype(np.uint8)
+            own = (every[at] & mask) > 0
+            chosen = batch.filter(pa.array(own))
             yield pa.RecordBatch.from_arrays([
-                chosen.column(0), pa.array([shingles(t, words).tobytes() for t in chosen.column(3).to_pylist()], pa.binary())], schema=out)
+                chosen.column(0), pa.array(((hub[at] & mask) > 0)[own]),
+                pa.array([packed_set(shingles(t, words)) for t in chosen.column(3).to_pylist()], pa.binary())], schema=out)
 
-    placed = _texts(docs).withColumn("place", place).select(
+    place = F.pmod(F.xxhash64("node"), F.lit(_BITS))
+    placed = texts.withColumn("place", place).select(
         "node", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"), "text")
-    return placed.mapInArrow(run, "node long, hashes binary").distinct()
+    return placed.mapInArrow(run, "node long, maybe_hub boolean, hashes binary")
 
 
-_DELTA = "hub long, node long, hub_size long, size long, linked boolean, lost binary, added binary"
+def _compare(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub, node, hub_size, size, common`` of every star edge.
 
-
-def _compare(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every star edge compared: sizes, whether linked, what the node lost of the hub's set (positions) and added (hashes)."""
-    out = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("hub_size", pa.int64()), ("size", pa.int64()),
-                     ("linked", pa.bool_()), ("lost", pa.binary()), ("added", pa.binary())])
+    Merge joins at every size: a set travels twice, once to its hubs.
+    """
+    out = pa.schema([(c, pa.int64()) for c in ("hub", "node", "hub_size", "size", "common")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 25):
-            rows = []
-            for hub, node, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-                shared = np.isin(a, b, assume_unique=True)
-                common = int(shared.sum())
-                rows.append({
-                    "hub": hub, "node": node, "hub_size": len(a), "size": len(b),
-                    "linked": 100 * common >= percent * (len(a) + len(b) - common) and common > 0,
-                    "lost": np.flatnonzero(~shared).astype("<u4").tobytes(),
-                    "added": b[~np.isin(b, a, assume_unique=True)].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+            hubs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            a, b = ([unpacked_set(x) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            common = [int(np.isin(x, y, assume_unique=True).sum()) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (hubs, nodes, list(map(len, a)), list(map(len, b)), common)], schema=out)
 
-    of_hub = sets.select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
-    return stars.join(of_hub, "hub").join(sets, "node").select("hub", "node", "hub_hashes", "hashes").mapInArrow(run, _DELTA)
+    of_hub = sets.filter("maybe_hub").select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    members = stars.hint("merge").join(sets.select("node", "hashes"), "node")
+    return of_hub.hint("merge").join(members, "hub").select("hub", "node", "hub_hashes", "hashes").mapInArrow(
+        run, "hub long, node long, hub_size long, size long, common long")
 
 
 def _spanning(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
@@ -310,63 +325,61 @@ def _spanning(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[
     return out
 
 
-def _tile(asking: pa.Table, others: pa.Table, percent: int) -> pa.Table:
-    """Links between two blocks of one star, from their differences to the hub."""
+def _tile(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the asking and the other nodes of a tile: their sets as a matrix of the shared elements."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    if not len(asking) or not len(others):
+    asks = table["asks"].to_numpy()
+    nodes, sets = table["node"].to_numpy(), [unpacked_set(x) for x in table["hashes"].to_pylist()]
+    sides = [np.flatnonzero(asks), np.flatnonzero(~asks)]
+    if not len(sides[0]) or not len(sides[1]):
         return schema.empty_table()
-    both = [(t["size"].to_numpy(), [np.frombuffer(x, "<u4") for x in t["lost"].to_pylist()],
-             [np.frombuffer(x, "<u8") for x in t["added"].to_pylist()]) for t in (asking, others)]
-    hub_size = asking["hub_size"][0].as_py()
-    added = np.intersect1d(*(np.concatenate(x[2]) if x[2] else np.zeros(0, _U) for x in both))
-    columns = hub_size + len(added)
-
-    def entries(lost: list, more: list) -> tuple[np.ndarray, np.ndarray]:
-        rows, at = [], []
-        for i, (l, m) in enumerate(zip(lost, more, strict=True)):
-            where = np.searchsorted(added, m)
-            own = where[(where < len(added)) & (added[np.minimum(where, max(0, len(added) - 1))] == m)] if len(added) else where[:0]
-            rows.append(np.full(len(l) + len(own), i))
-            at.append(np.concatenate([l.astype(np.int64), own + hub_size]))
-        return np.concatenate(rows), np.concatenate(at)
-
-    (n_a, lost_a, more_a), (n_b, lost_b, more_b) = both
-    row_a, col_a = entries(lost_a, more_a)
-    row_b, col_b = entries(lost_b, more_b)
-    shared = np.zeros((len(n_a), len(n_b)), np.float32)
-    width = 2048
-    for at in range(0, columns, width):
-        left, right = np.zeros((len(n_a), width), np.float32), np.zeros((len(n_b), width), np.float32)
-        for m, r, c in ((left, row_a, col_a), (right, row_b, col_b)):
-            own = (c >= at) & (c < at + width)
-            m[r[own], c[own] - at] = 1
-        if left.any() and right.any():
-            shared += left @ right.T
-    gone_a, gone_b = np.array([len(x) for x in lost_a]), np.array([len(x) for x in lost_b])
-    common = hub_size - gone_a[:, None] - gone_b[None, :] + np.rint(shared).astype(np.int64)
-    linked = (common > 0) & (100 * common >= percent * (n_a[:, None] + n_b[None, :] - common))
-    nodes, at = np.unique(np.concatenate([asking["node"].to_numpy(), others["node"].to_numpy()]), return_inverse=True)
+    elements = [np.concatenate([sets[i] for i in side]) for side in sides]
+    columns = np.intersect1d(*elements)
+    sizes = [np.array([len(sets[i]) for i in side]) for side in sides]
+    entries = []
+    for side, found, n in zip(sides, elements, sizes, strict=True):
+        at = np.searchsorted(columns, found)
+        own = columns[np.minimum(at, max(0, len(columns) - 1))] == found if len(columns) else np.zeros(len(found), bool)
+        entries.append((np.repeat(np.arange(len(side)), n)[own], at[own]))
+    common, width = np.zeros((len(sides[0]), len(sides[1])), np.float32), 2048
+    for start in range(0, len(columns), width):
+        blocks = []
+        for side, (row, at) in zip(sides, entries, strict=True):
+            block, own = np.zeros((len(side), width), np.float32), (at >= start) & (at < start + width)
+            block[row[own], at[own] - start] = 1
+            blocks.append(block)
+        common += blocks[0] @ blocks[1].T
+    common = np.rint(common).astype(np.int64)
+    linked = (common > 0) & (100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
+    names, at = np.unique(nodes, return_inverse=True)
     i, j = np.nonzero(linked)
-    found = _spanning([(at[i], at[len(n_a) + j])], len(nodes))
-    return pa.table([pa.array([int(nodes[x]) for x, _ in found], pa.int64()), pa.array([int(nodes[y]) for _, y in found], pa.int64())], schema=schema)
-
-
-def _rest(compared: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links inside the stars that don't touch the hub, in tiles: blocks of nodes that
-    aren't linked with the hub against blocks of all nodes of the star."""
-    counts = compared.groupBy("hub").agg(
-        F.ceil(F.sum((~F.col("linked")).cast("int")) / _TILE_ASKING).alias("asking"), F.ceil(F.count("*") / _TILE_ALL).alias("all"),
-        F.count("*").alias("n")).filter("asking > 0 and n > 1")
-    rows = compared.join(counts, "hub").withColumn("place", F.xxhash64("node"))
-    asking = rows.filter("not linked").withColumn("i", F.pmod("place", "asking")).withColumn(
+    found = _spanning([(at[sides[0][i]], at[sides[1][j]])], len(names))
+    return pa.table([pa.array([int(names[x]) for x, _ in found], pa.int64()), pa.array([int(names[y]) for _, y in found], pa.int64())], schema=schema)
+
+
+def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links inside the stars that don't touch the hub.
+
+    Nodes that aren't linked with the hub ask.  By the triangle inequality of the Jaccard distance
+    only nodes about as far from the hub can answer, so asking nodes meet those of their own
+    ring around the hub and of the rings beside it.  Tiles are blocks of asking nodes against blocks of others.
+    """
+    reach = 1 - percent / 100 + 1e-9
+    far = compared.withColumn("far", 1 - F.col("common") / (F.col("hub_size") + F.col("size") - F.col("common"))).select(
+        "hub", "node", "linked", F.floor(F.col("far") / reach).cast("int").alias("ring"))
+    near = far.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    asked = far.filter("not linked").groupBy("hub", "ring").agg(F.ceil(F.count("*") / _TILE_ASKING).alias("asking"))
+    counts = near.groupBy("hub", "ring").agg(F.ceil(F.count("*") / _TILE_ALL).alias("all"), F.count("*").alias("n")).join(
+        asked, ["hub", "ring"]).filter("n > 1")
+    place = F.xxhash64("node")
+    asking = far.filter("not linked").join(counts, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
-    others = rows.withColumn("j", F.pmod("place", "all")).withColumn(
+    others = near.join(counts, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
-    columns = ["hub", "i", "j", "node", "hub_size", "size", "lost", "added"]
-    other = others.select(*(F.col(c).alias(f"other_{c}") for c in columns))
-    return asking.select(*columns).groupBy("hub", "i", "j").cogroup(
-        other.groupBy("other_hub", "other_i", "other_j")
-    ).applyInArrow(lambda a, b: _tile(a, b.rename_columns(columns), percent), "a long, b long")
+    tile = ["hub", "ring", "i", "j"]
+    placed = asking.select(*tile, "node", F.lit(True).alias("asks")).unionByName(others.select(*tile, "node", F.lit(False).alias("asks")))
+    return placed.hint("merge").join(sets.select("node", "hashes"), "node").groupBy(*tile).applyInArrow(
+        lambda t: _tile(t, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -391,19 +404,31 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document, groups by similarity of ``percent`` hundredths."""
-    every = cut_lineage(shingle_sets(docs, words))
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    texts = _texts(docs)
+    every = cut_lineage(shingle_sets(texts, words))
     classes = cut_lineage(every.filter("n_shingles > 0").groupBy("key").agg(F.min("node").alias("node"), F.max("n_shingles").alias("n")))
     largest = 24
     histogram = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= 2 * largest).groupBy("n").count().collect()}
     scheme = Scheme.by_cost(percent, histogram, largest)
     volume = classes.agg(F.coalesce(F.sum(F.col("n") * 0.4 + 10), F.lit(0.0))).first()[0]
-    packed = _packed_keys(docs, words, scheme).join(classes.select("node").distinct(), "node", "left_semi")
-    lists = cut_lineage(_lists(packed, max(64, int(volume / 1e6))))
+    # Copies are spared: only the texts of each class's smallest node, and of few others, have keys.
+    copies = cut_lineage(every.select("node").join(classes.select("node"), "node", "left_anti").distinct())
+    single = without(texts, "node", copies)
+    lists = cut_lineage(_lists(single, words, scheme, max(64, int(volume / 4e5))))
     stars = cut_lineage(_stars(lists))
-    wanted = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
-    sets = cut_lineage(_candidate_sets(docs, wanted, words))
-    compared = cut_lineage(_compare(stars, sets, percent))
-    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(compared, percent))
+    sets = _candidate_sets(single, stars, words)
+    repeated = every.join(classes.select("node"), "node", "left_semi").groupBy("node").count().filter("count > 1")
+    if repeated.limit(1).count():  # rows with the same id: their sets are wanted once
+        sets = sets.distinct()
+    sets = cut_lineage(sets)
+    linked = (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("hub_size") + F.col("size") - F.col("common")))
+    compared = cut_lineage(_compare(stars, sets).withColumn("linked", linked))
+    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(compared, sets, percent))
     groups = components(links)
     of_class = classes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     known = F.when(F.col("component_id") < _NO_ID, F.col("component_id"))
