@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
 def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them; a last repetition may end after ``extra`` words.
 
-    Documents without words are not taken.
+    Documents without words are not taken.  The plan has a row per document, so it is merged, never broadcast.
     Needs unique ids that are not null; ``docs`` keeps its columns.
     """
     key, epochs, cut, words = (fresh(docs, f"mix_{c}") for c in ("id", "epochs", "cut", "words"))
@@ -142,6 +142,6 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)")), F.lit(1), F.col(words).cast("int")), "")
     text = F.when(F.col(words) >= 0, start).otherwise(F.col("text")).alias("text")
     return (
-        docs.join(plan, docs["doc_id"] == plan[key]).withColumn(words, F.explode(copies))
+        docs.join(plan.hint("merge"), docs["doc_id"] == plan[key]).withColumn(words, F.explode(copies))
         .select(*(text if c == "text" else F.col(c) for c in docs.columns))
     )
