@@ -7,8 +7,8 @@ tokenizer), so there is no SQL for the pipeline; its tests hold each stage again
 Python version.
 
 Edge cases: null texts are no toxic documents, no near duplicates, have no personal data
-and no words, and so leave with the mix, which takes words; empty tables pass as empty
-tables; further columns pass through all stages but the last.
+and no words, and so leave with the mix, which takes words; rows without id and rows that
+share an id are documents of their own in the mix; empty tables pass as empty tables; further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weights of their sources ask for; the last repetition may end early."""
-    out = mixing.mixed_texts(docs, cut_lineage(mixing.mix(docs)))
+    out = mixing.mix_texts(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -95,3 +95,24 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{table}.parquet").filter("false").write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mix_takes_rows_without_id_and_rows_that_share_one(spark):
+    rows = [(None, prose(i, 20 + i), "en", "a", 1) for i in range(6)] + [(7, prose(50 + i % 5, 30 + i % 5), "en", "b", 1) for i in range(20)]
+    rows += [(100 + i, prose(90 + i, 25), "en", "c", 1) for i in range(10)]
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    per_text = defaultdict(int)
+    for r in mixed:
+        taken[r["source"]] += len(r["text"].split())
+        per_text[max((t for _, t, *_ in rows if t.startswith(r["text"])), key=len)] += len(r["text"].split())
+    level = sum(sizes.values()) / 8
+    targets = {"a": 5 * level, "b": 2 * level, "c": level}
+    if targets["a"] > 3 * sizes["a"]:
+        level = (sum(sizes.values()) - 3 * sizes["a"]) / 3
+        targets = {"a": 3 * sizes["a"], "b": 2 * level, "c": level}
+    assert {s: taken[s] for s in sizes} == {s: round(t) for s, t in targets.items()}
+    for text, n in per_text.items():
+        assert n <= 3 * len(text.split()) * sum(r[1] == text for r in rows)

@@ -15,8 +15,9 @@ Edge cases: a null text has size 0.  A null source is a source of its own and co
 the empty name is another.  Sources without words have target 0, and so has everything if
 nothing has words.  Repeated rows are documents of their own; rows with the same id are
 ordered by size, and equal rows are alike, so whichever is cut gives the same rows.  A null
-id is hashed as the empty string.  An empty table gives an empty result.  Columns of any
-other name pass through ``mixed_texts``.
+id is hashed as the empty string.  ``mix_texts`` gives every row a key of its own, so rows
+without id and rows that share one are taken as the mix says.  An empty table gives an empty
+result.  Columns of any other name pass through ``mix_texts`` and ``mixed_texts``.
 """
 
 from __future__ import annotations
@@ -79,14 +80,16 @@ def _draw(seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 7,
-        range_rows: int = 1_000) -> DataFrame:
+        range_rows: int = 1_000, key: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken`` and how it is taken:
     ``epochs`` whole repetitions and the first ``extra`` words once more.
 
     Needs ``doc_id``, ``text`` and ``source``.  ``weights`` go round over the sources in order.
+    ``key``: a column of ``docs`` that tells rows apart; it comes along and settles ties.
     """
+    own = [key] if key else []
     sized = cut_lineage(docs.select(
-        "doc_id", F.col("source").alias("mix_source"), word_count().alias("size"), _draw(seed).alias("mix_draw")))
+        *own, "doc_id", F.col("source").alias("mix_source"), word_count().alias("size"), _draw(seed).alias("mix_draw")))
     sums = cut_lineage(sized.groupBy("mix_source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
     turn = F.col("position") % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")
@@ -101,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     # The hash range of a document grows with its hash, so ranges are taken in order too.
     upper = F.conv(F.substring("mix_draw", 1, 12), 16, 10).cast("long")
     drawn = cut_lineage(sized.join(targets, same).select(
-        "doc_id", sized["mix_source"].alias("mix_source"), "size", "mix_draw", "words", "target", "epochs", "extra_words",
+        *own, "doc_id", sized["mix_source"].alias("mix_source"), "size", "mix_draw", "words", "target", "epochs", "extra_words",
         F.floor(upper * F.col("ranges").cast("double") / float(1 << 48)).alias("mix_range")))
     sums_before = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
@@ -115,25 +118,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     placed = drawn.join(last, drawn["mix_source"].eqNullSafe(last["last_source"]), "left").drop("last_source")
     whole = placed.filter("last_range is null or mix_range <> last_range").withColumn(
         "extra", F.when(F.col("mix_range") < F.col("last_range"), F.col("size")).otherwise(F.lit(0)))
-    inside = Window.partitionBy("mix_source").orderBy("mix_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("mix_source").orderBy("mix_draw", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     ended = placed.filter("mix_range = last_range").withColumn(
         "extra", F.greatest(F.lit(0), F.least(
             F.col("size"),
             F.col("extra_words") - F.col("last_before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     return whole.unionByName(ended).select(
-        "doc_id", "size", F.col("words").alias("source_size"), "target",
+        *own, "doc_id", "size", F.col("words").alias("source_size"), "target",
         (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "epochs", F.col("extra").cast("long").alias("extra"))
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def mixed_texts(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
     """The documents as often as the mix takes them; a last repetition may end after ``extra`` words.
 
     Documents without words are not taken.  The plan has a row per document, so it is merged, never broadcast.
-    Needs unique ids that are not null; ``docs`` keeps its columns.
+    ``row`` names the column of both that tells rows apart, unique and not null; ``docs`` keeps its columns.
     """
     key, epochs, cut, words = (fresh(docs, f"mix_{c}") for c in ("id", "epochs", "cut", "words"))
     plan = mixed.filter("size > 0").select(
-        F.col("doc_id").alias(key), F.col("epochs").cast("int").alias(epochs),
+        F.col(row).alias(key), F.col("epochs").cast("int").alias(epochs),
         F.when(F.col("extra") == F.col("size"), F.lit(-1)).otherwise(F.col("extra")).cast("long").alias(cut))
     copies = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), F.col(epochs)),
@@ -142,6 +145,16 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)")), F.lit(1), F.col(words).cast("int")), "")
     text = F.when(F.col(words) >= 0, start).otherwise(F.col("text")).alias("text")
     return (
-        docs.join(plan.hint("merge"), docs["doc_id"] == plan[key]).withColumn(words, F.explode(copies))
+        docs.join(plan.hint("merge"), docs[row] == plan[key]).withColumn(words, F.explode(copies))
         .select(*(text if c == "text" else F.col(c) for c in docs.columns))
     )
+
+
+def mix_texts(docs: DataFrame) -> DataFrame:
+    """The documents as often as :func:`mix` takes them, row by row: ids may be null or repeated.
+
+    Rows and their keys are written once, so that the plan and the texts see the same keys.
+    """
+    row = fresh(docs, "mix_row")
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    return mixed_texts(keyed, cut_lineage(mix(keyed, key=row)), row).drop(row)
