@@ -8,7 +8,7 @@ Python version.
 
 Edge cases: null texts are no toxic documents, no near duplicates, have no personal data
 and no words, and so leave with the mix, which takes words; rows without id and rows that
-share an id are documents of their own in the mix; empty tables pass as empty tables; further columns pass through all stages but the last.
+share an id are documents of their own in every stage; empty tables pass as empty tables; further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import jaccard_join, mixing, packing, pseudonyms, toxicity
-from vitrina.llm.common import cut_lineage, read, ship, without
+from vitrina.llm.common import cut_lineage, fresh, read, ship, without
 from vitrina.llm.encoding import vocabulary
 
 
@@ -28,11 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that of
+    the smallest id, nulls last.
+
+    Rows are told apart by a key of their own, written once with them, as ids may be null or repeated.
+    """
     ship(spark)
-    groups = jaccard_join.near_duplicates(docs, words=5, percent=80)
-    gone = cut_lineage(groups.filter("component_id <> doc_id").select("doc_id").distinct())
-    return without(docs, "doc_id", gone)
+    row = fresh(docs, "near_row")
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    nodes = keyed.select(F.col(row).alias("doc_id"), "text")
+    groups = cut_lineage(jaccard_join.near_duplicates(nodes, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)).alias("first")
+    stays = groups.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    gone = cut_lineage(groups.select(row).join(stays, row, "left_anti"))
+    return without(keyed, row, gone).drop(row)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

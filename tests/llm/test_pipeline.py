@@ -116,3 +116,14 @@ def test_mix_takes_rows_without_id_and_rows_that_share_one(spark):
     assert {s: taken[s] for s in sizes} == {s: round(t) for s, t in targets.items()}
     for text, n in per_text.items():
         assert n <= 3 * len(text.split()) * sum(r[1] == text for r in rows)
+
+
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    base, other, own = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(None, base, 0), (None, base, 1), (None, edited(1, base, 1), 2), (9, other, 3), (9, other, 4), (9, edited(2, other, 1), 5),
+            (4, other, 6), (9, own, 7), (None, None, 8), (None, None, 9), (None, prose(4, 80), 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    kept = sorted(r["n"] for r in left)
+    assert len([n for n in kept if n < 3]) == 1 and [n for n in kept if n >= 3] == [6, 7, 8, 9, 10]
+    assert all((r["doc_id"], r["text"], r["n"]) == rows[r["n"]] for r in left)
