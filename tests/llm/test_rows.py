@@ -136,6 +136,23 @@ def test_pseudonyms(spark, none):
     assert pseudonyms.pseudonymise(none, "key").collect() == []
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card, token = "4111 1111 1111 1111", "aB3_" * 300
+    texts = [f"{card} 12/25", "4111111111111111 123", f"12 {card}", f"{card} 555-123-4567", f"{card} 123-45-6789", f"{card} 05/03/2024",
+             f"{card} 2024-03-05T10:00:00Z", f"+1 (017) 555-7713 {card}", f"{card} 26nt@mail.com", f"{card} {card} 7", "3782 822463 10005 1234",
+             f"{card} 97.51.17.173", f"token={token} end", "at 2024-03-05T10:00:00Z", "on 12/31/1999", " ".join(["12"] * 10_000) + f" {card}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = [r["text"] for r in pseudonyms.pseudonymise(docs, "key").orderBy("doc_id").collect()]
+    for value in ("4111 1111", "1111 1111", "4111111111111111", "555-123-4567", "123-45-6789", "05/03/2024", "2024-03-05", "555-7713", "26nt@mail",
+                  "822463", "97.51.17", "aB3_aB3_", "12/31/1999"):
+        assert not [t for t in out if value in t], value
+    assert all(len(a) == len(b) for a, b in zip(out, texts, strict=True) if "97.51" not in b)
+    new = out[0][:19]
+    assert out[0] == f"{new} 12/25" and out[1] == new.replace(" ", "") + " 123" and out[2] == f"12 {new}" and out[9] == f"{new} {new} 7"
+    assert all(new in t for t in (*out[3:10], out[11], out[15])) and out[15].startswith("12 12 12") and out[10].endswith(" 1234")
+    assert out[12].startswith("token=") and out[12].endswith(" end") and out[13].endswith("T10:00:00Z")
+
+
 def test_permutations(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"), F.col("id"))
     moved = [r[0] for r in digits.select(pseudonyms.permute_digits(F.col("d"), "k", "t")).collect()]

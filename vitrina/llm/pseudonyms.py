@@ -13,7 +13,8 @@ kind       what is permuted
 email      letters and digits of the local part and of all labels but the last
 secret     letters and digits of a value after ``token``, ``password``, ``api_key``, ...
 iban       digits and capital letters after the country; the check digits are set anew
-card       13 to 19 digits with a valid check digit; the check digit is set anew
+card       13 to 19 digits with a valid check digit, also among other numbers; the check
+           digit is set anew
 ssn        the nine digits of ``123-45-6789``
 phone      all digits of a telephone number but those of the country
 ip         the 32 bits of an address
@@ -39,19 +40,28 @@ ROUNDS = 8
 DAYS, DAY_ROWS, DAY_COLUMNS = 73_000, 250, 292
 
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-_SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)[A-Za-z0-9_/+.-]{8,512}"
+_SECRET = r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)[A-Za-z0-9_/+.-]{8,}"
 _IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"
-_DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d[./][01]?\d[./](?:19|20)\d\d|(?:19|20)\d\d/[01]\d/[0-3]\d)(?![\w/-]|\.\d)"
+_DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d[./][0-3]?\d[./](?:19|20)\d\d|(?:19|20)\d\d/[01]\d/[0-3]\d)(?:(?=[Tt]\d)|(?![\w/-]|\.\d))"
 _SSN = r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
 _IBAN = r"(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)"
-_PHONE = r"(?<![\w(+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w|-\d)"
-_CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"
+_PHONE = r"(?<![\w(+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:(?! \d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{3,4}|\d{6}[ -]\d{4,5})(?!\d))[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w|-\d)"
+#: Numbers joined by hyphens that aren't the start of a word, a decimal, an address or a date.
+_BLOCK = r"\d++(?:-\d++)*+(?!\w|\.\d|[\w.%+-]{0,64}@|/[0-3]?\d/\d)"
+#: A whole run of numbers; the cards in it are found by :func:`_cards`.  Possessive, as long runs must not recurse.
+_CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_BLOCK}(?: {_BLOCK})*+"
+#: Lengths of the numbers in which cards are usually written.
+_USUAL = r"^(?:1[3-9]|4-4-4-4(?:-[1-3])?|4-4-4-[1-3]|4-6-[45]|4-3-3-3|4-4-5)$"
+#: Any other card among more numbers: none but the last is shorter than three digits.
+_LOOSE = r"^(?:(?:[3-9]|1\d)-)+\d+$"
 #: Fixed order: the first that fits at a place wins.
 KINDS = (
     ("secret", _SECRET), ("email", _EMAIL), ("iban", _IBAN), ("date", _DATE), ("ip", _IP), ("ssn", _SSN),
     ("card", _CARD), ("phone", _PHONE),
 )
 PATTERN = "|".join(p for _, p in KINDS)
+#: What may stand beside a card in a run of numbers.
+BESIDE = "|".join(p for k, p in KINDS if k in ("date", "ssn", "phone"))
 
 
 def _hash(key: str, tweak: str, turn: Column, other: Column) -> Column:
@@ -164,6 +174,61 @@ def _card(value: Column, key: str) -> Column:
     return _let(_digits(value), lambda d: F.when(valid_card(d), body(d)).otherwise(value))
 
 
+def _beside(text: Column, key: str) -> Column:
+    """What is left of a run of numbers beside its cards, with its own values replaced."""
+    def new(v: Column) -> Column:
+        return (
+            F.when(v.rlike(f"^(?:{_DATE})$"), _date(v, key))
+            .when(v.rlike(f"^(?:{_SSN})$"), _refill(v, permute_digits(_digits(v), key, "ssn"))).otherwise(_phone(v, key)))
+
+    return F.when(text.rlike(BESIDE), F.array_join(F.zip_with(
+        F.split(text, BESIDE, -1), F.transform(F.regexp_extract_all(text, F.lit(f"({BESIDE})")), new),
+        lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
+
+
+def _cards(value: Column, key: str) -> Column:
+    """A run of numbers with its cards replaced: windows of whole numbers with a valid check digit.
+
+    From left to right the longest window counts; usual groupings come before others, also
+    where they start later.
+    """
+    def whole(d: Column) -> Column:
+        n = F.size(d)
+
+        def window(i: Column) -> Column:
+            def lengths(k: Column) -> Column:
+                return F.array_join(F.transform(F.slice(d, i + 1, k), lambda x: F.length(x).cast("string")), "-")
+
+            valid = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: valid_card(F.array_join(F.slice(d, i + 1, k), "")))
+            return _let(valid, lambda ks: F.struct(
+                F.coalesce(F.array_max(F.filter(ks, lambda k: lengths(k).rlike(_USUAL))), F.lit(0)).alias("usual"),
+                F.coalesce(F.array_max(F.filter(ks, lambda k: (k == n) | lengths(k).rlike(_LOOSE))), F.lit(0)).alias("loose")))
+
+        def spans(w: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                here = F.get(w, i)
+                crossed = F.exists(F.slice(w, i + 2, F.greatest(F.lit(0), here["loose"] - 1)), lambda x: x["usual"] > 0)
+                k = F.when(here["usual"] > 0, here["usual"]).when(crossed, 0).otherwise(here["loose"])
+                return F.when((i < s["next"]) | (k == 0), s).otherwise(F.struct(
+                    F.concat(s["starts"], F.array(i)).alias("starts"), F.concat(s["ends"], F.array(i + k - 1)).alias("ends"),
+                    (i + k).alias("next")))
+
+            none = F.array().cast("array<int>")
+            return F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(none.alias("starts"), none.alias("ends"), F.lit(0).alias("next")), step)
+
+        def replaced(s: Column, gaps: Column) -> Column:
+            marked = F.array_join(F.transform(d, lambda x, i: F.concat(
+                F.when(F.array_contains(s["starts"], i), "<").otherwise(""), x,
+                F.when(F.array_contains(s["ends"], i), ">").otherwise(""), F.coalesce(F.get(gaps, i), F.lit("")))), "")
+            return F.array_join(F.transform(
+                F.split(marked, "[<>]", -1), lambda p, i: F.when(i % 2 == 1, _card(p, key)).otherwise(_beside(p, key))), "")
+
+        windows = F.transform(F.sequence(F.lit(0), n - 1), window)
+        return _let(_let(windows, spans), lambda s: _let(F.regexp_extract_all(value, F.lit("([ -])")), lambda g: replaced(s, g)))
+
+    return _let(F.split(value, "[ -]"), whole)
+
+
 def _phone(value: Column, key: str) -> Column:
     """The country stays: ``+`` and digits up to the first separator."""
     country = F.regexp_extract(value, r"^(\+\d{1,3}(?=[^0-9]))?", 0)
@@ -179,24 +244,30 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """ISO notation with ``-`` or ``/``, or day, month and year with ``.`` or ``/``."""
+    """ISO notation with ``-`` or ``/``, or day, month and year with ``.`` or ``/``; month first where only that is a date."""
     year_first = value.rlike(r"^\d{4}")
     mark = F.regexp_extract(value, r"[./-]", 0)
     parts = F.split(value, r"[./-]")
 
+    def number(iso: Column) -> Column:
+        return F.date_diff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+
+    def written(n: Column, *fields: str) -> Column:
+        return F.concat(F.date_format(n, fields[0]), mark, F.date_format(n, fields[1]), mark, F.date_format(n, fields[2]))
+
     def body(p: Column) -> Column:
-        iso = F.when(year_first, F.concat_ws("-", p[0], p[1], p[2])).otherwise(
-            F.concat_ws("-", p[2], F.lpad(p[1], 2, "0"), F.lpad(p[0], 2, "0")))
-        day = F.date_diff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+        first, second = (F.lpad(F.get(p, F.lit(i)), 2, "0") for i in (0, 1))
+        plain = F.when(year_first, number(F.concat_ws("-", p[0], p[1], p[2]))).otherwise(number(F.concat_ws("-", p[2], second, first)))
+        turned = F.when(~year_first, number(F.concat_ws("-", p[2], first, second)))
 
-        def known(d: Column) -> Column:
+        def known(d: Column, turn: Column) -> Column:
             moved = _feistel(F.floor(d / DAY_COLUMNS), F.pmod(d, F.lit(DAY_COLUMNS)), F.lit(DAY_ROWS), F.lit(DAY_COLUMNS), key, "date")
             new = _let(moved, lambda m: F.date_add(F.lit("1900-01-01").cast("date"), (m["a"] * DAY_COLUMNS + m["b"]).cast("int")))
-            return _let(new, lambda n: F.when(year_first, F.concat(
-                F.date_format(n, "yyyy"), mark, F.date_format(n, "MM"), mark, F.date_format(n, "dd"))).otherwise(
-                F.concat(F.date_format(n, "dd"), mark, F.date_format(n, "MM"), mark, F.date_format(n, "yyyy"))))
+            return _let(new, lambda n: F.when(year_first, written(n, "yyyy", "MM", "dd")).when(
+                turn, written(n, "MM", "dd", "yyyy")).otherwise(written(n, "dd", "MM", "yyyy")))
 
-        return _let(day, lambda d: F.when(d.between(0, DAYS - 1), known(d)).otherwise(value))
+        return _let(F.struct(F.coalesce(plain, turned).alias("day"), plain.isNull().alias("turn")), lambda x: F.when(
+            x["day"].between(0, DAYS - 1), known(x["day"], x["turn"])).otherwise(value))
 
     return _let(parts, body)
 
@@ -207,7 +278,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    own = F.regexp_extract(value, r"[A-Za-z0-9_/+.-]{8,512}$", 0)
+    own = F.regexp_extract(value, r"[A-Za-z0-9_/+.-]{8,}$", 0)
     return F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(own)), permute_characters(own, key, "secret"))
 
 
@@ -246,7 +317,7 @@ def pseudonym(value: Column, key: str) -> Column:
         F.when(is_a("secret"), _secret(value, key)).when(is_a("email"), _email(value, key))
         .when(is_a("iban"), _iban(value, key)).when(is_a("date"), _date(value, key)).when(is_a("ip"), _ip(value, key))
         .when(is_a("ssn"), _refill(value, permute_digits(_digits(value), key, "ssn")))
-        .when(is_a("card") & valid_card(_digits(value)), _card(value, key)).when(is_a("phone"), _phone(value, key))
+        .when(is_a("card"), _cards(value, key)).when(is_a("phone"), _phone(value, key))
         .otherwise(value))
 
 
