@@ -200,6 +200,16 @@ def test_url_trees_on_held_out_urls(spark):
     assert sum((r["verdict"] == "block") == (r["label"] == 1) for r in got) >= 0.95 * len(got)
 
 
+def test_url_suffixes_count_all_labels(spark):
+    urls = [(f"http://www.site.z{100 + i % 100}/page/{1000 + i}", i % 2) for i in range(1000)]
+    labelled = spark.createDataFrame(urls, "url string, label int")
+    hot = labelled.orderBy(F.xxhash64(F.lit(7), "url")).first()
+    labelled = labelled.unionByName(spark.createDataFrame([tuple(hot)] * 200, labelled.schema))
+    pages = spark.createDataFrame([(i, f"http://www.site.z{100 + i}/page/{3000 + i}") for i in range(100)], "page_id long, url string")
+    got = url_filter.judge_urls(pages, {}, labelled=labelled, sample=100).collect()
+    assert sum((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in got) >= 98
+
+
 def test_maximal_segments():
     assert toxicity.maximal_segments([]) == [] and toxicity.maximal_segments([-1.0, -2.0]) == []
     # The worked example of the published algorithm.

@@ -7,16 +7,17 @@ subdomains if the path starts with the rule's; the longest rule wins.
 The trees learn from labelled URLs (by default those that a rule decides): length, depth,
 shares of digits and of other signs, entropy of the characters, numbers of parameters,
 labels and hyphens, lengths of host and longest segment, and how often URLs of the same
-last label and of the same last two labels are blocked.  A labelled URL's own label is left
-out of its suffix statistics.  At most ``sample`` labelled URLs, the first by hash of the
-URL, are used to fit; every URL is judged.
+last label and of the same last two labels are blocked.  These statistics count all labelled
+rows; a labelled URL's own labels are left out of them.  At most ``sample`` distinct labelled
+URLs, the first by hash of the URL, are used to fit the trees; every URL is judged.
 
-DataFrame functions and Spark's own boosted trees only; no shuffle of the URLs but for the
-join with the suffix statistics, which are no more than the sample has and so may be
-broadcast.
+DataFrame functions and Spark's own boosted trees only.  Labelled URLs are grouped with partial
+sums, to count suffixes and to find the distinct ones; all URLs are joined with the suffix
+statistics, which are tables of any size.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and gets the
-trees' verdict like any other (if there are labelled URLs of one class only: that class;
+trees' verdict like any other (if there are labelled URLs of one class only: that class; if only
+the sample has one class: the class of most labels;
 if there are none: allow).  Repeated rows get the same verdict; a null id passes.  Empty
 tables give an empty result.  Only ``page_id`` and ``url`` are read.
 """
@@ -75,6 +76,12 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
 
 
+def _suffixes() -> tuple[Column, Column]:
+    """Last label and last two labels of ``host``."""
+    labels = F.reverse(F.split("host", r"\."))
+    return F.get(labels, F.lit(0)).alias("last_1"), F.concat_ws(".", F.get(labels, F.lit(1)), F.get(labels, F.lit(0))).alias("last_2")
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """Adds the features that need nothing but ``url``, ``host`` and ``path``."""
     url = F.coalesce("url", F.lit(""))
@@ -93,18 +100,17 @@ def lexical(urls: DataFrame) -> DataFrame:
         F.size(suffix).alias("labels"), F.length(F.regexp_replace("host", "[^-]", "")).alias("hyphens"),
         F.coalesce(F.array_max(segments), F.lit(0)).alias("longest_segment"),
         F.contains(url, F.lit("#")).cast("int").alias("fragment"), url.startswith("https").cast("int").alias("secure"),
-        F.get(suffix, F.lit(0)).alias("last_1"),
-        F.concat_ws(".", F.get(suffix, F.lit(1)), F.get(suffix, F.lit(0))).alias("last_2"),
+        *_suffixes(),
     )
 
 
 def _with_suffixes(rows: DataFrame, statistics: dict[str, DataFrame], share: float, own: bool, strength: float = 4.0) -> DataFrame:
-    """Adds smoothed shares of blocked URLs per suffix; ``own``: without the row's own label."""
+    """Adds smoothed shares of blocked URLs per suffix; ``own``: without the ``copies`` of the row's own label."""
     for name, table in statistics.items():
         rows = rows.join(table, name, "left")
         n, blocked = F.coalesce(f"{name}_n", F.lit(0)), F.coalesce(f"{name}_blocked", F.lit(0))
         if own:
-            n, blocked = n - 1, blocked - F.col("label")
+            n, blocked = n - F.col("copies"), blocked - F.col("copies") * F.col("label")
         rows = rows.withColumn(name.replace("last", "suffix"), (blocked + strength * share) / (n + strength))
     return rows
 
@@ -124,14 +130,17 @@ def judge_urls(pages: DataFrame, rules: dict[str, bool], labelled: DataFrame | N
     else:
         known = labelled.filter("url is not null and label is not null").select(
             "url", F.col("label").cast("int").alias("label")).withColumn("host", host).withColumn("path", path)
-    train = cut_lineage(lexical(known.orderBy(F.xxhash64(F.lit(seed), "url"), "url", "label").limit(sample)).coalesce(1))
-    counts = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")).first()
+    suffixes = cut_lineage(known.select(*_suffixes(), "label").groupBy("last_1", "last_2").agg(
+        F.count("*").alias("n"), F.sum("label").alias("blocked")))
+    counts = suffixes.agg(F.sum("n").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked")).first()
     share = counts["blocked"] / counts["n"] if counts["n"] else 0.0
-    if share in (0.0, 1.0):
+    distinct = known.groupBy("url", "host", "path", "label").agg(F.count("*").alias("copies"))
+    train = cut_lineage(lexical(distinct.orderBy(F.xxhash64(F.lit(seed), "url"), "url", "label").limit(sample)).coalesce(1))
+    if share in (0.0, 1.0) or train.agg(F.count_distinct("label").alias("n")).first()["n"] < 2:
         scored = rows.withColumn("score", F.lit(share))
     else:
         statistics = {
-            name: train.groupBy(name).agg(F.count("*").alias(f"{name}_n"), F.sum("label").alias(f"{name}_blocked"))
+            name: suffixes.groupBy(name).agg(F.sum("n").alias(f"{name}_n"), F.sum("blocked").alias(f"{name}_blocked"))
             for name in ("last_1", "last_2")
         }
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
