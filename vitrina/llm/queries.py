@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import (
-    jaccard_join, line_quality, mixing, packing, pseudonyms, repeats, token_files, topk, toxicity, url_filter,
+    conversations, jaccard_join, line_quality, mixing, packing, pseudonyms, repeats, token_files, topk, toxicity, url_filter,
 )
 from vitrina.llm.common import read, ship
 from vitrina.llm.encoding import vocabulary
@@ -139,3 +139,8 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, folder, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read(spark, folder, "conversations")), with_turns=False)
