@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import (
-    conversations, jaccard_join, line_quality, mixing, packing, pseudonyms, repeats, token_files, topk, toxicity, url_filter,
+    conversations, jaccard_join, line_quality, mixing, packing, pseudonyms, repeats, token_files, topk, toxicity, treap, url_filter,
 )
 from vitrina.llm.common import read, ship
 from vitrina.llm.encoding import vocabulary
@@ -144,3 +144,36 @@ def op6_remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op13_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damage(read(spark, folder, "conversations")), with_turns=False)
+
+
+@_query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return treap.ranked_search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op12_ranked_search"] = f"""
+with d as (
+  select row_number() over () as row_no, doc_id, {_TERMS} as words from documents
+), size as (
+  select count(*)::bigint as n_docs, sum(len(words))::bigint as n_terms from d where len(words) > 0
+), p as (
+  select row_no, doc_id, n, term, count(*)::bigint as tf
+  from (select row_no, doc_id, len(words)::bigint as n, unnest(words) as term from d) group by all
+), i as (
+  select distinct item_id, unnest({_TERMS}) as term from benchmark
+), f as (
+  select term, count(*)::bigint as df from p group by term
+), w as (
+  select item_id, term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as weight
+  from i join f using (term), size
+), s as (
+  select item_id, row_no, doc_id,
+         sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::bigint as score
+  from w join p using (term), size group by all
+), r as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::integer as rank from s where score > 0
+)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
