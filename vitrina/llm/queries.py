@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import (
-    conversations, jaccard_join, line_quality, mixing, packing, pseudonyms, repeats, token_files, topk, toxicity, treap, url_filter,
+    conversations, jaccard_join, line_quality, mixing, packing, pseudonyms, quality, repeats, token_files, topk, toxicity, treap, url_filter,
 )
 from vitrina.llm.common import read, ship
 from vitrina.llm.encoding import vocabulary
@@ -177,3 +177,10 @@ with d as (
 )
 select item_id, rank, doc_id, score from r where rank <= 10
 """
+
+
+@_query
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    scored = quality.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"), train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
