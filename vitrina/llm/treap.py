@@ -48,8 +48,8 @@ BLOCK_DOCS, BLOCK_TERMS, PORTION = 1 << 14, 1 << 21, 100_000
 #: Ranges of documents opened at a time.
 OPENED = 48
 #: Per set of non-empty quarters and quarter: how many children stand before it, or none.
-_BEFORE = np.array([[bin(mask & ((1 << q) - 1)).count("1") if mask >> q & 1 else -1 for q in range(4)] for mask in range(16)], np.int64)
-_BITS = np.array([bin(mask).count("1") for mask in range(16)], np.int64)
+_BEFORE = np.array([[bin(mask & ((1 << q) - 1)).count("1") if mask >> q & 1 else -1 for q in range(4)] for mask in range(16)], np.int32)
+_BITS = np.array([bin(mask).count("1") for mask in range(16)], np.int8)
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -81,10 +81,10 @@ class Treap:
     def __init__(self, side: int, masks: np.ndarray, tops: np.ndarray):
         self.side = side
         self.masks = np.concatenate([np.zeros(1, np.uint8), masks])
-        self.tops = np.concatenate([np.zeros(1, np.int64), tops])
+        self.tops = np.concatenate([np.zeros(1, np.int32), tops])
         # Children follow in order: the first child of a square comes after the root and all children of squares before.
         counts = _BITS[self.masks]
-        self.first = 2 + np.cumsum(counts) - counts
+        self.first = 2 + np.cumsum(counts, dtype=np.int32) - counts
 
     @classmethod
     def build(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> "Treap":
@@ -94,7 +94,7 @@ class Treap:
             code |= ((rows.astype(np.uint64) >> np.uint64(bit)) & np.uint64(1)) << np.uint64(2 * bit + 1)
             code |= ((columns.astype(np.uint64) >> np.uint64(bit)) & np.uint64(1)) << np.uint64(2 * bit)
         order = np.argsort(code)
-        code, top = code[order], values[order].astype(np.int64)
+        code, top = code[order], values[order].astype(np.int32)
         masks, tops = [np.zeros(len(code), np.uint8)], [top]
         for _ in range(side):
             parent = code >> np.uint64(2)
@@ -108,9 +108,8 @@ class Treap:
 
     def to_bytes(self) -> bytes:
         """Masks, then distances of maxima from those of the parents, compressed."""
-        counts = _BITS[self.masks[1:]]
-        parents = np.concatenate([[0], np.repeat(np.arange(1, len(self.masks)), counts)])[:len(self.tops) - 1]
-        gaps = np.where(parents == 0, 0, self.tops[parents]) - self.tops[1:]
+        above = np.repeat(self.tops[1:], _BITS[self.masks[1:]])
+        gaps = np.concatenate([-self.tops[1:2], above - self.tops[2:]])
         head = np.array([self.side, len(gaps)], "<i8").tobytes()
         return head + pa.compress(self.masks[1:].tobytes() + gaps.astype("<i4").tobytes(), codec="zstd", asbytes=True)
 
@@ -118,8 +117,8 @@ class Treap:
     def from_bytes(cls, data: bytes) -> "Treap":
         side, n = (int(x) for x in np.frombuffer(data, "<i8", 2))
         raw = pa.decompress(data[16:], decompressed_size=5 * n, codec="zstd", asbytes=True)
-        masks, gaps = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, "<i4", n, offset=n).astype(np.int64)
-        out = cls(side, masks, np.zeros(n, np.int64))
+        masks, gaps = np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, "<i4", n, offset=n)
+        out = cls(side, masks, np.zeros(n, np.int32))
         tops, start, size = out.tops, 1, min(1, n)
         tops[1:2] = -gaps[:1]
         for _ in range(side):
@@ -148,7 +147,7 @@ class Treap:
             for half in (0, 1):
                 before = _BEFORE[mask, 2 * row_bit + half]
                 child = np.where(before < 0, 0, first + before)
-                made.append((child, self.tops[child] @ weights, at + 1, 2 * column[now] + half))
+                made.append((child, self.tops[child].astype(np.int64) @ weights, at + 1, 2 * column[now] + half))
             child, total, deep, place = (np.concatenate([a, b]) for a, b in zip(*made, strict=True))
             alive = total >= max(1, least)
             ends = alive & (deep == side)
