@@ -62,8 +62,8 @@ class ToxicitySettings:
     max_expected: float = 0.05      #: chance occurrences up to which a passage is significant
 
 
-def tokens(text: bytes) -> list[str]:
-    return [t for t in (w.strip(_EDGES) for w in text.decode("utf-8", "replace").lower().split()) if t]
+def tokens(text: str) -> list[str]:
+    return [t for t in (w.strip(_EDGES) for w in text.lower().split()) if t]
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -129,7 +129,7 @@ def class_counts(labelled: DataFrame, settings: ToxicitySettings) -> DataFrame:
 
         for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(tokens(text))
+                words = set(tokens(text.decode("utf-8", "replace")))
                 counts[toxic].update("w" + w for w in words)
                 counts[toxic].update({"s" + w[:settings.stem_length] for w in words if len(w) > settings.stem_length})
                 if len(counts[0]) + len(counts[1]) > _HELD:
@@ -166,29 +166,29 @@ def fit_tokens(labelled: DataFrame, settings: ToxicitySettings = ToxicitySetting
     return ToxicityModel(table("w"), table("s"), -settings.shift, settings.stem_length)
 
 
-def segments(docs: DataFrame, model: ToxicityModel, names: tuple[str, str, str] = ("n_tokens", "best", "spans")) -> DataFrame:
-    """The rows with three more columns: number of tokens, best segment score and all maximal
-    segments as (first token, end, score)."""
-    size, best, spans = names
+def segments(docs: DataFrame, model: ToxicityModel, names: tuple[str, ...] = ("n_tokens", "best", "spans")) -> DataFrame:
+    """The rows with two or three more columns: number of tokens, best segment score and, if named, all
+    maximal segments as (first token, end, score).  Every text passes the task once."""
+    size, best, *spans = names
     span = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    own = fresh(docs, "text_to_score")
-    schema = StructType([*docs.schema.fields, *(StructType.fromDDL(
-        f"`{size}` long, `{best}` double, `{spans}` array<struct<begin:int,end:int,score:double>>").fields)])
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{size}` long, `{best}` double" + (
+        f", `{spans[0]}` array<struct<begin:int,end:int,score:double>>" if spans else "")).fields])
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts, tops, strong = [], [], []
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
+            for text in batch.column(place):
+                words = tokens(text.as_py() or "")
                 found = maximal_segments(score_tokens(words, model))
                 counts.append(len(words))
                 tops.append(max((s for *_, s in found), default=0.0))
-                strong.append([{"begin": b, "end": e, "score": s} for b, e, s in found if s > 1.0])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(tops, pa.float64()), pa.array(strong, pa.list_(span))],
-                names=[*batch.schema.names[1:], size, best, spans])
+                if spans:
+                    strong.append([{"begin": b, "end": e, "score": s} for b, e, s in found if s > 1.0])
+            more = [pa.array(counts, pa.int64()), pa.array(tops, pa.float64()), *([pa.array(strong, pa.list_(span))] if spans else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    return docs.select(text_bytes().alias(own), *docs.columns).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _label_of(labels: DataFrame) -> DataFrame:
@@ -226,11 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     chosen = _label_of(labels.filter(train) if train is not None else labels)
     # Bounded by fit_rows (some hundred kB), so it is broadcast and no text is shuffled.
     known = F.broadcast(cut_lineage(chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(settings.fit_rows)))
-    labelled = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(known, "label_id"))
+    # One text per labelled id, so that rows which share an id don't grow the sample.
+    labelled = cut_lineage(
+        docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(known, "label_id")
+        .groupBy("label_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     model = fit_tokens(labelled, settings)
     size = F.log1p("n_tokens")
     found = {
-        r["toxic"]: r for r in segments(labelled, model).groupBy("toxic").agg(
+        r["toxic"]: r for r in segments(labelled, model, ("n_tokens", "best")).groupBy("toxic").agg(
             F.count("*").alias("n"), F.avg("best").alias("mean"), F.coalesce(F.stddev("best"), F.lit(0.0)).alias("sd"),
             F.var_pop("best").alias("var"), F.var_pop(size).alias("var_size"), F.covar_pop(F.col("best"), size).alias("cov"), F.avg(size).alias("size"),
         ).collect()
@@ -264,6 +267,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame, settings: ToxicitySettin
                     threshold: float = 0.3) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns; no join, no shuffle of texts."""
     fitted = fit(docs, labels, None, settings)
-    names = tuple(fresh(docs, f"toxicity_{c}") for c in ("tokens", "best", "spans"))
+    names = tuple(fresh(docs, f"toxicity_{c}") for c in ("tokens", "best"))
     score, _ = fitted.score(F.col(names[0]), F.col(names[1]))
     return segments(docs, fitted.tokens, names).filter(score < threshold).select(*docs.columns)
