@@ -9,8 +9,9 @@ are integers and exact; the bounds only decide what is dropped.  Each cell hands
 best k per query, of which the best k overall are ranked.
 
 Edge cases: vectors that are null or empty or hold null or non-finite components take no
-part, nor do rows without id, nor vectors with a component beyond 2^18 (whose exact scores
-could leave 64 bits).  Vectors of different length never meet.  Ties go to the smaller id.
+part, nor do rows without id, nor vectors whose components are not finite once scaled.  Pairs whose scores
+may leave what 64-bit floats hold exactly are computed in integers of any size; a score beyond a long counts as
+the nearest long.  Vectors of different length never meet.  Ties go to the smaller id.
 Repeated rows are candidates each; rows with the query's id are its own and never its
 candidates, and of several query rows with one id the smallest vector asks.  Empty tables
 give an empty result.  Only the two named columns are read.
@@ -20,10 +21,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = float(1 << 18)
 DIMENSIONS = 8
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -31,7 +31,7 @@ _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 def search(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and exact scores of the ``k`` best candidates (by score, then smaller id).
 
-    ``columns``: dimensions x candidates.  Integers; 64-bit floats where sums are exact in them.
+    ``columns``: dimensions x candidates, integers in 64-bit floats in which all sums are exact.
     """
     n = len(ids)
     alive = np.arange(n)
@@ -63,26 +63,50 @@ def _matrix(vectors: pa.ChunkedArray, size: int) -> np.ndarray:
     return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _large(vectors: np.ndarray, size: int) -> np.ndarray:
+    """Which vectors may have products with others that 64-bit floats don't hold exactly."""
+    return size * np.abs(vectors).max(axis=1) ** 2 >= 1 << 53
+
+
+def _search_large(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    """As :func:`search`, in integers of any size, for the few pairs that need them."""
+    whole = [int(x) for x in query.tolist()]
+    sums = (sum(a * int(b) for a, b in zip(whole, v, strict=True)) for v in vectors.tolist())
+    scores = [max(-(1 << 63), min((1 << 63) - 1, x)) for x in sums]
+    best = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    return np.array(best, np.int64), [scores[i] for i in best]
+
+
 def _cell(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[int, int, int]] = []
     sizes = candidates["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(candidates) else np.zeros(0, int)
     asked = queries["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(queries) else np.zeros(0, int)
     for size in np.intersect1d(sizes, asked):
         mine, theirs = candidates.filter(pa.array(sizes == size)), queries.filter(pa.array(asked == size))
         c, q = _matrix(mine["v"], size), _matrix(theirs["v"], size)
-        exact = size * max(1, int(np.abs(c).max())) * max(1, int(np.abs(q).max())) < 1 << 53
-        kind = np.float64 if exact else np.int64
-        columns, ids = np.ascontiguousarray(c.T, dtype=kind), mine["vec_id"].to_numpy()
-        for query_id, vector in zip(theirs["vec_id"].to_numpy(), q.astype(kind), strict=True):
+        ids, large = mine["vec_id"].to_numpy(), _large(c, size)
+        columns = np.ascontiguousarray(c[~large].T)
+        for query_id, vector, wide in zip(theirs["vec_id"].to_numpy(), q, _large(q, size), strict=True):
             # Rows of the query's own id are among the candidates; ask for as many more.
             own = int((ids == query_id).sum())
-            at, scores = search(vector, columns, ids, k + own)
-            other = ids[at] != query_id
-            at, scores = at[other][:k], scores[other][:k]
-            found.append((np.full(len(at), query_id), ids[at], scores.astype(np.int64)))
+            exact = np.ones(len(ids), bool) if wide else large
+            pairs: list[tuple[int, int]] = []
+            if not wide and len(ids[~large]):
+                at, scores = search(vector, columns, ids[~large], k + own)
+                pairs += zip(ids[~large][at].tolist(), scores.astype(np.int64).tolist(), strict=True)
+            if exact.any():
+                at, scores = _search_large(vector, c[exact], ids[exact], k + own)
+                pairs += zip(ids[exact][at].tolist(), scores, strict=True)
+            pairs = sorted((p for p in pairs if p[0] != query_id), key=lambda p: (-p[1], p[0]))[:k]
+            found += [(int(query_id), vec_id, score) for vec_id, score in pairs]
     if not found:
         return _OUT.empty_table()
-    return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], schema=_OUT)
+    return pa.table(list(zip(*found, strict=True)), schema=_OUT)
+
+
+def _floor(x: Column) -> Column:
+    """The floor as a double; from 2^53 on doubles are whole numbers, and a long would not hold them all."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
@@ -94,8 +118,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter(
         "vec_id is not null and size(e) > 0"
-    ).filter(F.forall("e", lambda x: F.coalesce((F.abs(x) <= LIMIT) & ~F.isnan(x), F.lit(False)))).select(
-        "vec_id", F.transform("e", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    ).select("vec_id", F.transform("e", lambda x: _floor(x * F.lit(float(scale)))).alias("v")).filter(
+        F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
     queries = usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     counts = usable.agg(
         F.count("*").alias("n"), F.count_distinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id"))).alias("q")).first()
