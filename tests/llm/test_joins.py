@@ -1,6 +1,7 @@
 """Jaccard join, repeated strings and top-k search against brute force."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -137,3 +138,26 @@ def test_top_k(spark):
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores[:5])]
     assert got == sorted(want)
     assert topk.top_k(frame.filter("false")).collect() == []
+
+
+def test_large_ids_keep_their_groups(spark):
+    """Ids from 2^62 on, also beside rows without id."""
+    high, text = 1 << 62, prose(41, 60)
+    rows = [(high + 5, text), (high + 6, text), (None, text), ((1 << 63) - 1, prose(42, 60)), (None, prose(43, 60)), (None, prose(43, 60)), (high + 9, "")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(
+        [(high + 5, high + 5), (high + 6, high + 5), (None, high + 5), ((1 << 63) - 1, (1 << 63) - 1), (None, None), (None, None), (high + 9, high + 9)], key=str)
+
+
+def test_top_k_of_large_components(spark):
+    """No component is too large: what 64-bit floats can't hold is computed in integers."""
+    draw = random.Random(8)
+    rows = [(i, [draw.choice([3e5, -2.5e5, 1.5, -0.25, 7e7, 2e9]) for _ in range(130)]) for i in range(0, 250, 5)]
+    rows += [(300, [3e5] + [0.5] * 129), (301, [1e300] + [1.0] * 129), (302, [1e306] * 130), (400, [-1e200] * 130)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if all(math.isfinite(1024 * x) for x in v)}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        scores = ((max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], whole[c])))), c) for c in whole if c != q)
+        want += [(q, rank, c, s) for rank, (s, c) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:10], 1)]
+    assert sorted(got) == sorted(want)

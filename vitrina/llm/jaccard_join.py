@@ -167,21 +167,23 @@ class Scheme:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    return docs.select(node.alias("node"), text_bytes().alias("text"))
+    """``node, text, doc_id``: rows of an id are one node, rows without id one per text, in a far corner of the numbers."""
+    doc_id = F.col("doc_id").cast("long")
+    node = F.coalesce(doc_id, F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    return docs.select(node.alias("node"), text_bytes().alias("text"), doc_id.alias("doc_id"))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``node, n_shingles, key``: size and 128-bit hash of each row's set."""
-    out = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
+    """``node, doc_id, n_shingles, key``: size and 128-bit hash of each row's set."""
+    out = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary())], schema=out)
+                batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary())], schema=out)
 
-    return texts.mapInArrow(run, "node long, n_shingles long, key binary")
+    return texts.mapInArrow(run, "node long, doc_id long, n_shingles long, key binary")
 
 
 def _lists(texts: DataFrame, words: int, scheme: Scheme, slots: int) -> DataFrame:
@@ -411,14 +413,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
 def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = _texts(docs)
     every = cut_lineage(shingle_sets(texts, words))
-    classes = cut_lineage(every.filter("n_shingles > 0").groupBy("key").agg(F.min("node").alias("node"), F.max("n_shingles").alias("n")))
+    classes = cut_lineage(every.filter("n_shingles > 0").groupBy("key").agg(
+        F.min("node").alias("node"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")))
     largest = 24
     histogram = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= 2 * largest).groupBy("n").count().collect()}
     scheme = Scheme.by_cost(percent, histogram, largest)
     volume = classes.agg(F.coalesce(F.sum(F.col("n") * 0.4 + 10), F.lit(0.0))).first()[0]
     # Copies are spared: only the texts of each class's smallest node, and of few others, have keys.
     copies = cut_lineage(every.select("node").join(classes.select("node"), "node", "left_anti").distinct())
-    single = without(texts, "node", copies)
+    single = without(texts.select("node", "text"), "node", copies)
     lists = cut_lineage(_lists(single, words, scheme, max(64, int(volume / 4e5))))
     stars = cut_lineage(_stars(lists))
     sets = _candidate_sets(single, stars, words)
@@ -429,9 +432,9 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     linked = (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("hub_size") + F.col("size") - F.col("common")))
     compared = cut_lineage(_compare(stars, sets).withColumn("linked", linked))
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(compared, sets, percent))
-    groups = components(links)
-    of_class = classes.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    known = F.when(F.col("component_id") < _NO_ID, F.col("component_id"))
-    own = F.when(F.col("node") < _NO_ID, F.col("node"))
+    # A group's name is its smallest id; nodes of rows without id have none.
+    grouped = classes.join(components(links), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
+    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = grouped.select("key", "component").join(names, "component").select("key", "component_id")
     return every.join(of_class, "key", "left").select(
-        own.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, known).otherwise(own).alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
