@@ -32,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import cut_lineage, slices, small_batches, text_bytes, without
@@ -42,7 +42,9 @@ _NO_ID = 1 << 62
 _REMEMBERED = 150_000
 _BAND = 1.35
 _BITS = 1 << 26
-_TILE_ASKING, _TILE_ALL = 256, 1024
+#: Most sets of a tile's two sides, and most elements in them.
+_TILE_ASKING, _TILE_ALL = 512, 4096
+_ASKING_ELEMENTS, _ALL_ELEMENTS = 150_000, 600_000
 _U = np.uint64
 #: An odd factor per place of a word in a shingle.
 _FACTORS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, _U))
@@ -364,14 +366,19 @@ def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Nodes that aren't linked with the hub ask.  By the triangle inequality of the Jaccard distance
     only nodes about as far from the hub can answer, so asking nodes meet those of their own
-    ring around the hub and of the rings beside it.  Tiles are blocks of asking nodes against blocks of others.
+    ring around the hub and of the rings beside it.  Tiles are blocks of asking nodes against blocks of others,
+    bounded in sets and in elements, so that few large or many small sets fill one alike.
     """
     reach = 1 - percent / 100 + 1e-9
     far = compared.withColumn("far", 1 - F.col("common") / (F.col("hub_size") + F.col("size") - F.col("common"))).select(
-        "hub", "node", "linked", F.floor(F.col("far") / reach).cast("int").alias("ring"))
+        "hub", "node", "size", "linked", F.floor(F.col("far") / reach).cast("int").alias("ring"))
     near = far.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
-    asked = far.filter("not linked").groupBy("hub", "ring").agg(F.ceil(F.count("*") / _TILE_ASKING).alias("asking"))
-    counts = near.groupBy("hub", "ring").agg(F.ceil(F.count("*") / _TILE_ALL).alias("all"), F.count("*").alias("n")).join(
+
+    def blocks(sets: int, elements: int) -> Column:
+        return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / elements))
+
+    asked = far.filter("not linked").groupBy("hub", "ring").agg(blocks(_TILE_ASKING, _ASKING_ELEMENTS).alias("asking"))
+    counts = near.groupBy("hub", "ring").agg(blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all"), F.count("*").alias("n")).join(
         asked, ["hub", "ring"]).filter("n > 1")
     place = F.xxhash64("node")
     asking = far.filter("not linked").join(counts, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
