@@ -289,24 +289,26 @@ def _candidate_sets(texts: DataFrame, stars: DataFrame, words: int) -> DataFrame
 
 
 def _compare(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """``hub, node, hub_size, size, common`` of every star edge.
+    """``hub, node, hub_size, size, common, apart`` of every star edge; ``apart``: the elements in one of both sets only.
 
     Merge joins at every size: a set travels twice, once to its hubs.
     """
-    out = pa.schema([(c, pa.int64()) for c in ("hub", "node", "hub_size", "size", "common")])
+    out = pa.schema([*((c, pa.int64()) for c in ("hub", "node", "hub_size", "size", "common")), ("apart", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 25):
             hubs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             a, b = ([unpacked_set(x) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            common = [int(np.isin(x, y, assume_unique=True).sum()) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (hubs, nodes, list(map(len, a)), list(map(len, b)), common)], schema=out)
+            apart = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(a, b, strict=True)]
+            common = [(len(x) + len(y) - len(d)) // 2 for x, y, d in zip(a, b, apart, strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                *(pa.array(x, pa.int64()) for x in (hubs, nodes, list(map(len, a)), list(map(len, b)), common)),
+                pa.array(map(packed_set, apart), pa.binary())], schema=out)
 
     of_hub = sets.filter("maybe_hub").select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
     members = stars.hint("merge").join(sets.select("node", "hashes"), "node")
     return of_hub.hint("merge").join(members, "hub").select("hub", "node", "hub_hashes", "hashes").mapInArrow(
-        run, "hub long, node long, hub_size long, size long, common long")
+        run, "hub long, node long, hub_size long, size long, common long, apart binary")
 
 
 def _spanning(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
@@ -330,65 +332,72 @@ def _spanning(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[
 
 
 def _tile(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the asking and the other nodes of a tile: their sets as a matrix of the shared elements."""
+    """Links between the asking and the other nodes of a tile.
+
+    A node comes with what sets it apart from the hub; what sets two nodes apart is what is in one of
+    these but not in both, counted as a product of matrices over the elements that both sides hold.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     asks = table["asks"].to_numpy()
-    nodes, sets = table["node"].to_numpy(), [unpacked_set(x) for x in table["hashes"].to_pylist()]
+    nodes, size, sets = table["node"].to_numpy(), table["size"].to_numpy(), [unpacked_set(x) for x in table["apart"].to_pylist()]
     sides = [np.flatnonzero(asks), np.flatnonzero(~asks)]
     if not len(sides[0]) or not len(sides[1]):
         return schema.empty_table()
     elements = [np.concatenate([sets[i] for i in side]) for side in sides]
     columns = np.intersect1d(*elements)
-    sizes = [np.array([len(sets[i]) for i in side]) for side in sides]
+    apart = [np.array([len(sets[i]) for i in side]) for side in sides]
     entries = []
-    for side, found, n in zip(sides, elements, sizes, strict=True):
+    for side, found, n in zip(sides, elements, apart, strict=True):
         at = np.searchsorted(columns, found)
         own = columns[np.minimum(at, max(0, len(columns) - 1))] == found if len(columns) else np.zeros(len(found), bool)
         entries.append((np.repeat(np.arange(len(side)), n)[own], at[own]))
-    common, width = np.zeros((len(sides[0]), len(sides[1])), np.float32), 2048
+    both, width = np.zeros((len(sides[0]), len(sides[1])), np.float32), 2048
     for start in range(0, len(columns), width):
         blocks = []
         for side, (row, at) in zip(sides, entries, strict=True):
             block, own = np.zeros((len(side), width), np.float32), (at >= start) & (at < start + width)
             block[row[own], at[own] - start] = 1
             blocks.append(block)
-        common += blocks[0] @ blocks[1].T
-    common = np.rint(common).astype(np.int64)
-    linked = (common > 0) & (100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common))
+        both += blocks[0] @ blocks[1].T
+    total = size[sides[0]][:, None] + size[sides[1]][None, :]
+    common = (total - (apart[0][:, None] + apart[1][None, :] - 2 * np.rint(both).astype(np.int64))) // 2
+    linked = (common > 0) & (100 * common >= percent * (total - common))
     names, at = np.unique(nodes, return_inverse=True)
     i, j = np.nonzero(linked)
     found = _spanning([(at[sides[0][i]], at[sides[1][j]])], len(names))
     return pa.table([pa.array([int(names[x]) for x, _ in found], pa.int64()), pa.array([int(names[y]) for _, y in found], pa.int64())], schema=schema)
 
 
-def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(compared: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links inside the stars that don't touch the hub.
 
     Nodes that aren't linked with the hub ask.  By the triangle inequality of the Jaccard distance
     only nodes about as far from the hub can answer, so asking nodes meet those of their own
     ring around the hub and of the rings beside it.  Tiles are blocks of asking nodes against blocks of others,
-    bounded in sets and in elements, so that few large or many small sets fill one alike.
+    bounded in sets and in elements, so that few large or many small sets fill one alike.  Only what sets a node apart
+    from the hub travels: little for nodes that are like it.
     """
     reach = 1 - percent / 100 + 1e-9
-    far = compared.withColumn("far", 1 - F.col("common") / (F.col("hub_size") + F.col("size") - F.col("common"))).select(
-        "hub", "node", "size", "linked", F.floor(F.col("far") / reach).cast("int").alias("ring"))
+    union = F.col("hub_size") + F.col("size") - F.col("common")
+    far = compared.withColumn("ring", F.floor((1 - F.col("common") / union) / reach).cast("int")).withColumn(
+        "elements", F.length("apart") / 6).select("hub", "node", "size", "linked", "ring", "apart", "elements")
     near = far.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
 
     def blocks(sets: int, elements: int) -> Column:
-        return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / elements))
+        return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("elements") / elements))
 
     asked = far.filter("not linked").groupBy("hub", "ring").agg(blocks(_TILE_ASKING, _ASKING_ELEMENTS).alias("asking"))
-    counts = near.groupBy("hub", "ring").agg(blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all"), F.count("*").alias("n")).join(
-        asked, ["hub", "ring"]).filter("n > 1")
+    counts = cut_lineage(near.groupBy("hub", "ring").agg(blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all"), F.count("*").alias("n")).join(
+        asked, ["hub", "ring"]).filter("n > 1"))
     place = F.xxhash64("node")
     asking = far.filter("not linked").join(counts, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
     others = near.join(counts, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
     tile = ["hub", "ring", "i", "j"]
-    placed = asking.select(*tile, "node", F.lit(True).alias("asks")).unionByName(others.select(*tile, "node", F.lit(False).alias("asks")))
-    return placed.hint("merge").join(sets.select("node", "hashes"), "node").groupBy(*tile).applyInArrow(
-        lambda t: _tile(t, percent), "a long, b long")
+    own = [*tile, "node", "size", "apart"]
+    placed = asking.select(*own, F.lit(True).alias("asks")).unionByName(others.select(*own, F.lit(False).alias("asks")))
+    return placed.groupBy(*tile).applyInArrow(lambda t: _tile(t, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -438,7 +447,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = cut_lineage(sets)
     linked = (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("hub_size") + F.col("size") - F.col("common")))
     compared = cut_lineage(_compare(stars, sets).withColumn("linked", linked))
-    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(compared, sets, percent))
+    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(compared, percent))
     # A group's name is its smallest id; nodes of rows without id have none.
     grouped = classes.join(components(links), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
