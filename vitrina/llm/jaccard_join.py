@@ -240,13 +240,17 @@ def _lists(texts: DataFrame, words: int, scheme: Scheme, slots: int) -> DataFram
 
 
 def _stars(lists: DataFrame) -> DataFrame:
-    """``hub, node``: each list's members with its hub, the member that shares most lists with most others."""
+    """``hub, node, meets``: each list's members with its hub, the member that shares most lists with most others.
+
+    ``meets``: whether a list holds a third member, so that the node may have links beside that with the hub.
+    """
     sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
-    company = lists.join(sizes, "list").groupBy("node").agg(F.sum(F.col("n") - 1).alias("company"))
-    ranked = cut_lineage(lists.join(company, "node"))
+    sized = lists.join(sizes, "list")
+    company = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("company"))
+    ranked = cut_lineage(sized.join(company, "node"))
     hubs = ranked.groupBy("list").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("best")).select(
         "list", (-F.col("best.minus")).alias("hub"))
-    return ranked.join(hubs, "list").filter("node <> hub").select("hub", "node").distinct()
+    return ranked.join(hubs, "list").filter("node <> hub").groupBy("hub", "node").agg(F.max(F.col("n") > 2).alias("meets"))
 
 
 def _bit_map(nodes: DataFrame) -> np.ndarray:
@@ -304,7 +308,7 @@ def _compare(stars: DataFrame, sets: DataFrame) -> DataFrame:
                 [pa.array(x, pa.int64()) for x in (hubs, nodes, list(map(len, a)), list(map(len, b)), common)], schema=out)
 
     of_hub = sets.filter("maybe_hub").select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
-    members = stars.hint("merge").join(sets.select("node", "hashes"), "node")
+    members = stars.select("hub", "node").hint("merge").join(sets.select("node", "hashes"), "node")
     return of_hub.hint("merge").join(members, "hub").select("hub", "node", "hub_hashes", "hashes").mapInArrow(
         run, "hub long, node long, hub_size long, size long, common long")
 
@@ -362,7 +366,7 @@ def _tile(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links inside the stars that don't touch the hub.
+    """``a, b``: links inside the stars that don't touch the hub; ``compared`` holds the edges whose nodes meet others there.
 
     Nodes that aren't linked with the hub ask.  By the triangle inequality of the Jaccard distance
     only nodes about as far from the hub can answer, so asking nodes meet those of their own
@@ -438,7 +442,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = cut_lineage(sets)
     linked = (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("hub_size") + F.col("size") - F.col("common")))
     compared = cut_lineage(_compare(stars, sets).withColumn("linked", linked))
-    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(compared, sets, percent))
+    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
+        _rest(compared.join(stars.filter("meets"), ["hub", "node"], "left_semi"), sets, percent))
     # A group's name is its smallest id; nodes of rows without id have none.
     grouped = classes.join(components(links), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
