@@ -104,3 +104,5 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[p
         rows = max(1, int(batch.num_rows * min(1.0, size / max(1, batch.nbytes))))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        batch = None
+    pa.default_memory_pool().release_unused()

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vitrina.llm.common import cut_lineage, fresh, slices, text_bytes
+from vitrina.llm.common import cut_lineage, fresh, slices, small_batches, text_bytes
 
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’‘¡¿…"
 _HELD = 200_000
@@ -265,8 +265,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column | None = N
 
 def clean_documents(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings(),
                     threshold: float = 0.3) -> DataFrame:
-    """The documents that aren't predicted toxic, with their columns; no join, no shuffle of texts."""
+    """The documents that aren't predicted toxic, with their columns; no join, no shuffle of texts.
+
+    They are written once, a small batch of whole rows at a time.
+    """
     fitted = fit(docs, labels, None, settings)
     names = tuple(fresh(docs, f"toxicity_{c}") for c in ("tokens", "best"))
     score, _ = fitted.score(F.col(names[0]), F.col(names[1]))
-    return segments(docs, fitted.tokens, names).filter(score < threshold).select(*docs.columns)
+    with small_batches(docs.sparkSession):
+        return cut_lineage(segments(docs, fitted.tokens, names).filter(score < threshold).select(*docs.columns))
