@@ -14,8 +14,12 @@ cross product.  Three measures keep that join bounded when the data is skewed:
   number does not grow with the data, and expanded to members only as far as the
   result needs.  This is exact: for such pairs the group score is the true score,
   and for all others it is a lower bound that the indexed pair replaces.
-* **Prefix, length and position filters** where the threshold is high
-  (self-similarity): only the rarest ``n - ceil(t*n) + 1`` tokens are indexed.
+* **Prefix, length and position filters** on both sides: tokens have one order, busy
+  ones last, and only the first ``n - ceil(t*n) + 1`` of a set are indexed, since a pair
+  that reaches ``t`` shares its first common token there.  A match carries its places in
+  both sets; what can be shared before and after them bounds the pair before it is
+  shuffled.  Pairs whose unindexed rest could still share something are verified on
+  the sets themselves; all others are counted exactly by the index.
 
 Conventions.  Query rows: ``qid`` (unique), ``tokens`` (distinct), ``guards``.
 Entry rows: ``pref`` (unique, orderable; the greater wins a tie), ``tokens``,
@@ -37,6 +41,9 @@ from vitrina.session import cut_lineage
 #: per set size and guard value, whatever the size of the tables.
 HOT_TOKENS = 8
 
+#: Tokens that the order of the index puts last, busiest at the very end; all others count as equally rare.
+RANKED_TOKENS = 48
+
 #: Slack for comparing a computed ratio with a threshold.
 EPS = 1e-9
 
@@ -57,8 +64,8 @@ def token_frequency(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def hot_tokens(queries: DataFrame, entries: DataFrame, limit: int = HOT_TOKENS) -> list[str]:
-    """The tokens producing most pairs, at most ``limit``; they become a literal of the plan."""
+def busy_tokens(queries: DataFrame, entries: DataFrame, limit: int) -> list[str]:
+    """The tokens producing most pairs, busiest first, at most ``limit``; they become literals of the plan."""
     top = (
         token_frequency(queries).withColumnRenamed("df", "dq")
         .join(token_frequency(entries).withColumnRenamed("df", "de"), "token")
@@ -66,24 +73,23 @@ def hot_tokens(queries: DataFrame, entries: DataFrame, limit: int = HOT_TOKENS)
         .orderBy(F.desc("pairs"), "token")
         .limit(limit)
     )
-    return sorted(r["token"] for r in top.collect())
+    return [r["token"] for r in top.collect()]
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast(_LONG0), i)
 
 
-def _masked(sets: DataFrame, hot: list[str]) -> DataFrame:
-    """Replace ``tokens`` by ``n``, ``mask`` (bit i = i-th hot token) and ``rare``."""
+def _masked(sets: DataFrame, hot: list[str], ranked: list[str]) -> DataFrame:
+    """Replace ``tokens`` by ``n``, ``mask`` (bit i = i-th hot token) and ``rare``, the other tokens in the order of the index."""
     mask = F.lit(0).cast(_LONG0)
     for i, token in enumerate(hot):
         mask = mask + F.when(F.array_contains("tokens", token), F.lit(1 << i)).otherwise(F.lit(0)).cast(_LONG0)
-    return (
-        sets.withColumn("n", F.size("tokens"))
-        .withColumn("mask", mask)
-        .withColumn("rare", F.array_except("tokens", T.str_array(hot)))
-        .drop("tokens")
-    )
+    last = T.str_array(ranked)
+    rare = F.concat(
+        F.array_sort(F.array_except("tokens", T.str_array([*hot, *ranked]))),
+        F.filter(last, lambda t: F.array_contains("tokens", t))) if ranked else F.array_sort(F.array_except("tokens", T.str_array(hot)))
+    return sets.withColumn("n", F.size("tokens")).withColumn("mask", mask).withColumn("rare", rare).drop("tokens")
 
 
 class _Index:
@@ -91,9 +97,10 @@ class _Index:
 
     def __init__(self, queries: DataFrame, entries: DataFrame, accept: float,
                  guard: PairRule | None, factor: PairRule | None):
-        hot = hot_tokens(queries, entries)
-        self.q = _masked(queries.select("qid", "tokens", "guards"), hot)
-        self.e = _masked(entries.select("pref", "tokens", "guards"), hot)
+        busy = busy_tokens(queries, entries, HOT_TOKENS + RANKED_TOKENS)
+        hot, ranked = sorted(busy[:HOT_TOKENS]), busy[HOT_TOKENS:][::-1]
+        self.q = _masked(queries.select("qid", "tokens", "guards"), hot, ranked)
+        self.e = _masked(entries.select("pref", "tokens", "guards"), hot, ranked)
         self.accept, self.guard, self.factor = accept, guard, factor
 
     def _allowed(self) -> Column:
@@ -107,17 +114,45 @@ class _Index:
     def _common_hot(self) -> Column:
         return F.bit_count(F.col("mq").bitwiseAND(F.col("me")))
 
+    def _postings(self, side: DataFrame, key: str, s: str) -> DataFrame:
+        """The indexed tokens of a side with their place; ``r``: how many tokens of the set the index could hold, ``i``: how many it does."""
+        r = F.size("rare")
+        prefix = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(self.accept) - EPS)) + 1
+        held = F.least(r, prefix).cast("int")
+        return side.select(
+            key, F.col("n").alias(f"n{s}"), F.col("mask").alias(f"m{s}"), F.col("guards").alias(f"{s}g"), r.alias(f"r{s}"), held.alias(f"i{s}"),
+            F.posexplode(F.slice("rare", F.lit(1), held)).alias(f"p{s}", "token"))
+
+    def candidate_pairs(self) -> DataFrame:
+        """Pairs that share an indexed token and may reach ``accept``: ``shared`` tokens counted so far, ``rest`` that may follow.
+
+        A factor is at most 1, so no pair whose plain similarity is below ``accept`` gets there.
+        """
+        needed = (F.col("nq") + F.col("ne")) * F.lit(self.accept / (1 + self.accept)) - EPS
+        before = F.least("pq", "pe") + 1
+        after = F.least(F.col("rq") - F.col("pq"), F.col("re") - F.col("pe")) - 1
+        rest = F.least(F.col("rq") - F.col("lq"), F.col("re") - F.col("le")) - 1
+        return (
+            self._postings(self.q, "qid", "q").join(self._postings(self.e, "pref", "e"), "token")
+            .where(self._allowed() & (before + after + self._common_hot() >= needed))
+            .groupBy("qid", "pref", "nq", "ne", "mq", "me", "qg", "eg", "rq", "re", "iq", "ie")
+            .agg(F.count(F.lit(1)).alias("shared"), F.max("pq").alias("lq"), F.max("pe").alias("le"))
+            .withColumn("rest", F.when((F.col("iq") == F.col("rq")) & (F.col("ie") == F.col("re")), 0).otherwise(rest))
+            .where(F.col("shared") + F.col("rest") + self._common_hot() >= needed)
+        )
+
     def indexed_pairs(self) -> DataFrame:
         """``qid, pref, score`` of all pairs sharing a token outside the hot list."""
-        qi = self.q.select("qid", F.col("n").alias("nq"), F.col("mask").alias("mq"), F.col("guards").alias("qg"),
-                           F.explode("rare").alias("token"))
-        ei = self.e.select("pref", F.col("n").alias("ne"), F.col("mask").alias("me"), F.col("guards").alias("eg"),
-                           F.explode("rare").alias("token"))
+        pairs = self.candidate_pairs().select("qid", "pref", "nq", "ne", "mq", "me", "qg", "eg", "shared", "rest")
+        counted = pairs.where("rest = 0").drop("rest")
+        verified = (
+            pairs.where("rest > 0").drop("shared", "rest")
+            .join(self.q.select("qid", F.col("rare").alias("tq")), "qid")
+            .join(self.e.select("pref", F.col("rare").alias("te")), "pref")
+            .withColumn("shared", F.size(F.array_intersect("tq", "te")).cast(_LONG0))
+        )
         return (
-            qi.join(ei, "token")
-            .where(self._allowed())
-            .groupBy("qid", "pref", "nq", "ne", "mq", "me", "qg", "eg")
-            .agg(F.count(F.lit(1)).alias("shared"))
+            counted.unionByName(verified.select(*counted.columns))
             .select("qid", "pref", self._score(F.col("shared") + self._common_hot()).alias("score"))
             .where(F.col("score") >= self.accept - EPS)
         )
