@@ -45,6 +45,26 @@ def _guard(a, b):
     return (a == 0) | (b != 1)
 
 
+@pytest.mark.parametrize("accept", [0.12, 0.45, 0.75])
+def test_filters_lose_no_pair(spark, accept):
+    """Long sets of a long-tailed vocabulary, so that most tokens are ranked or beyond the prefix."""
+    rng = random.Random(accept)
+
+    def sets(n):
+        return sorted({frozenset(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randint(1, 40))) for _ in range(n)}, key=sorted)
+
+    e = sets(250)
+    q = sorted({frozenset(list(x)[: max(1, len(x) - rng.randint(0, 6))]) | {f"w{rng.randint(0, 399)}"} for x in e} | set(sets(60)), key=sorted)
+    dq = spark.createDataFrame([(i, sorted(s), 0) for i, s in enumerate(q)], "qid bigint, tokens array<string>, guards int")
+    de = spark.createDataFrame([(-i, sorted(s), 0) for i, s in enumerate(e)], "pref bigint, tokens array<string>, guards int")
+    want = {(i, -j, round(_jaccard(a, b), 9)) for i, a in enumerate(q) for j, b in enumerate(e) if _jaccard(a, b) >= accept - 1e-9}
+    got = simjoin.top_matches(dq, de, accept, 1000)
+    assert {(r["qid"], r["pref"], round(r["score"], 9)) for r in got.collect()} == want
+    ix = simjoin._Index(dq, de, accept, None, None)
+    # At low thresholds the tokens beyond the prefix are the hot ones; above, pairs are verified.
+    assert accept < 0.4 or ix.candidate_pairs().where("rest > 0").count() > 0
+
+
 @pytest.mark.parametrize("accept", [0.10, 0.34])
 @pytest.mark.parametrize("guarded", [False, True])
 def test_best_matches_equal_brute_force(skewed, accept, guarded):

@@ -225,3 +225,26 @@ def raw_catalog(t: Tables) -> DataFrame:
 
 
 SPANISH = f"{_case(ADJECTIVE, ADJ_ES)} || ' ' || {_case('p_type', TYPE_ES)} || ' ' || {_case(NOUN, NOUN_ES)}"
+
+
+# A catalogue that grows with part: one entry per part, with words of falling frequency (few parts share
+# the later ones).  Store titles name the same part with one such word misread for two parts in three.
+_TAIL = ("'m' || cast({k} * 7919 % 1009 % (1 + {k} % 97) as string)", "'n' || cast({k} % 4999 as string)", "'c' || cast({k} * 31 % 257 as string)")
+_GROWN = {
+    "handle": "'g-' || cast(p_partkey as string)", "ord": "p_partkey",
+    "name": "p_name || ' ' || lower(p_type) || ' ' || " + " || ' ' || ".join(w.format(k="p_partkey") for w in _TAIL),
+}
+_SOLD = {
+    "product_id": "p_partkey",
+    "title": "lower(p_type) || ' ' || p_name || ' ' || " + " || ' ' || ".join(
+        w.format(k=k) for w, k in zip(_TAIL, ("p_partkey", "(p_partkey + p_partkey % 3)", "p_partkey"), strict=True)),
+}
+GROWN = f"sold AS (SELECT {_sql(_select(_SOLD))} FROM part), grown AS (SELECT {_sql(_select(_GROWN))} FROM part)"
+
+
+def sold_products(t: Tables) -> DataFrame:
+    return _view(t.part, _SOLD)
+
+
+def grown_catalog(t: Tables) -> DataFrame:
+    return _view(t.part, _GROWN)

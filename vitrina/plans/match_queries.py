@@ -318,3 +318,29 @@ def _(t):
     rows = t.documents.select("doc_id", T.tokenize(F.col("text"), lx.STOP_GENERIC).alias("tokens"))
     m = matching.similar_pairs_of_sets(simjoin.distinct_sets(rows, "doc_id"), 0.80)
     return m.withColumn("score", F.round("score", 6))
+
+
+# --- a catalogue that grows with the tables: every pair that shares a word is counted ----------------------
+
+_GROWN_PAIRS = f"""WITH {B.GROWN},
+    q AS MATERIALIZED (SELECT product_id, a, len(a) AS na FROM (SELECT product_id, {S.toks(S.norm('title'), lx.STOP_ACANA)} AS a FROM sold) x),
+    e AS MATERIALIZED (SELECT handle, ord, b, len(b) AS nb FROM (SELECT handle, ord, {S.toks(S.norm('name'), lx.STOP_ACANA)} AS b FROM grown) y),
+    qw AS (SELECT product_id, na, unnest(a) AS w FROM q), ew AS (SELECT handle, ord, nb, unnest(b) AS w FROM e),
+    pr AS (SELECT product_id, handle, ord, count(*)::DOUBLE / (na + nb - count(*)) AS score FROM qw JOIN ew USING (w)
+      GROUP BY product_id, handle, ord, na, nb)"""
+
+
+@query("j01_growing_catalogue", f"{_GROWN_PAIRS} {best('SELECT * FROM pr', 0.20)}")
+def _(t):
+    m = matching.match_best(B.sold_products(t), B.grown_catalog(t), PR["acana"], ("name",))
+    return m.select("product_id", "handle", F.round("score", 6).alias("score"))
+
+
+@query(
+    "j11_growing_catalogue",
+    f"{_GROWN_PAIRS} SELECT product_id, handle, round(score, 6)::DOUBLE AS score, rn::INTEGER AS rank FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, ord) AS rn FROM pr WHERE score >= 0.4 - 1e-9) z WHERE rn <= 3",
+)
+def _(t):
+    m = matching.Resolution(B.sold_products(t), B.grown_catalog(t), PR["acana"], ("name",)).top(3, accept=0.4)
+    return m.select("product_id", "handle", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
