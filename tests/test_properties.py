@@ -65,10 +65,12 @@ def test_filters_lose_no_pair(spark, accept):
     assert accept < 0.4 or ix.candidate_pairs().where("rest > 0").count() > 0
 
 
-@pytest.mark.parametrize("accept", [0.10, 0.34])
-@pytest.mark.parametrize("guarded", [False, True])
-def test_best_matches_equal_brute_force(skewed, accept, guarded):
+@pytest.mark.parametrize("accept,guarded,pairs", [(0.10, False, None), (0.10, True, 0), (0.34, False, 0), (0.34, True, None)])
+def test_best_matches_equal_brute_force(skewed, accept, guarded, pairs, monkeypatch):
+    """In one step, and with ``pairs`` of 0 step by step."""
     q, e, dq, de = skewed
+    if pairs is not None:
+        monkeypatch.setattr(simjoin, "LADDER_PAIRS", pairs)
     want = {}
     for i, a in enumerate(q):
         pairs = [(_jaccard(a, b), -j) for j, b in enumerate(e) if not guarded or _guard_py(i, j)]

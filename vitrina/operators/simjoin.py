@@ -29,6 +29,7 @@ Entry rows: ``pref`` (unique, orderable; the greater wins a tie), ``tokens``,
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ HOT_TOKENS = 8
 #: Tokens that the order of the index puts last, busiest at the very end; all others count as equally rare.
 RANKED_TOKENS = 48
 
+#: Scores asked for one after the other by :func:`best_matches` where the index gives at least so many pairs.
+LADDER, LADDER_PAIRS = (0.8, 0.6, 0.4), 5_000_000
+
 #: Slack for comparing a computed ratio with a threshold.
 EPS = 1e-9
 
@@ -64,8 +68,8 @@ def token_frequency(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def busy_tokens(queries: DataFrame, entries: DataFrame, limit: int) -> list[str]:
-    """The tokens producing most pairs, busiest first, at most ``limit``; they become literals of the plan."""
+def busy_tokens(queries: DataFrame, entries: DataFrame, limit: int) -> list[tuple[str, float]]:
+    """The tokens producing most pairs with their numbers, busiest first, at most ``limit``; they become literals of the plan."""
     top = (
         token_frequency(queries).withColumnRenamed("df", "dq")
         .join(token_frequency(entries).withColumnRenamed("df", "de"), "token")
@@ -73,7 +77,7 @@ def busy_tokens(queries: DataFrame, entries: DataFrame, limit: int) -> list[str]
         .orderBy(F.desc("pairs"), "token")
         .limit(limit)
     )
-    return [r["token"] for r in top.collect()]
+    return [(r["token"], r["pairs"]) for r in top.collect()]
 
 
 def _bit(i: Column) -> Column:
@@ -98,11 +102,19 @@ class _Index:
     def __init__(self, queries: DataFrame, entries: DataFrame, accept: float,
                  guard: PairRule | None, factor: PairRule | None):
         busy = busy_tokens(queries, entries, HOT_TOKENS + RANKED_TOKENS)
-        hot, ranked = sorted(busy[:HOT_TOKENS]), busy[HOT_TOKENS:][::-1]
+        hot, ranked = sorted(t for t, _ in busy[:HOT_TOKENS]), [t for t, _ in busy[HOT_TOKENS:]][::-1]
+        #: Pairs that the ranked tokens alone would give without filters.
+        self.volume = sum(n for _, n in busy[HOT_TOKENS:])
         self.q = _masked(queries.select("qid", "tokens", "guards"), hot, ranked)
         self.e = _masked(entries.select("pref", "tokens", "guards"), hot, ranked)
         self.accept, self.guard, self.factor = accept, guard, factor
 
+    def at(self, accept: float, queries: DataFrame | None = None) -> "_Index":
+        """The same index for another threshold, for some of the ``queries`` (masked rows) only."""
+        other = copy(self)
+        other.accept, other.q = accept, self.q if queries is None else queries
+        return other
+
     def _allowed(self) -> Column:
         ok = F.least("nq", "ne") >= F.greatest("nq", "ne") * F.lit(self.accept) - EPS
         return ok & self.guard(F.col("qg"), F.col("eg")) if self.guard else ok
@@ -199,8 +211,23 @@ class _Index:
 
 def best_matches(queries: DataFrame, entries: DataFrame, accept: float,
                  guard: PairRule | None = None, factor: PairRule | None = None) -> DataFrame:
-    """Best entry of each query: ``qid, pref, score`` with ``score >= accept``."""
-    return _best(_Index(queries, entries, accept, guard, factor))
+    """Best entry of each query: ``qid, pref, score`` with ``score >= accept``.
+
+    Where the index gives many pairs, it is asked for high scores first: their prefixes are short.  A
+    query whose best reaches a step of ``LADDER`` is settled, since whatever beats or equals it would
+    have been found there too; only the others go down to the next step.
+    """
+    ix = _Index(queries, entries, accept, guard, factor)
+    steps = [step for step in LADDER if step > accept] if ix.volume >= LADDER_PAIRS else []
+    if not steps:
+        return _best(ix)
+    ix.q, ix.e = cut_lineage(ix.q), cut_lineage(ix.e)
+    open_, settled = ix.q, None
+    for step in steps:
+        found = cut_lineage(_best(ix.at(step, open_)))
+        settled = found if settled is None else settled.unionByName(found)
+        open_ = cut_lineage(open_.join(found.select("qid"), "qid", "left_anti"))
+    return settled.unionByName(_best(ix.at(accept, open_)))
 
 
 def _best(ix: _Index) -> DataFrame:
