@@ -369,25 +369,24 @@ def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links inside the stars that don't touch the hub; ``compared`` holds the edges whose nodes meet others there.
 
     Nodes that aren't linked with the hub ask.  By the triangle inequality of the Jaccard distance
-    only nodes about as far from the hub can answer, so asking nodes meet those of their own
-    ring around the hub and of the rings beside it.  Tiles are blocks of asking nodes against blocks of others,
+    only nodes about as far from the hub can answer, so asking nodes visit their own ring
+    around the hub and the rings beside it, where the others stay.  Tiles are blocks of asking nodes against blocks of others,
     bounded in sets and in elements, so that few large or many small sets fill one alike.
     """
     reach = 1 - percent / 100 + 1e-9
     far = compared.withColumn("far", 1 - F.col("common") / (F.col("hub_size") + F.col("size") - F.col("common"))).select(
         "hub", "node", "size", "linked", F.floor(F.col("far") / reach).cast("int").alias("ring"))
-    near = far.withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    asks = far.filter("not linked").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
 
     def blocks(sets: int, elements: int) -> Column:
         return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / elements))
 
-    asked = far.filter("not linked").groupBy("hub", "ring").agg(blocks(_TILE_ASKING, _ASKING_ELEMENTS).alias("asking"))
-    counts = near.groupBy("hub", "ring").agg(blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all"), F.count("*").alias("n")).join(
-        asked, ["hub", "ring"]).filter("n > 1")
+    asked = asks.groupBy("hub", "ring").agg(blocks(_TILE_ASKING, _ASKING_ELEMENTS).alias("asking"))
+    counts = far.groupBy("hub", "ring").agg(blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all")).join(asked, ["hub", "ring"])
     place = F.xxhash64("node")
-    asking = far.filter("not linked").join(counts, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
+    asking = asks.join(counts, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
-    others = near.join(counts, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
+    others = far.join(counts, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
     tile = ["hub", "ring", "i", "j"]
     placed = asking.select(*tile, "node", F.lit(True).alias("asks")).unionByName(others.select(*tile, "node", F.lit(False).alias("asks")))
