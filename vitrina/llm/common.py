@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import vitrina
 from vitrina.session import checkpoint_dir, cut_lineage
 
-__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "read", "ship", "slices", "small_batches", "text_bytes", "without", "word_count"]
+__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "perhaps_within", "read", "ship", "slices", "small_batches", "text_bytes", "without", "word_count"]
 
 #: A word: a longest run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,27 +59,44 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """``rows`` without those whose ``column`` (a long) is in ``gone``, a table of one column.
+def _marked(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` beside a bit map of ``keys`` (a table of one column of longs), and whether the map holds ``column``.
 
-    A bit map of fixed size (2049 rows of 4 kB at most, hence broadcast) tells most rows that
-    they stay, so only the others, with their texts, are shuffled for the exact comparison.
+    The map has a fixed size (2049 rows of 4 kB at most), hence the broadcast.
     """
-    bits, bucket, key = fresh(rows, "gone_bits"), fresh(rows, "gone_bucket"), fresh(rows, "gone_key")
-    gone = gone.toDF(key)
+    bits, bucket, key = fresh(rows, "key_bits"), fresh(rows, "key_bucket"), fresh(rows, "key_value")
 
     def place(name: str) -> Column:
         return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(1 << 26))
 
-    maps = gone.select(place(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(
+    maps = keys.toDF(key).select(place(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
     at = F.bitmap_bit_position(place(column))
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     hit = F.coalesce(F.pmod(F.floor(byte / F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (at % 8 + 1).cast("int"))), F.lit(2)) == 1, F.lit(False))
-    marked = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(column)) == F.col(bucket), "left")
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(column)) == F.col(bucket), "left"), hit
+
+
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``column`` (a long) is in ``gone``, a table of one column.
+
+    A bit map tells most rows that they stay, so only the others, with their texts, are
+    shuffled for the exact comparison.
+    """
+    key = fresh(rows, "gone_key")
+    marked, hit = _marked(rows, column, gone)
     unsure = marked.filter(hit).select(*rows.columns)
     return marked.filter(~hit).select(*rows.columns).unionByName(
-        unsure.join(gone, F.col(column) == F.col(key), "left_anti"))
+        unsure.join(gone.toDF(key), F.col(column) == F.col(key), "left_anti"))
+
+
+def perhaps_within(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` (a long) is in ``keys``, a table of one column, and by chance a few others.
+
+    For what an exact join with ``keys`` reads afterwards: other rows needn't be shuffled for it.
+    """
+    marked, hit = _marked(rows, column, keys)
+    return marked.filter(hit).select(*rows.columns)
 
 
 @contextmanager

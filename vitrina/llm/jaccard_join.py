@@ -11,8 +11,10 @@ banded and a set enters the bands of all possible partners.  The boundary betwee
 and heavy is where the keys of all sets together are fewest.
 
 No pairs of a list are written out.  Every list has a hub, its member with most company.
-Hub and members are compared exactly; members that are similar to the hub belong together
-and need no comparison among themselves.  The others are compared with those of the star
+First every set is compared with one hub only, that with most company among its lists'.
+Lists whose members these links join into one group are done.  In the others, hub and
+members are compared exactly; members that are similar to the hub or already in its group
+need no comparison among themselves.  The others are compared with those of the star
 that are about as far from the hub: tiles of bounded size do that as matrix products and
 hand on only links that join something new.  Groups are found by
 spreading the smallest id along the links.
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import cut_lineage, slices, small_batches, text_bytes, without
+from vitrina.llm.common import cut_lineage, perhaps_within, slices, small_batches, text_bytes, without
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _NO_ID = 1 << 62
@@ -239,18 +241,46 @@ def _lists(texts: DataFrame, words: int, scheme: Scheme, slots: int) -> DataFram
         gather, "list long, node long")
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """``hub, node, meets``: each list's members with its hub, the member that shares most lists with most others.
+def _members(lists: DataFrame) -> DataFrame:
+    """``list, n, hub, company, node``: each list's members beside its hub, the member that shares most lists with most others.
 
-    ``meets``: whether a list holds a third member, so that the node may have links beside that with the hub.
+    ``n``: members of the list, the hub included; ``company``: that of the hub.
     """
     sizes = lists.groupBy("list").agg(F.count("*").alias("n"))
     sized = lists.join(sizes, "list")
     company = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("company"))
     ranked = cut_lineage(sized.join(company, "node"))
     hubs = ranked.groupBy("list").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("best")).select(
-        "list", (-F.col("best.minus")).alias("hub"))
-    return ranked.join(hubs, "list").filter("node <> hub").groupBy("hub", "node").agg(F.max(F.col("n") > 2).alias("meets"))
+        "list", (-F.col("best.minus")).alias("hub"), F.col("best.company").alias("company"))
+    return ranked.drop("company").join(hubs, "list").filter("node <> hub").select("list", "n", "hub", "company", "node")
+
+
+def _first_hubs(members: DataFrame) -> DataFrame:
+    """``hub, node``: of each node's hubs that with most company.  A hub has more than its node, so the edges make no circle."""
+    best = F.max(F.struct("company", (-F.col("hub")).alias("minus"))).alias("best")
+    return members.groupBy("node").agg(best).select((-F.col("best.minus")).alias("hub"), "node")
+
+
+def _open_stars(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``hub, node, meets, apart``: the stars of the lists that hold more than one of ``groups`` (``node, component``).
+
+    ``meets``: whether such a list holds a third member, so that the node may have links beside
+    that with the hub; ``apart``: whether the node's group isn't the hub's.
+    """
+    def group(name: str) -> DataFrame:
+        return groups.select(F.col("node").alias(name), F.col("component").alias(f"group_of_{name}"))
+
+    edges = members.select("hub", "node").distinct()
+    named = edges.join(group("node"), "node", "left").join(group("hub"), "hub", "left")
+    apart = cut_lineage(named.filter(
+        F.coalesce("group_of_node", "node") != F.coalesce("group_of_hub", "hub")).select("hub", "node"))
+    edge = F.xxhash64("hub", "node").alias("edge")
+    mixed = cut_lineage(perhaps_within(members.select("list", "hub", "node", edge), "edge", apart.select(edge)).join(
+        apart, ["hub", "node"], "left_semi").select("list").distinct())
+    stars = perhaps_within(members, "list", mixed).join(mixed, "list", "left_semi").groupBy("hub", "node").agg(
+        F.max(F.col("n") > 2).alias("meets"))
+    return stars.join(apart.withColumn("found", F.lit(True)), ["hub", "node"], "left").select(
+        "hub", "node", "meets", F.col("found").isNotNull().alias("apart"))
 
 
 def _bit_map(nodes: DataFrame) -> np.ndarray:
@@ -265,37 +295,35 @@ def _bit_map(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def _candidate_sets(texts: DataFrame, stars: DataFrame, words: int) -> DataFrame:
-    """``node, maybe_hub, hashes``: the sets of the nodes of stars, and of few others.
+def _candidate_sets(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``node, hashes``: the sets of the nodes and hubs of lists, and of few others.
 
-    The nodes, and the hubs, go to the tasks as bit maps of fixed size, so only their sets
-    are written; what a map lets through by chance is dropped by the joins that follow.
+    These go to the tasks as a bit map of fixed size, so only their sets
+    are written; what the map lets through by chance is dropped by the joins that follow.
     """
-    hubs = stars.select(F.col("hub").alias("node"))
-    shared = texts.sparkSession.sparkContext.broadcast((_bit_map(stars.select("node").unionByName(hubs)), _bit_map(hubs)))
-    out = pa.schema([("node", pa.int64()), ("maybe_hub", pa.bool_()), ("hashes", pa.binary())])
+    shared = texts.sparkSession.sparkContext.broadcast(
+        _bit_map(members.select("node").unionByName(members.select(F.col("hub").alias("node")))))
+    out = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, hub = shared.value
+        every = shared.value
         for batch in slices(batches):
             bucket, bit = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             at, mask = np.where(bucket > 0, (bucket - 1) * 4096, _BITS // 8) + bit // 8, np.uint8(1) << (bit % 8).astype(np.uint8)
-            own = (every[at] & mask) > 0
-            chosen = batch.filter(pa.array(own))
+            chosen = batch.filter(pa.array((every[at] & mask) > 0))
             yield pa.RecordBatch.from_arrays([
-                chosen.column(0), pa.array(((hub[at] & mask) > 0)[own]),
-                pa.array([packed_set(shingles(t, words)) for t in chosen.column(3).to_pylist()], pa.binary())], schema=out)
+                chosen.column(0), pa.array([packed_set(shingles(t, words)) for t in chosen.column(3).to_pylist()], pa.binary())], schema=out)
 
     place = F.pmod(F.xxhash64("node"), F.lit(_BITS))
     placed = texts.withColumn("place", place).select(
         "node", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"), "text")
-    return placed.mapInArrow(run, "node long, maybe_hub boolean, hashes binary")
+    return placed.mapInArrow(run, "node long, hashes binary")
 
 
 def _compare(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """``hub, node, hub_size, size, common`` of every star edge.
 
-    Merge joins at every size: a set travels twice, once to its hubs.
+    Merge joins at every size: a set travels twice, once to its hubs; sets outside the stars don't.
     """
     out = pa.schema([(c, pa.int64()) for c in ("hub", "node", "hub_size", "size", "common")])
 
@@ -307,8 +335,8 @@ def _compare(stars: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (hubs, nodes, list(map(len, a)), list(map(len, b)), common)], schema=out)
 
-    of_hub = sets.filter("maybe_hub").select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
-    members = stars.select("hub", "node").hint("merge").join(sets.select("node", "hashes"), "node")
+    of_hub = perhaps_within(sets, "node", stars.select("hub")).select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    members = stars.select("hub", "node").hint("merge").join(perhaps_within(sets, "node", stars.select("node")), "node")
     return of_hub.hint("merge").join(members, "hub").select("hub", "node", "hub_hashes", "hashes").mapInArrow(
         run, "hub long, node long, hub_size long, size long, common long")
 
@@ -368,15 +396,15 @@ def _tile(table: pa.Table, percent: int) -> pa.Table:
 def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links inside the stars that don't touch the hub; ``compared`` holds the edges whose nodes meet others there.
 
-    Nodes that aren't linked with the hub ask.  By the triangle inequality of the Jaccard distance
+    Nodes that are neither linked with the hub nor of its group ask.  By the triangle inequality of the Jaccard distance
     only nodes about as far from the hub can answer, so asking nodes visit their own ring
     around the hub and the rings beside it, where the others stay.  Tiles are blocks of asking nodes against blocks of others,
     bounded in sets and in elements, so that few large or many small sets fill one alike.
     """
     reach = 1 - percent / 100 + 1e-9
     far = compared.withColumn("far", 1 - F.col("common") / (F.col("hub_size") + F.col("size") - F.col("common"))).select(
-        "hub", "node", "size", "linked", F.floor(F.col("far") / reach).cast("int").alias("ring"))
-    asks = far.filter("not linked").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+        "hub", "node", "size", (~F.col("linked") & F.col("apart")).alias("asks"), F.floor(F.col("far") / reach).cast("int").alias("ring"))
+    asks = far.filter("asks").drop("asks").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
 
     def blocks(sets: int, elements: int) -> Column:
         return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / elements))
@@ -389,8 +417,9 @@ def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     others = far.join(counts, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
     tile = ["hub", "ring", "i", "j"]
-    placed = asking.select(*tile, "node", F.lit(True).alias("asks")).unionByName(others.select(*tile, "node", F.lit(False).alias("asks")))
-    return placed.hint("merge").join(sets.select("node", "hashes"), "node").groupBy(*tile).applyInArrow(
+    placed = cut_lineage(asking.select(*tile, "node", F.lit(True).alias("asks")).unionByName(
+        others.select(*tile, "node", F.lit(False).alias("asks"))))
+    return placed.hint("merge").join(perhaps_within(sets, "node", placed.select("node")), "node").groupBy(*tile).applyInArrow(
         lambda t: _tile(t, percent), "a long, b long")
 
 
@@ -433,16 +462,20 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     copies = cut_lineage(every.select("node").join(classes.select("node"), "node", "left_anti").distinct())
     single = without(texts.select("node", "text"), "node", copies)
     lists = cut_lineage(_lists(single, words, scheme, max(64, int(volume / 4e5))))
-    stars = cut_lineage(_stars(lists))
-    sets = _candidate_sets(single, stars, words)
+    members = cut_lineage(_members(lists))
+    sets = _candidate_sets(single, members, words)
     repeated = every.join(classes.select("node"), "node", "left_semi").groupBy("node").count().filter("count > 1")
     if repeated.limit(1).count():  # rows with the same id: their sets are wanted once
         sets = sets.distinct()
     sets = cut_lineage(sets)
     linked = (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("hub_size") + F.col("size") - F.col("common")))
-    compared = cut_lineage(_compare(stars, sets).withColumn("linked", linked))
+    first = cut_lineage(_compare(cut_lineage(_first_hubs(members)), sets).withColumn("linked", linked))
+    groups = components(first.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    stars = cut_lineage(_open_stars(members, groups))
+    later = _compare(cut_lineage(stars.join(first, ["hub", "node"], "left_anti")), sets).withColumn("linked", linked)
+    compared = first.unionByName(cut_lineage(later))
     links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
-        _rest(compared.join(stars.filter("meets"), ["hub", "node"], "left_semi"), sets, percent))
+        _rest(compared.join(stars.filter("meets").drop("meets"), ["hub", "node"]), sets, percent))
     # A group's name is its smallest id; nodes of rows without id have none.
     grouped = classes.join(components(links), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
