@@ -209,18 +209,36 @@ def test_history_does_not_depend_on_buckets(tables, bucket):
     assert {(r["product_id"], r["seq"]) for r in provenance.history_changes(w, bucket=bucket).collect()} == want
 
 
-def test_stream_equals_batch_over_several_batches(spark, tables, tmp_path):
-    source = str(tmp_path / "in")
-    # Files in sequence order, read one per micro-batch.
-    for i in range(3):
-        part = B.writes(tables).where(f"seq >= {i * 350} AND seq < {(i + 1) * 350}").coalesce(1)
-        part.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(B.writes(tables).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    incremental.drain(incremental.history_stream(stream), out, str(tmp_path / "state")).awaitTermination()
-    got = {(r["product_id"], r["seq"]) for r in spark.read.parquet(out).collect()}
+def _streamed_log(spark, folder, parts, lateness=None):
+    """The log of a stream whose micro-batches are ``parts``, each a list of (product_id, seq, url)."""
+    schema = "product_id bigint, seq bigint, url string"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    out = str(folder / "out")
+    incremental.drain(incremental.history_log(stream, lateness), out, str(folder / "state")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@pytest.mark.parametrize("order,lateness", [("sorted", None), ("shuffled", None), ("reversed", None), ("shuffled", 10**9), ("sorted", 0)])
+def test_stream_equals_batch_in_any_order(spark, tables, tmp_path, order, lateness):
     w = B.writes(tables).where("seq < 1050")
-    assert got == {(r["product_id"], r["seq"]) for r in provenance.history_changes(w).collect()}
+    rows = [(r["product_id"], r["seq"], r["url"]) for r in w.orderBy("seq").collect()]
+    if order == "shuffled":
+        random.Random(5).shuffle(rows)
+    elif order == "reversed":
+        rows.reverse()
+    log = _streamed_log(spark, tmp_path, [rows[i::4] if order == "shuffled" else rows[i * 263:(i + 1) * 263] for i in range(4)], lateness)
+    got = incremental.history_of_log(log).collect()
+    assert {(r["product_id"], r["seq"], r["url"]) for r in got} == {
+        (r["product_id"], r["seq"], r["url"]) for r in provenance.history_changes(w).collect()}
+    assert order != "reversed" or not log.where("change < 0").isEmpty()
+
+
+def test_rows_beyond_the_lateness_are_logged(spark, tmp_path):
+    parts = [[(1, 10, "a"), (1, 20, "b"), (2, 5, None)], [(1, 12, "c"), (1, 20, "b"), (1, 30, "b")], [(1, 28, "a"), (1, 3, "z")]]
+    log = {tuple(r) for r in _streamed_log(spark, tmp_path, parts, 9).collect()}
+    assert log == {(1, 10, "a", 1), (1, 20, "b", 1), (1, 12, "c", 1), (1, 28, "a", 1), (1, 30, "b", 1), (1, 3, "z", 0)}
 
 
 def test_registry_stream_respects_earlier_runs(spark, tmp_path):

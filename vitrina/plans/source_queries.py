@@ -415,5 +415,5 @@ def _(t):
 def _(t):
     out, state = scratch(t, "history"), scratch(t, "state")
     stream = B._view(t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parq*"), B.WRITE_COLUMNS)
-    incremental.drain(incremental.history_stream(stream), out, state).awaitTermination()
-    return t.spark.read.parquet(out)
+    incremental.drain(incremental.history_log(stream), out, state).awaitTermination()
+    return incremental.history_of_log(t.spark.read.parquet(out))

@@ -1,13 +1,15 @@
 """Continuous forms of the two incremental behaviours.
 
 The same rules as the batch operators: each product id is processed once, and a
-history row is written only when a product's URL changes.
+history row is written only when a product's URL changes.  Rows that come late correct
+what was written before them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,34 +48,71 @@ def register_products(stream: DataFrame, registry_path: str, checkpoint: str) ->
     )
 
 
-_CHANGES = "product_id bigint, seq bigint, url string"
-
-
-def _changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, seen = state.get if state.exists else (None, None)
-    # Rows that tell nothing go before the batches of a product are put together.
-    rows = pd.concat([b[b["url"].fillna("") != ""] for b in batches]).sort_values("seq")
-    if seen is not None:
-        rows = rows[rows["seq"] > seen]
-    if len(rows):
-        previous = rows["url"].shift(1)
-        previous.iloc[0] = last
-        changed = rows[rows["url"] != previous]
-        state.update((rows["url"].iloc[-1], int(rows["seq"].iloc[-1])))
-        yield changed[["product_id", "seq", "url"]]
-
-
-def history_stream(stream: DataFrame) -> DataFrame:
-    """Rows (``product_id, seq, url``) whose URL differs from the product's previous one.
-
-    State per product is its last URL and ``seq``.  Rows of one micro-batch are ordered by
-    ``seq``; a row that comes in a later micro-batch than one with a greater or equal ``seq`` is late
-    and is left out, so it can't report a change that never was.
+_LOG = "product_id bigint, seq bigint, url string, change int"
+_STATE = "settled_url string, settled_seq bigint, seqs array<bigint>, urls array<string>"
+
+
+def _differs(urls: pd.Series, first: str | None) -> np.ndarray:
+    """Which of ``urls`` differ from the one before; before the first comes ``first``."""
+    previous = urls.shift(1)
+    if len(previous):
+        previous.iloc[0] = first
+    return (urls != previous).to_numpy()
+
+
+def _corrections(lateness: int | None):
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        settled_url, settled_seq, seqs, urls = state.get if state.exists else (None, None, [], [])
+        # Rows that tell nothing go before the batches of a product are put together.
+        new = pd.concat([b.loc[b["url"].fillna("") != "", ["seq", "url"]] for b in batches])
+        told = pd.DataFrame({"seq": pd.Series(list(seqs), dtype="int64"), "url": pd.Series(list(urls), dtype=object)})
+        if settled_seq is not None:
+            late = new[new["seq"] <= settled_seq]
+            if len(late):
+                yield late.assign(product_id=key[0], change=0)[["product_id", "seq", "url", "change"]]
+            new = new[new["seq"] > settled_seq]
+        # A stable sort after what is known, so that the row of a seq that came first stays.
+        rows = pd.concat([told.assign(known=True), new.assign(known=False)]).sort_values("seq", kind="stable").drop_duplicates("seq")
+        known = rows["known"].to_numpy(dtype=bool)
+        now, was = _differs(rows["url"], settled_url), np.zeros(len(rows), bool)
+        was[known] = _differs(rows["url"][known], settled_url)
+        change = now.astype("int32") - was.astype("int32")
+        if change.any():
+            yield rows.assign(product_id=key[0], change=change)[change != 0][["product_id", "seq", "url", "change"]]
+        if lateness is not None and len(rows):
+            old = rows["seq"] < rows["seq"].iloc[-1] - lateness
+            if old.any():
+                settled_url, settled_seq = rows["url"][old].iloc[-1], int(rows["seq"][old].iloc[-1])
+                rows = rows[~old]
+        state.update((settled_url, settled_seq, rows["seq"].tolist(), rows["url"].tolist()))
+
+    return run
+
+
+def history_log(stream: DataFrame, lateness: int | None = None) -> DataFrame:
+    """Log (``product_id, seq, url, change``) of the rows whose URL differs from the product's previous one.
+
+    ``change`` is 1 where such a row enters the history and -1 where a late row shows that an
+    entry never was a change; :func:`history_of_log` gives what remains, which is the batch
+    history whatever the order in which rows come.  Empty URLs tell nothing, and of several rows with
+    one ``seq`` the first to come counts.
+
+    State per product are its rows.  With ``lateness`` these are the rows whose ``seq`` is at most that much
+    below the greatest, and the last URL before them: rows that come later still are not lost but logged
+    with ``change`` 0, so that a batch run can repair the products that have such rows.
     """
     return (
         stream.select(F.col("product_id").cast("bigint"), F.col("seq").cast("bigint"), "url")
         .groupBy("product_id")
-        .applyInPandasWithState(_changes, _CHANGES, "url string, seq bigint", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_corrections(lateness), _LOG, _STATE, "append", GroupStateTimeout.NoTimeout)
+    )
+
+
+def history_of_log(log: DataFrame) -> DataFrame:
+    """History rows (``product_id, seq, url``) that the log's corrections leave."""
+    return (
+        log.groupBy("product_id", "seq", "url").agg(F.sum("change").alias("change"))
+        .where("change > 0").select("product_id", "seq", "url")
     )
 
 
