@@ -195,7 +195,7 @@ def _(t):
 # Three queries: the second when the first left room, the third when fewer than two URLs were found.
 @query(
     "j18_three_queries",
-    f"""WITH {B.HITS}, o AS (SELECT product_id, CASE WHEN line <= 1 THEN 1 WHEN line = 2 THEN 2 ELSE 3 END AS q, rank, split_part(url, '#', 1) AS url FROM hits WHERE line <> 5 AND cand_id > 40),
+    f"""WITH {B.HITS}, o AS (SELECT product_id, CASE WHEN line <= 1 THEN 1 WHEN line = 2 THEN 2 ELSE 3 END AS q, rank, split_part(url, '#', 1) AS url FROM hits WHERE line <> 5),
     w AS (SELECT product_id, url, min(rank) FILTER (WHERE q = 1) AS r1, min(rank) FILTER (WHERE q = 2) AS r2, min(rank) FILTER (WHERE q = 3) AS r3 FROM o GROUP BY ALL),
     n AS (SELECT *, count(r1) OVER p AS n1, count(coalesce(r1, r2)) OVER p AS n12 FROM w WINDOW p AS (PARTITION BY product_id)),
     u AS (SELECT *, n1 < 3 AS use2 FROM n), v AS (SELECT *, CASE WHEN use2 THEN n12 ELSE n1 END < 2 AS use3 FROM u),
@@ -204,7 +204,7 @@ def _(t):
     SELECT product_id, position, url FROM k WHERE position <= 3""",
 )
 def _(t):
-    h = B.hits(t).where("line <> 5 AND cand_id > 40").withColumn(
+    h = B.hits(t).where("line <> 5").withColumn(
         "query_rank", F.expr("CASE WHEN line <= 1 THEN 1 WHEN line = 2 THEN 2 ELSE 3 END"))
     return H.select_hits(h, "maker.example.com", max_urls=3, enough=(3, 2))
 
