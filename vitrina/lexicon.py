@@ -118,7 +118,7 @@ VETLIFE_DOG_TITLE = ("canine", "perro", "dog")
 VETLIFE_CAT_TITLE = ("feline", "gato", "cat")
 
 # ---------------------------------------------------------------------------
-# One-hop synonyms, ``word=alternative,alternative``.
+# One-hop synonyms, each word with its alternatives.
 # ---------------------------------------------------------------------------
 SYN_GENERIC = {
     "perro": ("dog",), "dog": ("perro",), "gato": ("cat",), "cat": ("gato",), "cachorro": ("puppy",),
@@ -202,7 +202,7 @@ SYN_CALIBRA = {
 }
 
 # ---------------------------------------------------------------------------
-# Word-for-word translations, ``source=target``.
+# Word-for-word translations, each source word with its target.
 # ---------------------------------------------------------------------------
 TR_APPLAWS = {
     "gato": "cat", "gatos": "cat", "gatito": "kitten", "gatitos": "kitten", "perro": "dog", "perros": "dog",
