@@ -66,6 +66,26 @@ def test_near_duplicates(spark, near_rows, none, words, percent):
     assert jaccard_join.near_duplicates(none).collect() == []
 
 
+def test_sketches_never_part_similar_sets():
+    """The bound holds for sets of all sizes and overlaps, also where their sketches differ in width."""
+    draw = np.random.default_rng(17)
+    parted = 0
+    for _ in range(600):
+        n, keep, extra = int(draw.integers(1, 900)), draw.random() ** 0.3, int(draw.integers(0, 300))
+        a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        b = np.union1d(a[draw.random(len(a)) < keep], draw.integers(0, 1 << 63, extra, dtype=np.uint64))
+        common = len(np.intersect1d(a, b))
+        x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
+        words = min(len(x), len(y)) // 8
+        for percent in (50, 80, 85, 100):
+            may = bool(jaccard_join.possible(
+                jaccard_join.folded(x, words), len(a), jaccard_join.folded(y, words), len(b), percent))
+            similar = 100 * common >= percent * (len(a) + len(b) - common)
+            assert may or not similar
+            parted += not may
+    assert parted > 600
+
+
 def test_similar_sets_share_a_key():
     draw = np.random.default_rng(3)
     for boundary in (0, 6, 13, 24):

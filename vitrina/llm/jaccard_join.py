@@ -13,11 +13,16 @@ and heavy is where the keys of all sets together are fewest.
 No pairs of a list are written out.  Every list has a hub, its member with most company.
 First every set is compared with one hub only, that with most company among its lists'.
 Lists whose members these links join into one group are done.  In the others, hub and
-members are compared exactly; members that are similar to the hub or already in its group
+members are compared; members that are similar to the hub or already in its group
 need no comparison among themselves.  The others are compared with those of the star
-that are about as far from the hub: tiles of bounded size do that as matrix products and
-hand on only links that join something new.  Groups are found by
-spreading the smallest id along the links.
+that have about as many shingles, in tiles of bounded size.
+
+Every set has a sketch: as many bits as it has elements, or up to twice as many; an
+element flips one.  Bits that differ between two sketches come from elements that one set
+lacks, so they bound the similarity from above.  Sketches, a fortieth of the sets in bytes,
+go to all comparisons; sets only to those that the bound leaves possible.  There they are
+compared exactly, in tiles as matrix products, which hand on only links that join something
+new.  Groups are found by spreading the smallest id along the links.
 
 Edge cases: null texts and texts without words have no shingles and are linked with
 nothing.  Texts with fewer words than a shingle are one shingle as a whole.  Rows with the
@@ -95,6 +100,33 @@ def unpacked_set(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the numbers of elements per bucket; 64 buckets, or the first power of two from the set's size on."""
+    buckets = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    at = ((hashes >> _U(16)) & _U(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(data: bytes, words: int) -> np.ndarray:
+    """A sketch as 64-bit numbers, brought to ``words`` of them: the sketch that so many buckets give."""
+    out = np.frombuffer(data, "<u8")
+    while len(out) > words:
+        out = out[:len(out) // 2] ^ out[len(out) // 2:]
+    return out
+
+
+def possible(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of sketches ``a`` (one per row, broadcast against ``b``) may be of similar sets.
+
+    Sets that differ in more than (100 - p) / (100 + p) of their sizes' sum aren't similar, and they
+    differ in one element at least per bit that differs.
+    """
+    differ = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int64)
+    for k in range(a.shape[-1]):
+        differ += np.bitwise_count(a[..., k] ^ b[..., k])
+    return (100 + percent) * np.maximum(differ, np.abs(size_a - size_b)) <= (100 - percent) * (size_a + size_b)
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -296,14 +328,14 @@ def _bit_map(nodes: DataFrame) -> np.ndarray:
 
 
 def _candidate_sets(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``node, hashes``: the sets of the nodes and hubs of lists, and of few others.
+    """``node, size, bits, hashes``: the sets of the nodes and hubs of lists, and of few others.
 
     These go to the tasks as a bit map of fixed size, so only their sets
     are written; what the map lets through by chance is dropped by the joins that follow.
     """
     shared = texts.sparkSession.sparkContext.broadcast(
         _bit_map(members.select("node").unionByName(members.select(F.col("hub").alias("node")))))
-    out = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+    out = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = shared.value
@@ -311,34 +343,52 @@ def _candidate_sets(texts: DataFrame, members: DataFrame, words: int) -> DataFra
             bucket, bit = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             at, mask = np.where(bucket > 0, (bucket - 1) * 4096, _BITS // 8) + bit // 8, np.uint8(1) << (bit % 8).astype(np.uint8)
             chosen = batch.filter(pa.array((every[at] & mask) > 0))
+            own = [shingles(t, words) for t in chosen.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                chosen.column(0), pa.array([packed_set(shingles(t, words)) for t in chosen.column(3).to_pylist()], pa.binary())], schema=out)
+                chosen.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array(map(sketch, own), pa.binary()),
+                pa.array(map(packed_set, own), pa.binary())], schema=out)
 
     place = F.pmod(F.xxhash64("node"), F.lit(_BITS))
     placed = texts.withColumn("place", place).select(
         "node", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"), "text")
-    return placed.mapInArrow(run, "node long, hashes binary")
+    return placed.mapInArrow(run, "node long, size long, bits binary, hashes binary")
 
 
-def _compare(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """``hub, node, hub_size, size, common`` of every star edge.
+def _edge_ends(stars: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Star edges with ``columns`` of the hub's row of ``sets`` (named ``hub_...``) and of the node's.
 
     Merge joins at every size: a set travels twice, once to its hubs; sets outside the stars don't.
     """
-    out = pa.schema([(c, pa.int64()) for c in ("hub", "node", "hub_size", "size", "common")])
+    of_hub = perhaps_within(sets.select("node", *columns), "node", stars.select("hub")).select(
+        F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in columns))
+    of_node = perhaps_within(sets.select("node", *columns), "node", stars.select("node"))
+    members = stars.select("hub", "node").hint("merge").join(of_node, "node")
+    return of_hub.hint("merge").join(members, "hub").select("hub", "node", *(f"hub_{c}" for c in columns), *columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _linked(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``hub, node``: the star edges whose two sets are similar."""
+    out = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
+
+    def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, m = (batch.column(k).to_numpy() for k in (2, 4))
+            keep = []
+            for a, b, x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), n, m, strict=True):
+                words = min(len(a), len(b)) // 8
+                keep.append(bool(possible(folded(a, words), x, folded(b, words), y, percent)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 25):
-            hubs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            a, b = ([unpacked_set(x) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            common = [int(np.isin(x, y, assume_unique=True).sum()) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (hubs, nodes, list(map(len, a)), list(map(len, b)), common)], schema=out)
+            keep = []
+            for a, b in zip(*(map(unpacked_set, batch.column(k).to_pylist()) for k in (2, 3)), strict=True):
+                common = int(np.isin(a, b, assume_unique=True).sum())
+                keep.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=out).filter(pa.array(keep, pa.bool_()))
 
-    of_hub = perhaps_within(sets, "node", stars.select("hub")).select(F.col("node").alias("hub"), F.col("hashes").alias("hub_hashes"))
-    members = stars.select("hub", "node").hint("merge").join(perhaps_within(sets, "node", stars.select("node")), "node")
-    return of_hub.hint("merge").join(members, "hub").select("hub", "node", "hub_hashes", "hashes").mapInArrow(
-        run, "hub long, node long, hub_size long, size long, common long")
+    left = cut_lineage(_edge_ends(stars, sets, "size", "bits").mapInArrow(by_sketch, "hub long, node long"))
+    return _edge_ends(left, sets, "hashes").mapInArrow(by_set, "hub long, node long")
 
 
 def _spanning(pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
@@ -393,34 +443,62 @@ def _tile(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array([int(names[x]) for x, _ in found], pa.int64()), pa.array([int(names[y]) for _, y in found], pa.int64())], schema=schema)
 
 
-def _rest(compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links inside the stars that don't touch the hub; ``compared`` holds the edges whose nodes meet others there.
-
-    Nodes that are neither linked with the hub nor of its group ask.  By the triangle inequality of the Jaccard distance
-    only nodes about as far from the hub can answer, so asking nodes visit their own ring
-    around the hub and the rings beside it, where the others stay.  Tiles are blocks of asking nodes against blocks of others,
+def _sketch_tile(table: pa.Table, percent: int) -> pa.Table:
+    """The rows of a tile that may be similar to one of the other side that isn't in their group."""
+    asks, sizes, group = (table[c].to_numpy() for c in ("asks", "size", "group"))
+    bits = table["bits"].to_pylist()
+    width = np.array([len(b) // 8 for b in bits])
+    keep = np.zeros(len(bits), bool)
+    # Sketches come in powers of two: each pair of widths is compared at the smaller.
+    for wide_a in np.unique(width[asks]):
+        for wide_b in np.unique(width[~asks]):
+            words = int(min(wide_a, wide_b))
+            i, j = np.flatnonzero(asks & (width == wide_a)), np.flatnonzero(~asks & (width == wide_b))
+            b = np.stack([folded(bits[x], words) for x in j])
+            for part in np.array_split(i, -(-len(i) // 64)):
+                a = np.stack([folded(bits[x], words) for x in part])
+                near = possible(a[:, None], sizes[part, None], b[None], sizes[None, j], percent) & (group[part, None] != group[None, j])
+                keep[part] |= near.any(1)
+                keep[j] |= near.any(0)
+    return table.select(["hub", "ring", "i", "j", "node", "asks"]).filter(pa.array(keep))
+
+
+def _rest(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links inside the stars that don't touch the hub; ``stars`` (``hub, node, group, asks``) holds the nodes
+    that may have links there.
+
+    Nodes that are neither linked with the hub nor of its group ask.  Sets of
+    similar sizes only can be similar, so asking nodes visit their own ring of sizes and the rings beside it,
+    where the others stay.  Tiles are blocks of asking nodes against blocks of others,
     bounded in sets and in elements, so that few large or many small sets fill one alike.
+    Sketches go to the tiles first; then the sets of the nodes that may have a link in a tile.
     """
-    reach = 1 - percent / 100 + 1e-9
-    far = compared.withColumn("far", 1 - F.col("common") / (F.col("hub_size") + F.col("size") - F.col("common"))).select(
-        "hub", "node", "size", (~F.col("linked") & F.col("apart")).alias("asks"), F.floor(F.col("far") / reach).cast("int").alias("ring"))
-    asks = far.filter("asks").drop("asks").withColumn("ring", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)))
+    # Rings are wider than the ratio of similar sizes by far more than a double's error.
+    ring = F.floor(F.ln("size") / (np.log(100 / percent) + 1e-6)).cast("int")
+    wanted = perhaps_within(sets.select("node", "size", "bits"), "node", stars.select("node"))
+    every = cut_lineage(stars.hint("merge").join(wanted, "node").withColumn("ring", ring))
+    beside = F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)
+    # A ring that holds the asking node only has no one to ask.
+    asks = every.filter("asks").select("hub", "node", "group", "size", "bits", F.col("ring").alias("own"), F.explode(beside).alias("ring"))
 
     def blocks(sets: int, elements: int) -> Column:
         return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("size") / elements))
 
+    met = every.groupBy("hub", "ring").agg(F.count("*").alias("n"), blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all"))
+    asks = asks.join(met, ["hub", "ring"]).filter((F.col("n") > 1) | (F.col("ring") != F.col("own")))
     asked = asks.groupBy("hub", "ring").agg(blocks(_TILE_ASKING, _ASKING_ELEMENTS).alias("asking"))
-    counts = far.groupBy("hub", "ring").agg(blocks(_TILE_ALL, _ALL_ELEMENTS).alias("all")).join(asked, ["hub", "ring"])
     place = F.xxhash64("node")
-    asking = asks.join(counts, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
+    asking = asks.join(asked, ["hub", "ring"]).withColumn("i", F.pmod(place, "asking")).withColumn(
         "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
-    others = far.join(counts, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
+    others = every.join(met, ["hub", "ring"]).join(asked, ["hub", "ring"]).withColumn("j", F.pmod(place, "all")).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
     tile = ["hub", "ring", "i", "j"]
-    placed = cut_lineage(asking.select(*tile, "node", F.lit(True).alias("asks")).unionByName(
-        others.select(*tile, "node", F.lit(False).alias("asks"))))
-    return placed.hint("merge").join(perhaps_within(sets, "node", placed.select("node")), "node").groupBy(*tile).applyInArrow(
-        lambda t: _tile(t, percent), "a long, b long")
+    columns = [*tile, "node", "group", "size", "bits"]
+    sketched = asking.select(*columns, F.lit(True).alias("asks")).unionByName(others.select(*columns, F.lit(False).alias("asks")))
+    placed = cut_lineage(sketched.groupBy(*tile).applyInArrow(
+        lambda t: _sketch_tile(t, percent), "hub long, ring int, i long, j long, node long, asks boolean"))
+    return placed.hint("merge").join(perhaps_within(sets.select("node", "hashes"), "node", placed.select("node")), "node").groupBy(
+        *tile).applyInArrow(lambda t: _tile(t, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -468,14 +546,16 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if repeated.limit(1).count():  # rows with the same id: their sets are wanted once
         sets = sets.distinct()
     sets = cut_lineage(sets)
-    linked = (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("hub_size") + F.col("size") - F.col("common")))
-    first = cut_lineage(_compare(cut_lineage(_first_hubs(members)), sets).withColumn("linked", linked))
-    groups = components(first.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    hubs = cut_lineage(_first_hubs(members))
+    first = cut_lineage(_linked(hubs, sets, percent))
+    groups = components(first.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     stars = cut_lineage(_open_stars(members, groups))
-    later = _compare(cut_lineage(stars.join(first, ["hub", "node"], "left_anti")), sets).withColumn("linked", linked)
-    compared = first.unionByName(cut_lineage(later))
-    links = compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
-        _rest(compared.join(stars.filter("meets").drop("meets"), ["hub", "node"]), sets, percent))
+    later = cut_lineage(_linked(cut_lineage(stars.join(hubs, ["hub", "node"], "left_anti")), sets, percent))
+    near = first.unionByName(later)
+    grouped = groups.select("node", F.col("component").alias("group"))
+    meeting = stars.filter("meets").join(near.withColumn("near", F.lit(True)), ["hub", "node"], "left").join(grouped, "node", "left").select(
+        "hub", "node", F.coalesce("group", "node").alias("group"), (F.col("near").isNull() & F.col("apart")).alias("asks"))
+    links = near.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(_rest(cut_lineage(meeting), sets, percent))
     # A group's name is its smallest id; nodes of rows without id have none.
     grouped = classes.join(components(links), "node", "left").select("key", "least", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
