@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -111,6 +112,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds much more than ``size`` bytes of data (one row at least).
 
@@ -122,4 +131,4 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[p
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
         batch = None
-    pa.default_memory_pool().release_unused()
+    give_back()
