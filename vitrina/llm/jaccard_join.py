@@ -19,7 +19,7 @@ that have about as many shingles, in tiles of bounded size.
 
 Every set has a sketch: as many bits as it has elements, or up to twice as many; an
 element flips one.  Bits that differ between two sketches come from elements that one set
-lacks, so they bound the similarity from above.  Sketches, a fortieth of the sets in bytes,
+lacks, so they bound the similarity from above.  Sketches, a 24th to a 48th of a large set in bytes,
 go to all comparisons; sets only to those that the bound leaves possible.  There they are
 compared exactly, in tiles as matrix products, which hand on only links that join something
 new.  Groups are found by spreading the smallest id along the links.
