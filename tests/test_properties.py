@@ -159,6 +159,27 @@ def test_dedupe_equals_sequential_clustering(spark, limit):
     assert sorted(tuple(r) for r in got.select("product_id", "slot", "kept_idx", "members").collect()) == _leader_clusters(rows)
 
 
+def test_dedupe_rounds_compare_pictures_with_leaders_only(spark, monkeypatch):
+    """Tables written between the rounds never exceed the pictures; few and many leaders alike."""
+    rng = random.Random(8)
+    rows = _pictures(7, 2, 60) + [(9, i, rng.getrandbits(16), i % 7, 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "product_id bigint, idx bigint, hash bigint, nbytes bigint, area bigint")
+    written, cut = [], images.cut_lineage
+
+    def counted(table):
+        out = cut(table)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(images, "cut_lineage", counted)
+    got = images.dedupe_images(df, fold_limit=0)
+    assert sorted(tuple(r) for r in got.select("product_id", "slot", "kept_idx", "members").collect()) == _leader_clusters(rows)
+    assert max(written) <= len(rows)
+    pictures = images._distinct_pictures(df)
+    few = images._leaders_in_rounds(pictures, block=5, few=1).select("product_id", "hash", "leader_idx")
+    assert sorted(few.collect()) == sorted(images._fold_leaders(pictures).select("product_id", "hash", "leader_idx").collect())
+
+
 def test_dedupe_is_idempotent_on_its_leaders(spark):
     rows = _pictures(6, 3, 30)
     df = spark.createDataFrame(rows, "product_id bigint, idx bigint, hash bigint, nbytes bigint, area bigint")

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions import image_math as IM
@@ -20,6 +20,9 @@ from vitrina.session import cut_lineage
 #: Larger products go through the distributed rounds, which give the same result.
 FOLD_LIMIT = 256
 
+#: Pictures of a product that one fold of the rounds may take.
+MAX_BLOCK = 16384
+
 #: Differing bits up to which two pictures are the same.
 SAME_PICTURE = 8
 
@@ -43,32 +46,37 @@ def _distinct_pictures(images: DataFrame) -> DataFrame:
     )
 
 
-def _fold_leaders(pictures: DataFrame) -> DataFrame:
-    """``product_id, hash, leader_idx`` by one fold per product (few distinct hashes)."""
-    empty = F.array().cast("array<struct<idx:bigint,hash:bigint>>")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("first_idx").cast("bigint").alias("idx"), "hash")))
+def _close(leaders: Column, h: Column) -> Column:
+    return F.filter(leaders, lambda g: F.bit_count(g["hash"].bitwiseXOR(h)) <= SAME_PICTURE)
 
-    def close(leaders: Column, h: Column) -> Column:
-        return F.filter(leaders, lambda g: F.bit_count(g["hash"].bitwiseXOR(h)) <= SAME_PICTURE)
 
-    leaders = F.aggregate(
-        "pics", empty,
-        lambda acc, p: F.when(F.size(close(acc, p["hash"])) > 0, acc).otherwise(
-            F.concat(acc, F.array(F.struct(p["idx"].alias("idx"), p["hash"].alias("hash"))))
+def _fold(pics: Column) -> Column:
+    """Leaders (``idx, hash``) among ordered pictures of one product."""
+    empty = F.array().cast("array<struct<idx:bigint,hash:bigint>>")
+    return F.aggregate(
+        pics, empty,
+        lambda acc, p: F.when(F.size(_close(acc, p["hash"])) > 0, acc).otherwise(
+            F.concat(acc, F.array(F.struct(p["first_idx"].cast("bigint").alias("idx"), p["hash"].alias("hash"))))
         ),
     )
-    folded = pictures.groupBy("product_id").agg(ordered.alias("pics")).withColumn("leaders", leaders)
+
+
+def _fold_leaders(pictures: DataFrame) -> DataFrame:
+    """``pictures`` with ``leader_idx`` by one fold per product (few distinct hashes)."""
+    rows = F.struct("first_idx", "hash", "copies", "best")
+    ordered = F.sort_array(F.collect_list(rows))
+    folded = pictures.groupBy("product_id").agg(ordered.alias("pics")).withColumn("leaders", _fold(F.col("pics")))
     return folded.select("product_id", "leaders", F.explode("pics").alias("p")).select(
-        "product_id", F.col("p.hash").alias("hash"), close(F.col("leaders"), F.col("p.hash"))[0]["idx"].alias("leader_idx")
+        "product_id", "p.*", _close(F.col("leaders"), F.col("p.hash"))[0]["idx"].alias("leader_idx")
     )
 
 
-def _close_pairs(pictures: DataFrame) -> DataFrame:
-    """``product_id, a, b`` (``a < b`` by position) of hashes within the limit.
+def _close_leaders(pictures: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``product_id, first_idx, leader_idx``: the first of many ``leaders`` (``product_id, idx, hash``) within the limit.
 
     Three bands of 22, 21 and 21 bits: within 8 differing bits one band differs in at
-    most 2.  The earlier picture is stored under its band values, the later one
-    probes all values up to 2 bits away, so buckets stay small at any product size.
+    most 2.  Pictures are stored under their band values, a leader probes all values up
+    to 2 bits away.
     """
     bands = ((0, 22), (22, 21), (43, 21))
 
@@ -82,63 +90,51 @@ def _close_pairs(pictures: DataFrame) -> DataFrame:
 
     stored, probes = None, None
     for band, (lo, width) in enumerate(bands):
-        s = pictures.select("product_id", F.lit(band).alias("band"), value(lo, width).alias("v"),
-                            F.col("first_idx").alias("a"), F.col("hash").alias("ha"))
+        s = pictures.select("product_id", F.lit(band).alias("band"), value(lo, width).alias("v"), "first_idx", "hash")
         masks = F.array(*[F.lit(m).cast("bigint") for m in flips(width)])
-        p = pictures.select("product_id", F.lit(band).alias("band"), value(lo, width).alias("v0"),
-                            F.col("first_idx").alias("b"), F.col("hash").alias("hb"), F.explode(masks).alias("m"))
-        p = p.select("product_id", "band", F.col("v0").bitwiseXOR(F.col("m")).alias("v"), "b", "hb")
+        p = leaders.select("product_id", F.lit(band).alias("band"), value(lo, width).alias("v0"),
+                           F.col("idx").alias("leader_idx"), F.col("hash").alias("lh"), F.explode(masks).alias("m"))
+        p = p.select("product_id", "band", F.col("v0").bitwiseXOR(F.col("m")).alias("v"), "leader_idx", "lh")
         stored = s if stored is None else stored.unionByName(s)
         probes = p if probes is None else probes.unionByName(p)
     return (
         stored.join(probes, ["product_id", "band", "v"])
-        .where((F.col("a") < F.col("b")) & (M.hamming(F.col("ha"), F.col("hb")) <= SAME_PICTURE))
-        .select("product_id", "a", "b")
-        .distinct()
+        .where(M.hamming(F.col("hash"), F.col("lh")) <= SAME_PICTURE)
+        .groupBy("product_id", "first_idx").agg(F.min("leader_idx").alias("leader_idx"))
     )
 
 
-def _leaders_in_rounds(pictures: DataFrame) -> DataFrame:
-    """The same leaders for products of any size, by rounds over the closeness graph.
+def _leaders_in_rounds(pictures: DataFrame, block: int = FOLD_LIMIT, few: int = FOLD_LIMIT) -> DataFrame:
+    """The same leaders for products of any size, by rounds over blocks of their open pictures.
 
-    A picture leads when every earlier close picture is settled and none of them
-    leads; it follows as soon as one of them leads.  Each round settles at least the
-    earliest open picture of every product and in practice most of them.
+    The earliest open pictures of a product are close to no leader before them, so a fold
+    over them finds the next leaders.  All pictures close to these are settled; the others
+    stay open.  Pictures meet leaders only, never each other: in place while a product has a
+    ``few`` of them in a round, else by bands.  Blocks grow, so far-apart pictures don't take a round each.
     """
-    edges = cut_lineage(_close_pairs(pictures))
-    nodes = pictures.select("product_id", F.col("first_idx").alias("idx"))
-    has_earlier = edges.select("product_id", F.col("b").alias("idx")).distinct()
-    leading = cut_lineage(nodes.join(has_earlier, ["product_id", "idx"], "left_anti"))
-    open_nodes = cut_lineage(has_earlier)
+    open_, settled = pictures, None
     while True:
-        follows = (
-            edges.join(leading.withColumnRenamed("idx", "a"), ["product_id", "a"], "left_semi")
-            .select("product_id", F.col("b").alias("idx")).distinct()
-        )
-        still = cut_lineage(open_nodes.join(follows, ["product_id", "idx"], "left_anti"))
-        if still.isEmpty():
-            break
-        # Open pictures none of whose earlier close pictures is open any more.
-        blocked = (
-            edges.join(still.withColumnRenamed("idx", "a"), ["product_id", "a"], "left_semi")
-            .select("product_id", F.col("b").alias("idx")).distinct()
+        nth = F.row_number().over(Window.partitionBy("product_id").orderBy("first_idx"))
+        ordered = F.sort_array(F.collect_list(F.struct("first_idx", "hash")))
+        leaders = cut_lineage(
+            open_.select("product_id", "first_idx", "hash").withColumn("nth", nth).where(F.col("nth") <= block)
+            .groupBy("product_id").agg(ordered.alias("pics")).select("product_id", _fold(F.col("pics")).alias("leaders"))
         )
-        new = still.join(blocked, ["product_id", "idx"], "left_anti")
-        leading = cut_lineage(leading.unionByName(new))
-        open_nodes = cut_lineage(still.join(new, ["product_id", "idx"], "left_anti"))
-    first_leader = (
-        edges.join(leading.withColumnRenamed("idx", "a"), ["product_id", "a"], "left_semi")
-        .groupBy("product_id", F.col("b").alias("first_idx"))
-        .agg(F.min("a").alias("leader"))
-    )
-    return (
-        pictures.select("product_id", "hash", "first_idx")
-        .join(first_leader, ["product_id", "first_idx"], "left")
-        .join(leading.select("product_id", F.col("idx").alias("first_idx"), F.lit(True).alias("leads")),
-              ["product_id", "first_idx"], "left")
-        .select("product_id", "hash", F.when(F.col("leads"), F.col("first_idx")).otherwise(F.col("leader"))
-                .cast("bigint").alias("leader_idx"))
-    )
+        if leaders.isEmpty():
+            return settled
+        short = leaders.where(F.size("leaders") <= few)
+        first = F.get(_close(F.col("leaders"), F.col("hash")), F.lit(0))["idx"]
+        judged = open_.join(short, "product_id").withColumn("leader_idx", first).drop("leaders")
+        many = leaders.where(F.size("leaders") > few)
+        if not many.isEmpty():
+            rest = open_.join(many.select("product_id"), "product_id", "left_semi")
+            found = _close_leaders(rest, many.select("product_id", F.inline("leaders")))
+            judged = judged.unionByName(rest.join(found, ["product_id", "first_idx"], "left"))
+        judged = cut_lineage(judged)
+        done = judged.where("leader_idx IS NOT NULL")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = judged.where("leader_idx IS NULL").drop("leader_idx")
+        block = min(4 * block, MAX_BLOCK)
 
 
 def dedupe_images(images: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -151,14 +147,14 @@ def dedupe_images(images: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """
     pictures = cut_lineage(_distinct_pictures(images))
     sizes = pictures.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_hashes"))
-    large = sizes.where(F.col("n_hashes") > fold_limit).select("product_id")
-    leaders = _fold_leaders(pictures.join(large, "product_id", "left_anti"))
-    big = pictures.join(large, "product_id", "left_semi")
-    if not big.isEmpty():
-        leaders = leaders.unionByName(_leaders_in_rounds(big))
+    large = cut_lineage(sizes.where(F.col("n_hashes") > fold_limit).select("product_id"))
+    if large.isEmpty():
+        led = _fold_leaders(pictures)
+    else:
+        led = _fold_leaders(pictures.join(large, "product_id", "left_anti")).unionByName(
+            _leaders_in_rounds(pictures.join(large, "product_id", "left_semi")))
     return (
-        pictures.join(leaders, ["product_id", "hash"])
-        .groupBy("product_id", "leader_idx")
+        led.groupBy("product_id", "leader_idx")
         .agg(F.min("first_idx").alias("slot"), F.max("best").alias("best"), F.sum("copies").alias("members"))
         .select("product_id", "slot", (-F.col("best.neg")).alias("kept_idx"), "members")
     )
