@@ -285,3 +285,20 @@ def test_no_plan_is_a_cross_product(tables):
         df = QUERIES[name](tables.spark, tables.folder)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Cross" not in plan and "Join Inner\n" not in plan, name
+
+
+def test_image_run_rounds_bytes_as_its_sql(spark, tmp_path):
+    """Two copies whose prices differ by a fraction: the SQL rounds it, so the dearer one is kept."""
+    duckdb = pytest.importorskip("duckdb")
+    from vitrina.plans import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT 1::BIGINT AS o_orderkey, 'O' AS o_orderstatus) TO '{tmp_path}/orders.parquet'""")
+    con.execute(f"""COPY (SELECT 1::BIGINT AS l_orderkey, k::BIGINT AS l_partkey, k::BIGINT AS l_suppkey, 2 AS l_linenumber, q::DOUBLE AS l_quantity,
+        price::DOUBLE AS l_extendedprice, 'A' AS l_returnflag, 'F' AS l_linestatus FROM (VALUES (5, 33, 100.19), (6, 18, 100.85), (7, 40, 100.5)) v(k, q, price))
+        TO '{tmp_path}/lineitem.parquet'""")
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = QUERIES["r02_image_run"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['r02_image_run']})").fetchall()
+    assert [tuple(r) for r in got.collect()] == want == [(1, 1, "https://cdn.example.com/6-6.jpg", "match", 3)]

@@ -30,6 +30,8 @@ _CAND = {
     "nbytes": "cast(l_extendedprice as bigint)", "white_ratio": "l_quantity / 50", "bbox_w": "600 + cast(l_quantity * 20 as int)",
     "bbox_h": "500 + cast(l_quantity * 30 as int)",
 }
+# DuckDB's cast to a whole number rounds half to even, Spark's cuts the fraction off.
+_CAND_SPARK = {**_CAND, "nbytes": "cast(rint(l_extendedprice) as bigint)"}
 _KEYS = ("product_id", "source", "ord", "url")
 _FACTS = ("width", "height", "hash", "nbytes", "white_ratio", "bbox_w", "bbox_h")
 RUN = f"""WITH RECURSIVE c0 AS (SELECT {B._sql(B._select(_CAND))} FROM lineitem),
@@ -52,7 +54,7 @@ def image_run(t):
     matched = t.orders.where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS product_id")
     existing = B._view(t.lineitem, {"product_id": "l_partkey", **{k: B.IMAGE_COLUMNS[k] for k in ("image_id", "position", "alt")}})
     # One row per candidate: a line that occurs twice is one picture.
-    cands = B._view(t.lineitem, _CAND).groupBy(*_KEYS).agg(*[F.max(x).alias(x) for x in _FACTS])
+    cands = B._view(t.lineitem, _CAND_SPARK).groupBy(*_KEYS).agg(*[F.max(x).alias(x) for x in _FACTS])
     return runs.image_run(p, matched, cands, existing)
 
 
