@@ -311,6 +311,17 @@ def test_no_plan_is_a_cross_product(tables):
         assert "Join Cross" not in plan and "Join Inner\n" not in plan, name
 
 
+def test_variant_images_broadcast_nothing(spark):
+    """Variants unfolded from few bytes aren't sent through the driver; repeated pictures count once."""
+    v = spark.createDataFrame([(1, 10, "rojo 5kg"), (1, 11, "azul 2kg"), (2, 20, "verde")], "product_id bigint, variant_id bigint, title string")
+    i = spark.createDataFrame([(1, 7, 2, "saco rojo 5 kg"), (1, 7, 2, "saco rojo 5 kg"), (1, 6, 2, "saco rojo 5 kg"), (1, 5, None, "azul"), (2, 8, 1, None)],
+                              "product_id bigint, image_id bigint, position int, raw_text string")
+    got = images.assign_variant_images(v, i)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r["variant_id"]: (r["image_id"], r["image_pos"]) for r in got.collect()}
+    assert rows == {10: (6, 2), 11: (5, 999), 20: (None, None)}
+
+
 def test_image_run_rounds_bytes_as_its_sql(spark, tmp_path):
     """Two copies whose prices differ by a fraction: the SQL rounds it, so the dearer one is kept."""
     duckdb = pytest.importorskip("duckdb")
