@@ -324,6 +324,15 @@ def test_similar_sets_by_sketches_equal_brute_force(spark):
     assert want and {(r["a"], r["b"], round(r["score"], 9)) for r in got.collect()} == want
 
 
+def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
+    """A file of 4 MB may be hundreds of MB in the driver."""
+    rows = spark.range(450_000).withColumn("h", F.xxhash64("id"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    joined = table.join(table.withColumnRenamed("h", "g"), "id")
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_variant_images_broadcast_nothing(spark):
     """Variants unfolded from few bytes aren't sent through the driver; repeated pictures count once."""
     v = spark.createDataFrame([(1, 10, "rojo 5kg"), (1, 11, "azul 2kg"), (2, 20, "verde")], "product_id bigint, variant_id bigint, title string")

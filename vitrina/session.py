@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: particular data volume: partition counts are left to AQE, which coalesces or
 #: splits from the cluster's own ``spark.sql.shuffle.partitions``.  Index joins turn
 #: small inputs into many pairs, so AQE may keep partitions far below its default
-#: minimum while cores are free.
+#: minimum while cores are free.  Files are compressed, so a table whose files look small is
+#: many times larger in the driver when broadcast: the limit by files is lower than the
+#: limit by rows that AQE has counted.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "2m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
 }
 
