@@ -115,12 +115,16 @@ def images(t: Tables) -> DataFrame:
 
 
 # hits: a line item is a search hit for part l_partkey; the page found is part l_suppkey
+def hit_url(handle: str, line: str = "l_linenumber") -> str:
+    return (f"'https://www.maker.example.com/products/' || {handle} || CASE WHEN {line} = 3 THEN '-2' ELSE '' END || "
+            f"CASE WHEN {line} > 5 THEN '#top' ELSE '' END")
+
+
 _HIT_OUT = {
     "product_id": "l_partkey",
     "rank": "(l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey",
     "query_rank": "CASE WHEN l_linenumber <= 2 THEN 1 ELSE 2 END",
-    "url": f"'https://www.maker.example.com/products/' || {HANDLE} || CASE WHEN l_linenumber = 3 THEN '-2' ELSE '' END || "
-           "CASE WHEN l_linenumber > 5 THEN '#top' ELSE '' END",
+    "url": hit_url(HANDLE),
     "name": CATALOG_NAME,
     "spanish": f"{_case(ADJECTIVE, ADJ_ES)} || ' ' || {_case('p_type', TYPE_ES)} || ' ' || {_case(NOUN, NOUN_ES)}",
     "host": "CASE WHEN l_linenumber = 4 THEN 'other.example.net' ELSE 'www.maker.example.com' END",
@@ -130,9 +134,14 @@ _HIT_OUT = {
 HITS = f"hits AS (SELECT {_sql(_select(_HIT_OUT))} FROM lineitem JOIN part ON p_partkey = l_suppkey)"
 
 
+# What a page says is worked out once per page, not for each hit of it.
+_PAGE = {"page_handle": HANDLE, "page_name": CATALOG_NAME}
+
+
 def hits(t: Tables) -> DataFrame:
-    joined = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_suppkey"))
-    return _view(joined, _HIT_OUT)
+    pages = _view(t.part, {"l_suppkey": "p_partkey", **_PAGE, "page_spanish": _HIT_OUT["spanish"]})
+    of_page = {"url": hit_url("page_handle"), "name": "page_name", "spanish": "page_spanish"}
+    return _view(t.lineitem.join(pages, "l_suppkey"), {**_HIT_OUT, **of_page})
 
 
 def hits_of_pages(t: Tables, pages: DataFrame, *columns: str) -> DataFrame:
