@@ -5,9 +5,11 @@ import re
 
 import pytest
 
+from vitrina.operators import cascade as C
 from vitrina.operators import hits as H
-from vitrina.plans import QUERIES, bindings
+from vitrina.plans import QUERIES, run_queries
 from vitrina.plans.registry import Tables
+from vitrina.session import configure
 
 from conftest import TESTDATA
 
@@ -56,3 +58,19 @@ def test_marketplace_titles_are_tokenised_per_page(spark):
     plan = _plan(QUERIES["j29_marketplace_hits"](spark, FOLDER))
     assert len(re.findall(r"\bJoin ", plan)) == 2
     assert "split_part" not in plan.partition("Join ")[0]
+
+
+def test_image_sources_meet_once_per_product(spark):
+    rows = [(1, "override", 1, "a"), (1, "match", 2, "b"), (1, "marketplace", 3, "c"), (2, "generic", 1, "d"), (3, "match", 1, "e"),
+            (3, "generic", 2, "f"), (None, "match", 1, "g")]
+    got = C.combine_image_sources(spark.createDataFrame(rows, "product_id long, source string, ord long, url string"))
+    assert _joins(got)[1] == 0
+    assert {r["url"] for r in got.collect()} == {"a", "c", "d", "e"}
+
+
+@tables
+def test_candidates_travel_once_and_without_urls(spark):
+    rows = run_queries.candidates(Tables(configure(spark), FOLDER))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "https" not in plan[plan.index("Exchange hashpartitioning"):]

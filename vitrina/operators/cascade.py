@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrina.functions import text as T
@@ -180,15 +180,15 @@ def combine_image_sources(images: DataFrame) -> DataFrame:
     Result keeps the order (source, ord).
     """
     source = F.col("source")
-    present = images.groupBy("product_id").agg(
-        F.bool_or(source == "override").alias("overridden"), F.bool_or(source != "generic").alias("specific")
-    )
+    product = Window.partitionBy("product_id")
+    present = images.withColumns({
+        "overridden": F.bool_or(source == "override").over(product), "specific": F.bool_or(source != "generic").over(product)})
     use = (
         F.when(source == "match", ~F.col("overridden"))
         .when(source == "generic", ~F.col("specific"))
         .otherwise(F.lit(True))
     )
-    return images.join(present, "product_id").where(use).drop("overridden", "specific")
+    return present.where(F.col("product_id").isNotNull() & use).drop("overridden", "specific")
 
 
 def cached_or_searched(cached: DataFrame, searched: DataFrame) -> DataFrame:

@@ -49,12 +49,21 @@ RUN = f"""WITH RECURSIVE c0 AS (SELECT {B._sql(B._select(_CAND))} FROM lineitem)
   k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY slot)::INTEGER AS position FROM r WHERE rn = 1)"""
 
 
+def candidates(t):
+    """One row per candidate: a line that occurs twice is one picture."""
+    # The URL is made of two of the numbers that tell candidates apart, so it is written out afterwards; rows travel
+    # once, to their product.
+    numbers = {k: _CAND[k] for k in ("product_id", "source", "ord")} | {"l_partkey": "l_partkey", "l_suppkey": "l_suppkey"}
+    rows = B._view(t.lineitem.repartition("l_orderkey"), {**numbers, **{k: _CAND_SPARK[k] for k in _FACTS}})
+    cands = rows.groupBy(*numbers).agg(*[F.max(x).alias(x) for x in _FACTS]).withColumn("url", F.expr(_CAND["url"]))
+    return cands.select(*_KEYS, *_FACTS)
+
+
 def image_run(t):
     p = t.orders.selectExpr("o_orderkey AS product_id", "'order ' || cast(o_orderkey as string) AS title", "'order-' || cast(o_orderkey as string) AS slug")
     matched = t.orders.where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS product_id")
     existing = B._view(t.lineitem, {"product_id": "l_partkey", **{k: B.IMAGE_COLUMNS[k] for k in ("image_id", "position", "alt")}})
-    # One row per candidate: a line that occurs twice is one picture.
-    cands = B._view(t.lineitem, _CAND_SPARK).groupBy(*_KEYS).agg(*[F.max(x).alias(x) for x in _FACTS])
+    cands = candidates(t)
     return runs.image_run(p, matched, cands, existing)
 
 
