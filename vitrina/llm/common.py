@@ -120,12 +120,22 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+#: What a worker process keeps from one task for the next of its kind, by name.
+KEPT: dict[str, object] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 23, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that none holds much more than ``size`` bytes of data (one row at least).
 
     Batches come with a fixed number of rows; what a task builds from them stays bounded
-    also where texts are long.
+    also where texts are long.  Of :data:`KEPT` only ``keeps`` stays: a worker process goes on to
+    tasks of other kinds, which need the memory.
     """
+    others = KEPT.keys() - {keeps}
+    for name in others:
+        del KEPT[name]
+    if others:
+        give_back()
     for batch in batches:
         rows = max(1, int(batch.num_rows * min(1.0, size / max(1, batch.nbytes))))
         for start in range(0, batch.num_rows, rows):

@@ -4,23 +4,25 @@ Byte-pair encoders work inside pieces: runs of letters, runs of marks, white spa
 space starts the piece after it or is dropped.  A text is therefore cut at single spaces
 between visible characters, and a chunk of the usual form (letters, marks, perhaps a line
 break and the same again) into its runs.  Runs of letters are encoded many at once in one
-string and remembered; other chunks are encoded as they are.  Where a border isn't of that
+string and remembered, as are chunks of the usual form; other chunks are encoded as they are.  Where a border isn't of that
 kind (runs of spaces, control characters), chunks stay joined, so the ids are those of the
 whole text.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-#: Runs that a worker process remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+from vitrina.llm.common import KEPT
+
+#: Runs and chunks that a worker process remembers, and those of one batch; a full memory is emptied before the next batch.
+REMEMBERED = 600_000
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 _USUAL = re.compile(f"({_LETTERS})({_MARKS})(?:(\n)({_LETTERS})({_MARKS}))?")
-_ENCODERS: dict[tuple[str, bool], "TextEncoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -54,16 +56,21 @@ class TextEncoder:
         for piece, i in pieces.items():
             self.border[i] = piece.startswith("Ġ") if spaces_join else piece.endswith("</w>")
         self.line = self._encode(["\n"])[0]
-        #: Ids of runs of letters, by what stands before them, and of runs of marks.
-        self.runs: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        #: Ids of runs of letters and of chunks made of them, by what stands before them, and of runs of marks.
+        self.known: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
         self.marks: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str, spaces_join: bool) -> "TextEncoder":
-        """One encoder per worker process and vocabulary."""
-        if (path, spaces_join) not in _ENCODERS:
-            _ENCODERS[path, spaces_join] = cls(path, spaces_join)
-        return _ENCODERS[path, spaces_join]
+        """One encoder per worker process and vocabulary, until a task of another kind comes."""
+        name = cls.kept_as(path, spaces_join)
+        if name not in KEPT:
+            KEPT[name] = cls(path, spaces_join)
+        return KEPT[name]
+
+    @staticmethod
+    def kept_as(path: str, spaces_join: bool) -> str:
+        return f"{path} {spaces_join}"
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -96,44 +103,39 @@ class TextEncoder:
         return not self.spaces_join or (chunk != "" and _visible(chunk[0]) and _visible(chunk[-1]))
 
     def _known_runs(self, runs: set[str], before: str) -> dict[str, bytes]:
-        known = self.runs[before]
-        new = runs - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = runs
-        new = list(new)
+        known = self.known[before]
+        new = list(runs - known.keys())
         known.update(zip(new, self._encode_runs(new, before), strict=True))
         return known
 
     def _known_marks(self, marks: set[str]) -> dict[str, bytes]:
-        if len(self.marks) + len(marks) > REMEMBERED:
-            self.marks = {"": b""}
         new = list(marks - self.marks.keys())
         self.marks.update(zip(new, self._encode(new), strict=True))
         return self.marks
 
-    def _table(self, chunks: set[str], before: str) -> dict[str, bytes | None]:
-        """Ids of each chunk; None for those that can't stand alone."""
-        words = {c for c in chunks if c.isalpha() and c.isascii()}
-        usual, odd = [], []
-        for c in chunks - words:
-            match = _USUAL.fullmatch(c)
-            if match:
+    def _learn(self, chunks: set[str], before: str) -> list[str]:
+        """Ids of each chunk that isn't known yet; None for those that can't stand alone.
+
+        Returns the chunks of no usual form, which may be long: they are known until the end of a batch only.
+        """
+        known = self.known[before]
+        words, usual, odd = set(), [], []
+        for c in chunks - known.keys():
+            if c.isalpha() and c.isascii():
+                words.add(c)
+            elif match := _USUAL.fullmatch(c):
                 usual.append((c, *match.groups("")))
             else:
                 odd.append(c)
-        # The runs after a line break first: where nothing stands before a chunk, both share a memory.
         broken = self._known_runs({u[4] for u in usual if u[3]}, "")
-        tails = {c: self.line + broken[d] for c, _, _, line, d, _ in usual if line}
         mark = self._known_marks({u[k] for u in usual for k in (2, 5)})
-        known = self._known_runs(words.union(u[1] for u in usual), before)
-        table: dict[str, bytes | None] = {w: known[w] for w in words}
-        for c, a, b, line, _, e in usual:
-            table[c] = known[a] + mark[b] + tails[c] + mark[e] if line else known[a] + mark[b]
+        self._known_runs(words.union(u[1] for u in usual), before)
+        for c, a, b, line, d, e in usual:
+            known[c] = known[a] + mark[b] + self.line + broken[d] + mark[e] if line else known[a] + mark[b]
         whole = [c for c in odd if self._plain(c)]
-        table.update((c, None) for c in odd)
-        table.update(zip(whole, self._encode([before + c for c in whole]), strict=True))
-        return table
+        known.update((c, None) for c in odd)
+        known.update(zip(whole, self._encode([before + c for c in whole]), strict=True))
+        return odd
 
     def _joined(self, parts: list[str]) -> list[str]:
         """Chunks again, joined wherever the border is no plain one."""
@@ -147,9 +149,24 @@ class TextEncoder:
         return ["".join(run) for run in runs]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # chunks make no cycles, and looking for some takes a tenth of the time
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
+        # Only between batches, as what a batch looks up must stay until its end.
+        for memory in (*self.known.values(), self.marks):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        self.marks[""] = b""
+        space = " " if self.spaces_join else ""
         split = [t.split(" ") for t in texts]
-        first = self._table({p[0] for p in split}, "")
-        later = self._table(set().union(*(p[1:] for p in split)), " " if self.spaces_join else "")
+        odd = [("", self._learn({p[0] for p in split}, "")), (space, self._learn(set().union(*(p[1:] for p in split)), space))]
+        first, later = self.known[""], self.known[space]
         out = []
         for parts in split:
             ids = [first[parts[0]], *map(later.__getitem__, parts[1:])]
@@ -157,4 +174,7 @@ class TextEncoder:
                 out.append(b"".join(ids))
             except TypeError:  # a chunk with an edge that isn't plain
                 out.append(b"".join(self._encode(self._joined(parts))))
+        for before, chunks in odd:
+            for c in chunks:
+                self.known[before].pop(c, None)
         return out

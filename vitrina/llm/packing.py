@@ -166,7 +166,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, spaces_joi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.of(vocabulary, spaces_join)
         packer = Packer(capacity, pool, TaskContext.get().partitionId() << 40)
-        for batch in slices(batches):
+        for batch in slices(batches, keeps=TextEncoder.kept_as(vocabulary, spaces_join)):
             found: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids += end

@@ -225,7 +225,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, spaces_
         encoder, writer = TextEncoder.of(vocabulary, spaces_join), None
         part = TaskContext.get().partitionId()
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.pfb"
-        for batch in slices(batches):
+        for batch in slices(batches, keeps=TextEncoder.kept_as(vocabulary, spaces_join)):
             writer = writer or TokenFileWriter(path, percentile)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
                 writer.add(doc_id, ids + end)
