@@ -16,7 +16,7 @@ def _title():
 
 
 def _tokens(c):
-    return F.array_join(F.array_sort(c), " ")
+    return F.array_join(F.sort_array(c), " ")
 
 
 @query("t01_normalize_text", f"SELECT doc_id, md5({S.norm('text')}) AS norm_md5 FROM documents")
@@ -452,6 +452,16 @@ def profile_tokens(profile: lx.MatcherProfile, x: str, catalog_side: bool = Fals
     return S.stem(k) if profile.stem else k
 
 
+#: Rows that a text has at most in :func:`_by_text`, so that a text of very many products is several tasks' work.
+_SHARES = 8
+
+
+def _by_text(products):
+    """``title, handle, ids``: products of one text together, as what follows from the text costs far more than they do."""
+    share = F.pmod(F.xxhash64("product_id"), F.lit(_SHARES))
+    return products.groupBy("title", "handle", share.alias("share")).agg(F.collect_list("product_id").alias("ids"))
+
+
 @query(
     "t31_profile_tokens",
     f"{WITH} " + " UNION ALL ".join(
@@ -468,4 +478,4 @@ def _(t):
         )
         for p in lx.PROFILES.values()
     ])
-    return B.products(t).select("product_id", F.inline(rows))
+    return _by_text(B.products(t)).withColumn("row", F.explode(rows)).select(F.explode("ids").alias("product_id"), "row.*")
