@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import jaccard_join, mixing, packing, pseudonyms, toxicity
-from vitrina.llm.common import cut_lineage, fresh, read, ship, without
+from vitrina.llm.common import cut_lineage, fresh, passing_tables, read, ship, without
 from vitrina.llm.encoding import vocabulary
 
 
@@ -32,15 +32,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the smallest id, nulls last.
 
     Rows are told apart by a key of their own, written once with them, as ids may be null or repeated.
+    What the comparison has written is deleted once the rows that go are known.
     """
     ship(spark)
     row = fresh(docs, "near_row")
     keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
     nodes = keyed.select(F.col(row).alias("doc_id"), "text")
-    groups = cut_lineage(jaccard_join.near_duplicates(nodes, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)).alias("first")
-    stays = groups.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
-    gone = cut_lineage(groups.select(row).join(stays, row, "left_anti"))
+    with passing_tables(spark):
+        groups = cut_lineage(jaccard_join.near_duplicates(nodes, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)).alias("first")
+        stays = groups.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
+        gone = cut_lineage(groups.select(row).join(stays, row, "left_anti"), stays=True)
     return without(keyed, row, gone).drop(row)
 
 

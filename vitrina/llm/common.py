@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vitrina
-from vitrina.session import checkpoint_dir, cut_lineage
+from vitrina.session import checkpoint_dir, cut_lineage, passing_tables
 
-__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "perhaps_within", "read", "ship", "slices", "small_batches", "text_bytes", "without", "word_count"]
+__all__ = ["WORD", "checkpoint_dir", "cut_lineage", "fresh", "passing_tables", "perhaps_within", "read", "ship", "slices", "small_batches", "text_bytes", "without", "word_count"]
 
 #: A word: a longest run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -16,7 +16,8 @@ the empty name is another.  Sources without words have target 0, and so has ever
 nothing has words.  Repeated rows are documents of their own; rows with the same id are
 ordered by size, and equal rows are alike, so whichever is cut gives the same rows.  A null
 id is hashed as the empty string.  ``mix_texts`` gives every row a key of its own, so rows
-without id and rows that share one are taken as the mix says.  An empty table gives an empty
+without id and rows that share one are taken as the mix says; texts are never shuffled for it
+unless there are more than ``CUT_SOURCES`` sources.  An empty table gives an empty
 result.  Columns of any other name pass through ``mix_texts`` and ``mixed_texts``.
 """
 
@@ -29,6 +30,9 @@ from vitrina.llm.common import WORD, cut_lineage, fresh, word_count
 
 WEIGHTS = (5, 2, 1)
 
+#: Sources up to which the row that ends each source's fraction is broadcast.
+CUT_SOURCES = 10_000
+
 
 def water_level(sources: DataFrame, max_epochs: int) -> DataFrame:
     """Adds ``target`` to (``words``, ``weight``) rows: clamp, share out what is left, repeat.
@@ -90,6 +94,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     own = [key] if key else []
     sized = cut_lineage(docs.select(
         *own, "doc_id", F.col("source").alias("mix_source"), word_count().alias("size"), _draw(seed).alias("mix_draw")))
+    return _mixed(sized, own, weights, max_epochs, range_rows).select(
+        *own, "doc_id", "size", F.col("words").alias("source_size"), "target",
+        (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "epochs", "extra")
+
+
+def _mixed(sized: DataFrame, own: list[str], weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3,
+           range_rows: int = 1_000) -> DataFrame:
+    """``sized`` (``doc_id, mix_source, size, mix_draw`` and ``own``) with its source's ``words, target, epochs``, and ``extra``."""
     sums = cut_lineage(sized.groupBy("mix_source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
     turn = F.col("position") % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")
@@ -124,8 +136,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
             F.col("size"),
             F.col("extra_words") - F.col("last_before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     return whole.unionByName(ended).select(
-        *own, "doc_id", "size", F.col("words").alias("source_size"), "target",
-        (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"), "epochs", F.col("extra").cast("long").alias("extra"))
+        *own, "doc_id", "mix_source", "mix_draw", "size", "words", "target", "epochs", F.col("extra").cast("long").alias("extra"))
 
 
 def mixed_texts(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
@@ -134,27 +145,49 @@ def mixed_texts(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataF
     Documents without words are not taken.  The plan has a row per document, so it is merged, never broadcast.
     ``row`` names the column of both that tells rows apart, unique and not null; ``docs`` keeps its columns.
     """
-    key, epochs, cut, words = (fresh(docs, f"mix_{c}") for c in ("id", "epochs", "cut", "words"))
+    key, epochs, cut = (fresh(docs, f"mix_{c}") for c in ("id", "epochs", "cut"))
     plan = mixed.filter("size > 0").select(
         F.col(row).alias(key), F.col("epochs").cast("int").alias(epochs),
         F.when(F.col("extra") == F.col("size"), F.lit(-1)).otherwise(F.col("extra")).cast("long").alias(cut))
+    return _repeated(docs.join(plan.hint("merge"), docs[row] == plan[key]), F.col(epochs), F.col(cut), docs.columns)
+
+
+def _repeated(docs: DataFrame, epochs: Column, cut: Column, columns: list[str]) -> DataFrame:
+    """Every document ``epochs`` times and once more up to ``cut`` words (all for -1, not at all for 0)."""
+    words = fresh(docs, "mix_words")
     copies = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col(epochs)),
-        F.when(F.col(cut) != 0, F.array(F.col(cut))).otherwise(F.array().cast("array<bigint>")))
+        F.array_repeat(F.lit(-1).cast("long"), epochs),
+        F.when(cut != 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
     start = F.array_join(F.slice(
         F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)")), F.lit(1), F.col(words).cast("int")), "")
     text = F.when(F.col(words) >= 0, start).otherwise(F.col("text")).alias("text")
-    return (
-        docs.join(plan.hint("merge"), docs[row] == plan[key]).withColumn(words, F.explode(copies))
-        .select(*(text if c == "text" else F.col(c) for c in docs.columns))
-    )
+    return docs.withColumn(words, F.explode(copies)).select(*(text if c == "text" else F.col(c) for c in columns))
 
 
-def mix_texts(docs: DataFrame) -> DataFrame:
+def mix_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents as often as :func:`mix` takes them, row by row: ids may be null or repeated.
 
-    Rows and their keys are written once, so that the plan and the texts see the same keys.
+    Rows with their keys and sizes are written once, so that the plan and the texts see the same keys.  A source's last row
+    that is taken once more tells of each of its rows how often it is taken, so a table of one row per source meets the texts.
     """
-    row = fresh(docs, "mix_row")
-    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
-    return mixed_texts(keyed, cut_lineage(mix(keyed, key=row)), row).drop(row)
+    row, size, draw = (fresh(docs, f"mix_{c}") for c in ("row", "size", "draw"))
+    keyed = cut_lineage(docs.withColumns({row: F.monotonically_increasing_id(), size: word_count(), draw: _draw(seed)}))
+    sized = keyed.select(
+        row, "doc_id", F.col("source").alias("mix_source"), F.col(size).alias("size"), F.col(draw).alias("mix_draw"))
+    mixed = cut_lineage(_mixed(sized, [row]))
+    place = ("mix_draw", "doc_id", "size", row)
+    cuts = cut_lineage(mixed.filter("size > 0").groupBy("mix_source").agg(
+        F.max("epochs").cast("int").alias("epochs"),
+        F.max(F.when(F.col("extra") > 0, F.struct(F.struct(*place).alias("place"), "extra"))).alias("last")))
+    if cuts.count() > CUT_SOURCES:
+        return mixed_texts(keyed.drop(size, draw), mixed, row).drop(row)
+    cuts = cuts.select(F.struct("mix_source", "epochs", "last").alias(fresh(keyed, "mix_cut")))
+    found = F.col(cuts.columns[0])
+    placed = keyed.filter(F.col(size) > 0).join(F.broadcast(cuts), F.col("source").eqNullSafe(found["mix_source"]))
+    here = F.struct(F.col(draw).alias("mix_draw"), "doc_id", F.col(size).alias("size"), row)
+    last = found["last"]
+    # A struct with a null in it compares by its fields, nulls first, as the order of the rows does.
+    cut = (
+        F.when(last.isNull() | (here > last["place"]), 0).when(here < last["place"], -1)
+        .when(last["extra"] == F.col(size), -1).otherwise(last["extra"]).cast("long"))
+    return _repeated(placed, found["epochs"], cut, docs.columns)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,16 +53,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Tables that :func:`passing_tables` deletes at its end.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing_tables", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """What :func:`cut_lineage` writes inside is deleted at the end, but for tables that stay.
+
+    For steps of which only a written result is read afterwards.
+    """
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame, stays: bool = False) -> DataFrame:
     """Write ``df`` once as a Parquet table in the checkpoint folder and continue from it.
 
     For tables that several branches of a plan read (distinct token sets, distinct
     pictures) and for the state of loops: an executor loss then costs the current step,
     not the whole history, later reads are columnar and pruned, and the planner knows
-    the table's size.
+    the table's size.  ``stays``: also where :func:`passing_tables` deletes others.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    if not stays and _PASSING.get() is not None:
+        _PASSING.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
