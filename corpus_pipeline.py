@@ -59,9 +59,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids: pieces with their place and ids."""
+    """Sequences of at most 2048 ids: pieces with their place and ids.
+
+    Executors still hold what the stages before have touched, so encoders remember less here and see less at once.
+    """
     ship(spark)
-    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), remembered=60_000, slice_bytes=1 << 19)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -34,3 +34,14 @@ def test_a_task_of_another_kind_gives_the_encoders_memory_back():
     assert KEPT == {name: own}
     list(slices(iter(())))
     assert KEPT == {}
+
+
+def test_a_stage_may_remember_less_and_gets_the_same_ids():
+    name, texts = vocabulary("word_bpe_49k.json"), ["uno dos tres cuatro", "cinco\nseis, siete uno", "ocho nueve"]
+    want = [TextEncoder.of(name, False).encode_many([t]) for t in texts]
+    list(slices(iter(())))
+    few = TextEncoder.of(name, False, 3)
+    assert [few.encode_many([t]) for t in texts] == want
+    assert set(few.known[""]) == {"ocho", "nueve"}
+    assert TextEncoder.of(name, False) is few and few.remembered == encoding.REMEMBERED
+    list(slices(iter(())))

@@ -50,7 +50,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaces_join = spaces_join
+        self.spaces_join, self.remembered = spaces_join, REMEMBERED
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.border = np.zeros(max(pieces.values()) + 1, bool)
         for piece, i in pieces.items():
@@ -61,11 +61,12 @@ class TextEncoder:
         self.marks: dict[str, bytes] = {"": b""}
 
     @classmethod
-    def of(cls, path: str, spaces_join: bool) -> "TextEncoder":
+    def of(cls, path: str, spaces_join: bool, remembered: int | None = None) -> "TextEncoder":
         """One encoder per worker process and vocabulary, until a task of another kind comes."""
         name = cls.kept_as(path, spaces_join)
         if name not in KEPT:
             KEPT[name] = cls(path, spaces_join)
+        KEPT[name].remembered = REMEMBERED if remembered is None else remembered
         return KEPT[name]
 
     @staticmethod
@@ -160,7 +161,7 @@ class TextEncoder:
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         # Only between batches, as what a batch looks up must stay until its end.
         for memory in (*self.known.values(), self.marks):
-            if len(memory) > REMEMBERED:
+            if len(memory) > self.remembered:
                 memory.clear()
         self.marks[""] = b""
         space = " " if self.spaces_join else ""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import slices
-from vitrina.llm.encoding import TextEncoder
+from vitrina.llm.encoding import REMEMBERED, TextEncoder
 
 CAPACITY = 2048
 POOL = 4096
@@ -143,11 +143,12 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, spaces_join: bool = False,
-                   capacity: int = CAPACITY, pool: int = POOL) -> DataFrame:
+                   capacity: int = CAPACITY, pool: int = POOL, remembered: int = REMEMBERED, slice_bytes: int = 1 << 23) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``ids`` are little-endian unsigned 32-bit integers.  ``sequence_id`` is the partition
-    times 2^40 plus a count.  A task holds at most ``pool * capacity`` ids and a slice of a batch.
+    times 2^40 plus a count.  A task holds at most ``pool * capacity`` ids and a slice of a batch, of ``slice_bytes``.
+    Fewer ``remembered`` chunks and smaller slices take less memory and more time; the rows are the same.
     """
     out = pa.schema([
         ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -164,9 +165,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, spaces_joi
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), out.types, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder.of(vocabulary, spaces_join)
+        encoder = TextEncoder.of(vocabulary, spaces_join, remembered)
         packer = Packer(capacity, pool, TaskContext.get().partitionId() << 40)
-        for batch in slices(batches, keeps=TextEncoder.kept_as(vocabulary, spaces_join)):
+        for batch in slices(batches, slice_bytes, keeps=TextEncoder.kept_as(vocabulary, spaces_join)):
             found: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids += end
