@@ -2,7 +2,8 @@
 
 import pytest
 
-from vitrina.operators import simjoin
+from vitrina.lexicon import PROFILES
+from vitrina.operators import matching, simjoin
 
 
 @pytest.mark.parametrize("how", ["best", "top", "near"])
@@ -27,3 +28,11 @@ def test_queries_that_no_entry_tells_apart_meet_once(spark, monkeypatch, how):
     got = {(r["qid"], r["pref"], round(r["score"], 6)) for r in found.collect()}
     assert got == {(i, "a", 0.5) for i in range(50)} | {(90, "b", 0.5)}
     assert seen == [2]
+
+
+def test_titles_are_tokenised_once(spark):
+    products = spark.createDataFrame([(i, f"Dog duck {i}kg") for i in range(5)], "product_id long, title string")
+    catalog = spark.createDataFrame([("dog-duck", 1, "Dog Duck")], "handle string, ord long, name string")
+    found = matching.match_best(products, catalog, PROFILES["calibra"])
+    assert "title" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["handle"] for r in found.collect()} == {"dog-duck"} and found.count() == 5

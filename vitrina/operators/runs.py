@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitrina import lexicon as lx
 from vitrina.functions import predicates as P
 from vitrina.operators import cascade, images, matching, provenance, reports
+from vitrina.session import cut_lineage
 
 
 def resolve_products(products: DataFrame, catalog: DataFrame, profile: lx.MatcherProfile, key: Column,
@@ -20,13 +21,16 @@ def resolve_products(products: DataFrame, catalog: DataFrame, profile: lx.Matche
     ``products``: ``product_id, title, barcode``; ``catalog``: ``handle, ord, name, url,
     barcodes, skus``; ``cache``: ``title_key, url``; ``overrides``: ``product_id, url``
     already stored.  The text stage sees only products no exact stage resolved.
+    The catalogue and what the exact stages find are written once, as several steps read them.
     """
+    catalog = cut_lineage(catalog)
     stages: list[tuple[str, DataFrame]] = []
     if overrides is not None:
         known = products.select("product_id").join(overrides.select("product_id", "url"), "product_id")
         stages.append(("override", known.withColumn("score", F.lit(1.0))))
     stages.append(("cache", cascade.match_title_key(products, cache, key)))
     stages.append(("barcode", cascade.match_barcode(products, catalog)))
+    stages = [(method, cut_lineage(found)) for method, found in stages]
     still_open = cascade.unresolved(products, *[df for _, df in stages])
     stages.append(("text", matching.match_best(still_open, catalog, profile)))
     out = cascade.cascade(products, stages, lx.RESOLUTION_FLOOR)
