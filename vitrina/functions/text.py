@@ -239,7 +239,9 @@ def tokenize_normalized(normalized: Column, stop: Iterable[str]) -> Column:
 
 
 def tokenize(text: Column, stop: Iterable[str], units: str = "") -> Column:
-    normal = {"": normalize_text, "after": normalize_units, "before": normalize_glued_units}[units]
+    if not units:  # the words that ``tokenize_normalized`` finds in a normal text, in one pass over the text
+        return F.array_except(F.regexp_extract_all(strip_accents(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), str_array(tuple(stop)))
+    normal = {"after": normalize_units, "before": normalize_glued_units}[units]
     return tokenize_normalized(normal(text), stop)
 
 

@@ -73,19 +73,20 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame, stays: bool = False) -> DataFrame:
+def cut_lineage(df: DataFrame, stays: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the checkpoint folder and continue from it.
 
     For tables that several branches of a plan read (distinct token sets, distinct
     pictures) and for the state of loops: an executor loss then costs the current step,
     not the whole history, later reads are columnar and pruned, and the planner knows
-    the table's size.  ``stays``: also where :func:`passing_tables` deletes others.
+    the table's size.  ``stays``: also where :func:`passing_tables` deletes others;
+    ``codec``: how the files are compressed, else as the session has it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     if not stays and _PASSING.get() is not None:
         _PASSING.get().append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
